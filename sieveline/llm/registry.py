@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sieveline.llm.bpe import op7_bpe_encoding
 from sieveline.llm.pii import op6_pii
+from sieveline.llm.quality import OP1_SQL, op1_quality_rules
 from sieveline.llm.simhash import op9_simhash_near_dedup
 from sieveline.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op6_pii, op7_bpe_encoding, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op6_pii, op7_bpe_encoding, op9_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": OP1_SQL}
