@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.common import NOT_SPACE, SPACE, table
 
-MIN_WORDS, WINDOW, MAX_REPEATED, MAX_LOSS = 20, 8, 30, 0.5
+MIN_WORDS, WINDOW, MAX_REPEATED, MAX_LOSS = 20, 8, 30, 0.5  # WINDOW: a power of two
 #: A line fails with more than so many symbols or doubled marks per hundred words.
 MAX_SYMBOLS, MAX_MARKS = 20, 30
 SYMBOLS = "#*$%&|<>"
@@ -64,9 +64,14 @@ def clean_lines(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     df = df.withColumn("__t", t).withColumn("__words", _words(F.col("__t"))).withColumn("__lines", F.filter(F.split("__t", "\n"), lambda s: s.rlike(NOT_SPACE)))
     df = df.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
-    # a column that a lambda reads is named twice, else it would be inlined and computed for each element
-    n = F.size("__hashes")
-    df = df.withColumn("__windows", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice("__hashes", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")))
+    # hashes of one word, of two, four and eight words; shorter texts end up with none
+    span = 1
+    while span < WINDOW:
+        later = F.slice("__hashes", F.lit(span + 1), F.size("__hashes"))
+        df = df.withColumn("__hashes", F.slice(F.zip_with("__hashes", later, lambda a, b: F.xxhash64(a, b)), F.lit(1), F.greatest(F.size("__hashes") - span, F.lit(0))))
+        span *= 2
+    n = F.size("__words")
+    df = df.withColumnRenamed("__hashes", "__windows")
     # equal windows stand side by side once sorted
     df = df.withColumn("__sorted", F.when(F.size(F.array_distinct("__windows")) < F.size("__windows"), F.array_sort(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.expr("cast(array() as array<struct<h:bigint,i:int>>)")))
     same = lambda x, j: x["h"] == F.get("__sorted", j)["h"]
@@ -88,7 +93,7 @@ def clean_lines(df: DataFrame, text: str = "text") -> DataFrame:
         "n_words_removed": F.aggregate(removed, F.lit(0).cast("long"), lambda acc, s: acc + s["n"]),
         "clean_text": F.array_join(F.transform(F.filter("__judged", lambda s: s["why"].isNull()), lambda s: s["line"]), "\n"),
     }
-    df = df.withColumns(out).drop("__t", "__words", "__lines", "__hashes", "__windows", "__sorted", "__places", "__judged")
+    df = df.withColumns(out).drop("__t", "__words", "__lines", "__windows", "__sorted", "__places", "__judged")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     df = df.withColumn("base_failed", failed)
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("n_words_removed") <= MAX_LOSS * F.col("n_words")))
