@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sieveline.llm.bpe import op7_bpe_encoding
+from sieveline.llm.decontaminate import op4_benchmark_decontamination
 from sieveline.llm.linededup import OP5_SQL, op5_line_dedup
 from sieveline.llm.pii import op6_pii
 from sieveline.llm.quality import OP1_SQL, op1_quality_rules
@@ -16,7 +17,7 @@ from sieveline.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op5_line_dedup, op6_pii, op7_bpe_encoding, op8_secret_scans, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op4_benchmark_decontamination, op5_line_dedup, op6_pii, op7_bpe_encoding, op8_secret_scans, op9_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
