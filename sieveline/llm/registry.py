@@ -10,6 +10,7 @@ from sieveline.llm.bpe import op7_bpe_encoding
 from sieveline.llm.decontaminate import op4_benchmark_decontamination
 from sieveline.llm.html import op10_html_extraction
 from sieveline.llm.linededup import OP5_SQL, op5_line_dedup
+from sieveline.llm.maxent import op3_lm_scoring
 from sieveline.llm.pii import op6_pii
 from sieveline.llm.quality import OP1_SQL, op1_quality_rules
 from sieveline.llm.secrets import op8_secret_scans
@@ -18,7 +19,7 @@ from sieveline.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op4_benchmark_decontamination, op5_line_dedup, op6_pii, op7_bpe_encoding, op8_secret_scans, op9_simhash_near_dedup, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_lm_scoring, op4_benchmark_decontamination, op5_line_dedup, op6_pii, op7_bpe_encoding, op8_secret_scans, op9_simhash_near_dedup, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
