@@ -8,9 +8,9 @@ learnt threshold, feeds a logistic layer. Only the text enters a score.
 A filter of width w is a sum of w linear maps of word embeddings, so scoring
 looks up, for each distinct word, what it adds at each place of each filter.
 
-Thresholds are calibrated by language: for each language the operator picks
-the least score at which precision on labelled documents reaches a target
-(counts of scores in a fixed number of bins leave the tasks, no rows do).
+Thresholds are calibrated by language on labelled documents that were not
+learnt from: the score with the best F1 (counts of scores in a fixed number of
+bins leave the tasks, no rows do).
 
 Training takes at most ``TRAIN_ROWS`` labelled documents with at most
 ``TRAIN_CHARS`` characters, whole texts in the order of a hash of the id.
@@ -30,7 +30,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import cut, held_out, table
@@ -265,28 +265,35 @@ def toxicity(df: DataFrame, model: Model | None, text: str = "text", id_column:
     return df.select(*kept, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
-def language_thresholds(scored: DataFrame, language: str = "lang", label: str = "toxic", precision: float = 0.95, bins: int = 100) -> DataFrame:
-    """(language, threshold): the least bin edge from which on documents that
-    are labelled toxic make up ``precision`` of those scored as high; 0.7
-    where a language has no such edge."""
-    from pyspark.sql import Window
-
+def language_thresholds(scored: DataFrame, language: str = "lang", label: str = "toxic", least: int = 10, bins: int = 100) -> DataFrame:
+    """(language, threshold): the bin edge with the best F1 over labelled
+    documents, the middle of the best edges where several tie; 0.7 for a
+    language with fewer than ``least`` toxic ones."""
     binned = scored.filter(F.col(label).isNotNull()).groupBy(language, F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).alias("bin")).agg(F.sum(F.col(label).cast("long")).alias("bad"), F.count(F.lit(1)).alias("n"))
-    above = Window.partitionBy(language).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-    edges = binned.select(language, "bin", F.sum("bad").over(above).alias("bad"), F.sum("n").over(above).alias("n"))
-    good = F.when((F.col("bad") >= precision * F.col("n")) & (F.col("bad") > 0), F.col("bin") / bins)
-    return edges.groupBy(language).agg(F.coalesce(F.min(good), F.lit(0.7)).alias("threshold"))
+    sums = binned.groupBy(language).agg(F.sum("bad").alias("total"), F.collect_list(F.struct("bin", "bad", "n")).alias("b"))
+    edges = sums.withColumn("edge", F.explode(F.sequence(F.lit(1), F.lit(bins - 1))))
+    above = F.filter("b", lambda x: x["bin"] >= F.col("edge"))
+    add = lambda name: F.aggregate(above, F.lit(0).cast("long"), lambda acc, x: acc + x[name])
+    f1 = edges.select(language, "edge", "total", F.round(2 * add("bad") / (F.col("total") + add("n")), 9).alias("f1"))
+    best = f1.groupBy(language).agg(F.max("f1").alias("best"))
+    chosen = f1.join(best.withColumnRenamed(language, "__l"), F.col(language).eqNullSafe(F.col("__l")) & (F.col("f1") == F.col("best")))
+    return chosen.groupBy(language).agg(F.when(F.max("total") >= least, (F.min("edge") + F.max("edge")) / (2 * bins)).otherwise(0.7).alias("threshold"))
 
 
-def fitted(spark: SparkSession, docs: DataFrame, sf_dir: str, but_fold: int | None = 1) -> Model | None:
+def fitted(spark: SparkSession, docs: DataFrame, sf_dir: str, apart: int | None = None) -> Model | None:
     """The model for the documents of a folder, learnt from its labels; rows
-    whose crc32(id) mod 3 is ``but_fold`` are not learnt from."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter("toxic is not null and doc_id is not null")
-    if but_fold is not None:
-        labels = labels.filter(~held_out("doc_id", 3))
+    whose crc32(id) mod 3 is 1 are not learnt from, and with ``apart`` every
+    apart-th row by another hash is left for calibration too."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter("toxic is not null and doc_id is not null").filter(~held_out("doc_id", 3))
+    if apart:
+        labels = labels.filter(~calibrates("doc_id", apart))
     return fit(docs, labels)
 
 
+def calibrates(column: str, apart: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(apart)) == 0
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity(docs, fitted(spark, docs, sf_dir))
