@@ -6,6 +6,8 @@ rows come back by an equi-join, so that many copies cost no pairs.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,32 +16,41 @@ from sieveline.operators.graph import min_labels
 from sieveline.storage import cut
 
 
-def bands(distance: int, bits: int = 64) -> list[tuple[int, int]]:
-    """(shift, mask) of distance + 1 bands: hashes that differ in at most
-    ``distance`` bits are equal in one of them."""
-    n = distance + 1
+def bands(n: int, bits: int = 64) -> list[tuple[int, int]]:
+    """(shift, mask) of n bands that cover the bits."""
     edges = [bits * k // n for k in range(n + 1)]
     return [(a, (1 << (b - a)) - 1) for a, b in zip(edges, edges[1:])]
 
 
-def hamming_pairs(left: DataFrame, right: DataFrame, distance: int, hash_column: str = "hash", bits: int = 64) -> DataFrame:
+def hamming_pairs(left: DataFrame, right: DataFrame, distance: int, hash_column: str = "hash", bits: int = 64, agree: int | None = None) -> DataFrame:
     """(a, b, distance) of distinct hashes of both sides within ``distance``,
-    equal ones included. An equi-join on band values; the theta form would
-    compare all pairs. A pair that meets in several bands is taken in the
-    first one, so that no distinct is needed."""
-    cuts = bands(distance, bits)
-
-    def banded(df: DataFrame, name: str) -> DataFrame:
-        h = F.col(hash_column)
-        values = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(h, s).bitwiseAND(F.lit(m if m < 1 << 63 else -1)).alias("value")) for k, (s, m) in enumerate(cuts)])
-        return df.filter(h.isNotNull()).select(h.alias(name)).distinct().select(name, F.explode(values).alias("x")).select(name, "x.band", "x.value")
-
-    met = banded(left, "a").join(banded(right, "b"), ["band", "value"]).withColumn("distance", hamming(F.col("a"), F.col("b"))).filter(F.col("distance") <= distance)
-    earlier = F.lit(False)
-    for k, (s, m) in enumerate(cuts[:-1]):
-        same = F.shiftrightunsigned(F.col("a").bitwiseXOR(F.col("b")), s).bitwiseAND(F.lit(m)) == 0
-        earlier = earlier | ((F.col("band") > k) & same)
-    return met.filter(~earlier).select("a", "b", F.col("distance").cast("int").alias("distance"))
+    equal ones included; the theta form would compare all pairs.
+
+    Of distance + agree bands, hashes within ``distance`` agree in ``agree``
+    or more, so an equi-join on each choice of so many bands finds them. More
+    bands to agree make longer keys, hence fewer candidates, and more keys a
+    hash: two by default up to a distance of 6, else one. A pair is taken in
+    the choice of its first bands that agree, so no distinct is needed."""
+    agree = agree or (2 if distance <= 6 else 1)
+    cuts = bands(distance + agree, bits)
+    ways = [*combinations(range(len(cuts)), agree)]
+    whole = lambda s, m: ((m << s) & ((1 << 64) - 1)) - ((1 << 64) if (m << s) >> 63 & 1 else 0)
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        values = F.array(*[F.struct(F.lit(k).alias("way"), F.col(name).bitwiseAND(F.lit(sum(whole(*cuts[x]) for x in way))).alias("value")) for k, way in enumerate(ways)])
+        distinct = df.filter(F.col(hash_column).isNotNull()).select(F.col(hash_column).alias(name)).distinct()
+        return distinct.select(name, F.explode(values).alias("x")).select(name, "x.way", "x.value")
+
+    met = keyed(left, "a").join(keyed(right, "b"), ["way", "value"]).withColumn("distance", hamming(F.col("a"), F.col("b"))).filter(F.col("distance") <= distance)
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    first = F.lit(False)
+    for k, way in enumerate(ways):
+        skipped = [x for x in range(way[-1]) if x not in way]
+        own = F.col("way") == k
+        for x in skipped:
+            own = own & (differ.bitwiseAND(F.lit(whole(*cuts[x]))) != 0)
+        first = first | own
+    return met.filter(first).select("a", "b", F.col("distance").cast("int").alias("distance"))
 
 
 def leaders(df: DataFrame, distance: int, id_column: str = "id", order: str = "ord", sha: str = "sha256", hash_column: str = "hash", eligible: str | None = None) -> DataFrame:
