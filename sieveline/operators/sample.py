@@ -40,7 +40,7 @@ def retention(df: DataFrame, now: Column, hours: float, newest: int, time: str =
     rule off, and other files are left alone. The newest rows are found by a
     limit, not by ranking all rows in one task."""
     image = F.lower(F.col(name)).rlike(r"\.(" + "|".join(suffixes) + ")$")
-    old = F.lit(False) if not hours else (now.cast("double") - F.col(time).cast("double")) > hours * 3600
+    old = F.lit(False) if not hours else F.col(time) + F.make_dt_interval(hours=F.lit(int(hours)), secs=F.lit(float(hours % 1 * 3600))) < now
     df = df.withColumn("__image", image).withColumn("__old", old)
     if newest:
         kept = df.filter("__image and not __old").orderBy(F.desc(time), name).limit(newest).select(name, F.lit(True).alias("__new"))

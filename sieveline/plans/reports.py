@@ -1 +1,186 @@
-"""Filled below."""
+"""Coverage, revisions, merges, audits, web pages, prompts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sieveline.functions import web
+from sieveline.operators import advisory, audit, merge, report, sample
+from sieveline.plans.catalog import query
+from sieveline.plans.splits import records
+from sieveline.storage import table
+
+
+@query(
+    """WITH m AS (SELECT o_orderpriority AS k, (['annotated', 'missing', 'rejected', 'annotated'])[o_orderkey % 4 + 1] AS s, o_orderkey % 3 AS b, 1 + o_custkey % 2 AS n FROM orders WHERE o_orderpriority <> '5-LOW'),
+d(class_id, class_name) AS (VALUES (0, '1-URGENT'), (1, '2-HIGH'), (2, '3-MEDIUM'), (3, '4-NOT SPECIFIED'), (4, '5-LOW'))
+SELECT class_id, class_name, count(k) AS images, count(*) FILTER (s = 'annotated') AS annotated, coalesce(sum(b) FILTER (s = 'annotated'), 0)::BIGINT AS boxes, count(*) FILTER (s = 'missing') AS missing,
+ coalesce(sum(n), 0)::BIGINT AS source_occurrences, coalesce(sum(n), 0)::BIGINT - count(k) AS exact_duplicates_collapsed FROM d LEFT JOIN m ON k = class_name AND s <> 'rejected' GROUP BY ALL"""
+)
+def class_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.element_at(F.array(*map(F.lit, ["annotated", "missing", "rejected", "annotated"])), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").filter("o_orderpriority <> '5-LOW'").select(F.col("o_orderpriority").alias("class_name"), status.alias("annotation_status"), (F.col("o_orderkey") % 3).alias("bbox_count"), (F.col("o_custkey") % 2 + 1).alias("n_sources"))
+    dim = spark.createDataFrame([*enumerate(["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])], "class_id int, class_name string")
+    return report.coverage(rows, dim)
+
+
+@query("""SELECT user_id AS run, arg_max(event_id, {'m': value, 'e': -event_id}) AS best_map, arg_max(event_id, {'m': value % 7, 'e': -event_id}) AS best_map50, max(event_id) AS last_epoch FROM events GROUP BY user_id""")
+def best_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("epoch"), F.col("value").alias("map"), (F.col("value") % 7).alias("map50"))
+    return report.best_epochs(runs)
+
+
+@query("""WITH s AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT count(*) AS groups, count(*) FILTER (n > 1) AS multi_groups, sum(n) FILTER (n > 1)::BIGINT AS multi_images FROM s""")
+def leakage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.leakage_stats(records(spark, sf_dir))
+
+
+@query(
+    """WITH k AS (SELECT l_orderkey, list(DISTINCT p_type) AS c FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
+t AS (SELECT o_orderstatus AS from_class, CASE WHEN c IS NULL THEN '' WHEN len(c) = 1 THEN c[1] ELSE '*' END AS to_class FROM orders LEFT JOIN k ON l_orderkey = o_orderkey) SELECT from_class, to_class, count(*) AS n FROM t GROUP BY ALL"""
+)
+def class_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    kinds = lines.groupBy("l_orderkey").agg(F.collect_set("p_type").alias("classes"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("old_class"))
+    rows = orders.join(kinds, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("classes", F.coalesce("classes", F.array().cast("array<string>")))
+    return report.transitions(rows)
+
+
+@query("""SELECT coalesce(max(CASE WHEN regexp_matches(p_name, '^[0-9]+$') THEN p_name::BIGINT END), 0) + 1 AS next_index FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN p_partkey::VARCHAR ELSE p_name END AS p_name FROM part)""")
+def next_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stem = F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey").cast("string")).otherwise(F.col("p_name"))
+    return report.next_index(table(spark, sf_dir, "part").select(stem.alias("stem")))
+
+
+@query(
+    """WITH d AS (SELECT source AS split, CASE WHEN n_chars < 600 THEN 'imported' ELSE 'duplicate_near' END AS status, n_chars FROM documents) SELECT split, status, count(*) AS n, sum(n_chars)::BIGINT AS boxes FROM d GROUP BY ALL"""
+)
+def import_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("n_chars") < 600, "imported").otherwise("duplicate_near")
+    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("split"), status.alias("status")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("boxes"))
+
+
+_ROWS = "[o_orderkey % 5 || ' .5', o_custkey % 4 || ' .2']"
+REVISION_SQL = f"""o AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 0 THEN [] ELSE {_ROWS} END AS r0, o_orderpriority AS c0, CASE WHEN o_orderkey % 6 = 0 THEN 'rejected' ELSE 'annotated' END AS s0 FROM orders),
+n AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THEN [] WHEN o_orderkey % 5 = 0 THEN list_reverse({_ROWS}) WHEN o_orderkey % 7 = 0 THEN {_ROWS}[1:1] ELSE {_ROWS} END AS r1, CASE WHEN o_orderkey % 11 = 0 THEN '9-NEW' ELSE o_orderpriority END AS c1 FROM orders),
+x AS (SELECT id, CASE WHEN s0 = 'rejected' AND len(r1) > 0 THEN 'restored' WHEN s0 <> 'rejected' AND len(r0) > 0 AND len(r1) = 0 THEN 'rejected' END AS a, CASE WHEN len(r0) > 0 AND len(r1) > 0 AND c0 <> c1 THEN 'class_changed' END AS b,
+ CASE WHEN list_sort(r0) <> list_sort(r1) THEN 'boxes_changed' END AS c, list_sort(r0) = list_sort(r1) AND r0 <> r1 AS order_only, c0, c1, len(r0) AS n0, len(r1) AS n1 FROM o JOIN n USING (id))"""
+
+
+def _revision(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    orders = table(spark, sf_dir, "orders")
+    rows = F.array(F.concat((F.col("o_orderkey") % 5).cast("string"), F.lit(" .5")), F.concat((F.col("o_custkey") % 4).cast("string"), F.lit(" .2")))
+    none, key = F.array().cast("array<string>"), F.col("o_orderkey")
+    old = orders.select(key.alias("sha256"), F.when(key % 6 == 0, none).otherwise(rows).alias("rows"), F.col("o_orderpriority").alias("class_name"), F.when(key % 6 == 0, "rejected").otherwise("annotated").alias("status"))
+    new = orders.select(key.alias("sha256"), F.when(key % 13 == 0, none).when(key % 5 == 0, F.reverse(rows)).when(key % 7 == 0, F.slice(rows, 1, 1)).otherwise(rows).alias("rows"), F.when(key % 11 == 0, "9-NEW").otherwise(F.col("o_orderpriority")).alias("class_name"))
+    return old, new
+
+
+@query(f"WITH {REVISION_SQL} SELECT id, concat_ws(',', a, b, c) AS change_types, order_only, c0 AS old_class, c1 AS new_class, n0::INT AS old_boxes, n1::INT AS new_boxes, CASE WHEN n1 = 0 THEN 'rejected' ELSE 'annotated' END AS status FROM x")
+def revision_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = merge.revision_changes(*_revision(spark, sf_dir))
+    return out.withColumnRenamed("sha256", "id").withColumn("change_types", F.array_join("change_types", ","))
+
+
+@query(
+    f"""WITH {REVISION_SQL}, y AS (SELECT *, concat_ws(',', a, b, c) AS kinds FROM x) SELECT CASE WHEN kinds <> '' THEN c1 ELSE c0 END AS class_name, CASE WHEN kinds = '' THEN CASE WHEN n0 = 0 THEN 'rejected' ELSE 'annotated' END WHEN n1 = 0 THEN 'rejected' ELSE 'annotated' END AS annotation_status,
+ count(*) AS n, sum(CASE WHEN kinds <> '' THEN n1 ELSE n0 END)::BIGINT AS boxes, count(*) FILTER (kinds <> '') AS revised FROM y GROUP BY ALL"""
+)
+def revision_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _revision(spark, sf_dir)
+    manifest = old.select("sha256", "class_name", F.col("status").alias("annotation_status"), F.size("rows").alias("bbox_count"), F.lit(None).cast("array<struct<revision:string,change_types:array<string>,old_class:string,new_class:string,old_boxes:int,new_boxes:int>>").alias("annotation_revisions"))
+    out = merge.apply_revision(manifest, merge.revision_changes(old, new), "rev-1")
+    return out.groupBy("class_name", "annotation_status").agg(F.count(F.lit(1)).alias("n"), F.sum("bbox_count").alias("boxes"), F.count_if(F.size(F.coalesce("annotation_revisions", F.array())) > 0).alias("revised"))
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey AS id, list_distinct(list(l_linenumber % 5)) AS k, count(*) AS n FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey AS id, o_orderpriority[1]::INT - 1 AS c, o_orderkey % 5 AS wish, o_orderkey % 8 = 1 AS open FROM orders),
+j AS (SELECT o.id, c, coalesce(k, []) AS k, coalesce(n, 0) AS n, CASE WHEN o.id % 3 = 0 THEN wish END AS wish, open FROM o LEFT JOIN l USING (id)),
+p AS (SELECT *, CASE WHEN len(k) = 1 THEN k[1] WHEN list_contains(k, c) THEN c WHEN list_contains(k, wish) THEN wish END AS new FROM j)
+SELECT id, CASE WHEN open THEN 'missing' WHEN n = 0 THEN 'rejected' ELSE 'annotated' END AS annotation_status, CASE WHEN open THEN 0 ELSE n END::INT AS bbox_count, CASE WHEN NOT open AND n > 0 AND new <> c THEN new ELSE c END::INT AS class_id,
+ CASE WHEN NOT open AND n > 0 AND new <> c THEN c END AS original_class_id, NOT open AND n > 0 AND new IS NULL AS needs_override FROM p"""
+)
+def first_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("sha256")).agg(F.collect_list(F.col("l_linenumber").cast("string")).alias("rows"), F.collect_set(F.col("l_linenumber") % 5).alias("classes"))
+    orders = table(spark, sf_dir, "orders")
+    manifest = orders.select(F.col("o_orderkey").alias("sha256"), (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("class_id"), F.lit("missing").alias("annotation_status"), F.lit(0).alias("bbox_count"))
+    reviewed = manifest.filter("sha256 % 8 <> 1").select("sha256").join(lines, "sha256", "left").select("sha256", F.coalesce("rows", F.array().cast("array<string>")).alias("rows"), F.coalesce("classes", F.array().cast("array<int>")).alias("classes"))
+    wishes = manifest.filter("sha256 % 3 = 0").select("sha256", (F.col("sha256") % 5).cast("int").alias("class_id"))
+    out = merge.first_merge(manifest, reviewed, wishes)
+    return out.select(F.col("sha256").alias("id"), "annotation_status", "bbox_count", "class_id", "original_class_id", F.coalesce("needs_override", F.lit(False)).alias("needs_override"))
+
+
+@query("""SELECT count(*) AS n, count(DISTINCT doc_id) AS ids FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0)""")
+def append_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    out = merge.append_new(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 3 = 0").withColumn("ingest_id", F.lit("i1")), "doc_id")
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids"))
+
+
+AUDIT_SQL = """s AS (SELECT CASE WHEN o_orderkey % 100 = 7 THEN o_orderkey - 7 ELSE o_orderkey END::VARCHAR AS id, 'g' || o_custkey AS g, CASE WHEN o_orderkey % 331 = 0 THEN 'holdout' WHEN o_custkey % 10 < 7 THEN 'train' WHEN o_custkey % 10 < 9 THEN 'val' ELSE 'test' END AS split,
+ o_orderpriority[1]::INT - 1 AS class_id, CASE WHEN o_orderkey % 477 = 0 THEN 'wrong' ELSE o_orderpriority END AS class_name FROM orders),
+d(class_id, class_name) AS (VALUES (0, '1-URGENT'), (1, '2-HIGH'), (2, '3-MEDIUM'), (3, '4-NOT SPECIFIED'), (4, '5-LOW'), (5, '6-EXTRA'))"""
+
+
+@query(
+    f"""WITH {AUDIT_SQL}, v AS (SELECT 'repeated_sha256' AS "check", id AS key, count(*)::VARCHAR AS detail FROM s GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'invalid_split', id, split FROM s WHERE split NOT IN ('train', 'val', 'test') UNION ALL SELECT 'group_crosses_splits', g, count(DISTINCT split)::VARCHAR FROM s GROUP BY g HAVING count(DISTINCT split) > 1
+UNION ALL SELECT 'class_name_and_id', id, s.class_name FROM s LEFT JOIN d USING (class_id) WHERE s.class_name IS DISTINCT FROM d.class_name
+UNION ALL SELECT 'class_not_covered', p || '/' || d.class_name, NULL FROM d, (VALUES ('val'), ('test')) AS q(p) WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.class_name = d.class_name AND s.split = p)) SELECT * FROM v"""
+)
+def split_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    parted = F.when(key % 331 == 0, "holdout").when(F.col("o_custkey") % 10 < 7, "train").when(F.col("o_custkey") % 10 < 9, "val").otherwise("test")
+    rows = table(spark, sf_dir, "orders").select(F.when(key % 100 == 7, key - 7).otherwise(key).cast("string").alias("sha256"), F.concat(F.lit("g"), "o_custkey").alias("leakage_group"), parted.alias("split"), (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("class_id"), F.when(key % 477 == 0, "wrong").otherwise(F.col("o_orderpriority")).alias("class_name"))
+    dim = spark.createDataFrame([*enumerate(["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-EXTRA"])], "class_id int, class_name string")
+    return audit.split_audit(rows, dim)
+
+
+@query(
+    """WITH t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 40 = 0 THEN 'x' ELSE 'l' || o_custkey END AS l, CASE WHEN o_orderkey % 90 = 0 THEN 'other' ELSE o_orderpriority END AS c FROM orders WHERE o_orderkey % 10 = 0),
+m AS (SELECT o_orderkey AS id, 'l' || o_custkey AS l, o_orderpriority AS c, CASE WHEN o_orderkey % 70 = 0 THEN 'missing' ELSE 'annotated' END AS s FROM orders WHERE o_orderkey % 110 <> 0), q AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 30 = 0 THEN 'done' ELSE 'pending' END AS s FROM orders WHERE o_orderkey % 20 = 0 OR o_orderkey % 99 = 0)
+SELECT 'holdout' AS "check", t.id::VARCHAR AS key, CASE WHEN m.s IS NULL THEN 'missing_from_manifest' WHEN m.s <> 'annotated' THEN 'not_annotated' WHEN t.c <> m.c THEN 'class_drifted' WHEN t.l <> m.l THEN 'label_drifted' END AS detail FROM t LEFT JOIN m USING (id) WHERE m.s IS NULL OR m.s <> 'annotated' OR t.c <> m.c OR t.l <> m.l
+UNION ALL SELECT 'queue_missing', id::VARCHAR, NULL FROM t WHERE id NOT IN (SELECT id FROM q) UNION ALL SELECT 'queue_extra', id::VARCHAR, NULL FROM q WHERE id NOT IN (SELECT id FROM t) UNION ALL SELECT 'queue_not_pending', id::VARCHAR, s FROM q WHERE s <> 'pending'"""
+)
+def holdout_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    base = [key.alias("sha256"), F.lit("g").alias("leakage_group")]
+    test = orders.filter(key % 10 == 0).select(*base, F.when(key % 40 == 0, "x").otherwise(F.concat(F.lit("l"), "o_custkey")).alias("label_sha256"), F.when(key % 90 == 0, "other").otherwise(F.col("o_orderpriority")).alias("class_id"))
+    manifest = orders.filter(key % 110 != 0).select(*base, F.concat(F.lit("l"), "o_custkey").alias("label_sha256"), F.col("o_orderpriority").alias("class_id"), F.when(key % 70 == 0, "missing").otherwise("annotated").alias("annotation_status"))
+    queue = orders.filter((key % 20 == 0) | (key % 99 == 0)).select(key.alias("sha256"), F.when(key % 30 == 0, "done").otherwise("pending").alias("status"))
+    return audit.holdout_audit(test, queue, manifest)
+
+
+@query(
+    r"""SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS domain, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS links, contains(lower(html), 'update your browser') OR contains(lower(html), 'before you continue') OR contains(lower(html), 'unusual traffic') OR contains(lower(html), '/sorry/') OR contains(lower(html), 'enablejs') AS blocked,
+ CASE WHEN lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) LIKE '%.svg' OR contains(lower(url), 'logo') OR contains(lower(url), 'favicon') THEN true ELSE false END AS skipped, '.jpg' AS suffix, 0 AS priority FROM (SELECT *, regexp_extract_all(html, 'href="([^"]+)"', 1) AS l FROM pages)"""
+)
+def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, h = F.col("url"), F.col("html")
+    links = web.found_urls(h, [r'href="([^"]+)"'])
+    return table(spark, sf_dir, "pages").select("page_id", web.domain(u).alias("domain"), F.array_join(links, "|").alias("links"), web.is_blocked(h).alias("blocked"), web.is_skipped(u).alias("skipped"), web.suffix_guess(u, F.lit(None).cast("string")).alias("suffix"), web.url_priority(u).alias("priority"))
+
+
+@query(
+    """WITH q AS (SELECT doc_id, trim(regexp_replace(text[1:40], '[ \\n\\t]+', ' ', 'g')) AS q FROM documents), f AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY doc_id) AS n FROM q) SELECT q AS query, doc_id AS first_at FROM f WHERE n = 1"""
+)
+def queries_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(web.normalised_query(F.substring("text", 1, 40)).alias("query"), F.col("doc_id").alias("first_at"))
+    return sample.distinct_in_order(rows, ["query"], "first_at")
+
+
+@query("""SELECT event_id AS id, (CASE WHEN event_id % 3 = 0 THEN true ELSE contains((['image/png', 'text/html', 'IMAGE/JPEG'])[event_id % 3 + 1], 'image') OR event_id % 3 = 2 END) AND floor(value * 100) >= 1024 AS accepted FROM events""")
+def download_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_id") % 3 == 0, None).otherwise(F.element_at(F.array(*map(F.lit, ["image/png", "text/html", "IMAGE/JPEG"])), (F.col("event_id") % 3 + 1).cast("int")))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), web.accepted_download(kind, F.floor(F.col("value") * 100)).alias("accepted"))
+
+
+@query(
+    """WITH d AS (SELECT user_id, event_id, event_type, round(value / 1000, 3) AS c FROM events) SELECT user_id AS request, '{"detections":[' || string_agg('{"class_name":"' || event_type || '","confidence":' || CASE WHEN c = 0 THEN '0.0' WHEN c < 0.001 THEN c::VARCHAR ELSE c::VARCHAR END || '}', ',' ORDER BY event_id) || ']}' AS payload FROM d GROUP BY 1"""
+)
+def prompt_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("request"), "event_id", F.col("event_type").alias("class_name"), (F.col("value") / 1000).alias("confidence"))
+    return advisory.prompt_payload(rows, "request", "event_id")
