@@ -54,13 +54,13 @@ def hamming_pairs(left: DataFrame, right: DataFrame, distance: int, hash_column:
 
 
 def leaders(df: DataFrame, distance: int, id_column: str = "id", order: str = "ord", sha: str = "sha256", hash_column: str = "hash", eligible: str | None = None) -> DataFrame:
-    """Greedy dedup in the order of ``order``: id, status (kept, exact,
-    near or skipped), duplicate_of, distance.
+    """Greedy dedup in the order of ``order`` (without ties): id, status
+    (kept, exact, near or skipped), duplicate_of, distance.
 
     A later copy of a sha is an exact duplicate of the first row with it. Of
     the other eligible rows a row is kept unless an earlier kept one is within
-    ``distance``; it is then a duplicate of the nearest one, of the smallest
-    id among the nearest. The kept rows are the lexicographically first
+    ``distance``; it is then a duplicate of the nearest such one, of the
+    smallest id among the nearest. The kept rows are the lexicographically first
     maximal independent set of the similarity graph: round by round, rows all
     of whose earlier neighbours are dropped are kept, and rows with a kept
     earlier neighbour are dropped. A negative distance turns this off."""
@@ -84,9 +84,10 @@ def leaders(df: DataFrame, distance: int, id_column: str = "id", order: str = "o
         by = edges.join(state.select(F.col("hash").alias("a"), F.col("state").alias("sa")), "a").groupBy("b").agg(F.max((F.col("sa") == "kept").cast("int")).alias("hit"), F.max((F.col("sa") == "open").cast("int")).alias("wait"))
         new = F.when(F.col("state") != "open", F.col("state")).when(F.col("hit") == 1, "dropped").when(F.col("wait") == 0, "kept").otherwise("open")
         state = cut(state.join(by.withColumnRenamed("b", "hash"), "hash", "left").select("hash", new.alias("state")))
-    kept = first.join(state.filter("state = 'kept'"), "hash").select("hash", "id")
-    near = hamming_pairs(nodes, kept, distance).join(kept.select(F.col("hash").alias("b"), F.col("id").alias("leader")), "b").groupBy("a").agg(F.min(F.struct("distance", "leader")).alias("best"))
-    out = nodes.join(kept.select("id", F.lit(True).alias("own")), "id", "left").join(near.withColumnRenamed("a", "hash"), "hash", "left")
+    kept = cut(first.join(state.filter("state = 'kept'"), "hash").select("hash", "id", "ord"))
+    led = kept.select(F.col("hash").alias("b"), F.col("id").alias("leader"), F.col("ord").alias("leader_ord"))
+    near = nodes.withColumnRenamed("hash", "a").join(hamming_pairs(nodes, kept, distance), "a").join(led, "b").filter("leader_ord < ord").groupBy("id").agg(F.min(F.struct("distance", "leader")).alias("best"))
+    out = nodes.join(kept.select("id", F.lit(True).alias("own")), "id", "left").join(near, "id", "left")
     is_kept = F.col("own").isNotNull()
     out = out.select("id", F.when(is_kept, "kept").otherwise("near").alias("status"), F.when(~is_kept, F.col("best.leader")).alias("duplicate_of"), F.when(~is_kept, F.col("best.distance")).alias("distance"))
     return exact.unionByName(unfit).unionByName(out)

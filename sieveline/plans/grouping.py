@@ -46,7 +46,7 @@ def hamming_pairs_18(spark: SparkSession, sf_dir: str) -> DataFrame:
 r(n, kept) AS (SELECT 0::BIGINT, []::STRUCT(id BIGINT, hash BIGINT)[] UNION ALL
  SELECT o.n, CASE WHEN len(list_filter(r.kept, lambda k: bit_count(xor(k.hash, o.hash)) <= 18)) = 0 THEN list_append(r.kept, {{'id': o.id, 'hash': o.hash}}) ELSE r.kept END FROM r JOIN o ON o.n = r.n + 1),
 k AS (SELECT unnest(kept, recursive := true) FROM r WHERE n = (SELECT max(n) FROM o)),
-m AS (SELECT h.id, min({{'d': bit_count(xor(k.hash, h.hash))::INT, 'w': k.id}}) AS b FROM h JOIN k ON bit_count(xor(k.hash, h.hash)) <= 18 GROUP BY h.id)
+m AS (SELECT h.id, min({{'d': bit_count(xor(k.hash, h.hash))::INT, 'w': k.id}}) AS b FROM h JOIN k ON bit_count(xor(k.hash, h.hash)) <= 18 AND k.id <= h.id GROUP BY h.id)
 SELECT m.id, CASE WHEN k.id IS NULL THEN 'near' ELSE 'kept' END AS status, CASE WHEN k.id IS NULL THEN b.w END AS duplicate_of, CASE WHEN k.id IS NULL THEN b.d END AS distance FROM m LEFT JOIN k USING (id)"""
 )
 def leader_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,15 +21,14 @@ from sieveline.schemas import CSV_BOX
 IMAGES = "*.{jpg,jpeg,png,webp,bmp}"
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """A manifest; blank lines are skipped and malformed ones fail the read."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def read_csv_boxes(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Boxes of several CSV files; Spark's reader drops a byte-order mark."""
-    names = [f.name for f in CSV_BOX.fields]
-    return spark.read.csv(paths, header=True, schema=CSV_BOX, mode="FAILFAST").select(*names)
+    return spark.read.csv(paths, header=True, schema=CSV_BOX, mode="FAILFAST")
 
 
 def csv_box_complaints(df: DataFrame, width: Column, height: Column) -> DataFrame:
@@ -118,7 +117,7 @@ def read_label_archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content").mapInArrow(run, "archive string, member string, line string, names string, listed boolean")
 
 
-def read_selections(spark: SparkSession, pattern: str, own: str, schema: T.StructType) -> DataFrame:
+def read_selections(spark: SparkSession, pattern: str, own: str, schema: str) -> DataFrame:
     """Distinct groups of all selections but those of the folder ``own``."""
     rows = spark.read.schema(schema).json(pattern).withColumn("__file", F.col("_metadata.file_path"))
     return rows.filter(~F.contains("__file", F.lit(f"/{own}/"))).select("leakage_group").distinct()
