@@ -6,7 +6,8 @@ ASCII, at/dot disguises undone, runs of spelled digits turned into digits)
 writes a normalised text together with the source span of each of its
 characters; the same detectors run over it, and what they find is mapped back
 to source characters. A span is added only where something was rewritten, or
-where a plain candidate was dropped, and where no plain span of its kind is.
+where a plain candidate was dropped, and unless a plain span of its kind
+covers it (a disguised letter can leave a plain span within the full one).
 
 All offsets count code points, ends exclusive.
 
@@ -251,7 +252,8 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
             out.append((n.start(), n.end(), "phone"))
     free: list[Span] = []
     for span in sorted(set(out)):
-        if not any(b[2] == span[2] and b[0] < span[1] and span[0] < b[1] for b in [*base, *free]):
+        covered = any(b[2] == span[2] and b[0] <= span[0] and span[1] <= b[1] for b in base)
+        if not covered and not any(b[2] == span[2] and b[0] < span[1] and span[0] < b[1] for b in free):
             free.append(span)
     return free
 

@@ -274,7 +274,8 @@ def language_thresholds(scored: DataFrame, language: str = "lang", label: str =
     edges = sums.withColumn("edge", F.explode(F.sequence(F.lit(1), F.lit(bins - 1))))
     above = F.filter("b", lambda x: x["bin"] >= F.col("edge"))
     add = lambda name: F.aggregate(above, F.lit(0).cast("long"), lambda acc, x: acc + x[name])
-    f1 = edges.select(language, "edge", "total", F.round(2 * add("bad") / (F.col("total") + add("n")), 9).alias("f1"))
+    marked = F.col("total") + add("n")
+    f1 = edges.select(language, "edge", "total", F.when(marked > 0, F.round(2 * add("bad") / marked, 9)).otherwise(0.0).alias("f1"))
     best = f1.groupBy(language).agg(F.max("f1").alias("best"))
     chosen = f1.join(best.withColumnRenamed(language, "__l"), F.col(language).eqNullSafe(F.col("__l")) & (F.col("f1") == F.col("best")))
     return chosen.groupBy(language).agg(F.when(F.max("total") >= least, (F.min("edge") + F.max("edge")) / (2 * bins)).otherwise(0.7).alias("threshold"))
