@@ -101,9 +101,11 @@ LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ɡ": "g", "ո": "n", "ս": "u", "ӏ": "l", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ѕ": "S", "Ј": "J", "З": "3",
     "ο": "o", "α": "a", "ν": "v", "ι": "i", "ρ": "p", "κ": "k", "τ": "t", "υ": "u", "χ": "x", "ε": "e", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "ı": "i", "ſ": "s", "。": ".", "․": ".", "·": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", " ": " ", " ": " ", " ": " ",
+    "ı": "i", "ſ": "s", "。": ".", "․": ".", "·": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-",
 }
-INVISIBLE = frozenset("­​‌‍⁠﻿")
+#: Spaces other than U+0020, and characters that do not show.
+LOOKALIKES |= dict.fromkeys(map(chr, (0xA0, 0x2007, 0x2009, 0x202F, 0x3000)), " ")
+INVISIBLE = frozenset(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)))
 #: Spelled digits of the corpus's languages.
 SPELLED = {
     "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "oh": "0",
