@@ -54,20 +54,21 @@ def repeated_runs(df: DataFrame, text: str = "text", id_column: str = "doc_id",
     one = F.transform(lines, lambda s: F.struct(_line_id(s).alias("id"), F.regexp_count(s, F.lit(f"{NOT_SPACE}+")).alias("n")))
     rows = df.select(*_document(text, id_column), F.posexplode(one).alias("q", "x")).select("__o", "__h", "q", F.col("x.id.a").alias("a"), F.col("x.id.b").alias("b"), F.col("x.n").alias("n"))
     rows = cut(rows)
-    twice = rows.groupBy("a", "b").count().filter("count > 1").select("a", "b")
+    # counts are written before they are joined: a join of two exchanges can have its hot keys split, one above an aggregate cannot
+    twice = cut(rows.groupBy("a", "b").count().filter("count > 1").select("a", "b"))
     # rows that repeat whole are one document
     shared = rows.join(twice, ["a", "b"], "left_semi").distinct()
     shared = shared.repartitionByRange(F.col("__o"), F.col("__h")).sortWithinPartitions("__o", "__h", "q").withColumn("p", F.monotonically_increasing_id())
     shared = cut(shared)
-    first = shared.groupBy("a", "b").agg(F.min("p").alias("c"))
+    first = cut(shared.groupBy("a", "b").agg(F.min("p").alias("c")))
     level = shared.join(first, ["a", "b"]).select("p", "__o", "__h", "q", "c")
     names = level.select(F.lit(0).alias("k"), "p", "c")
     k = 0
     while 2 ** (k + 1) <= min_words:
         level = cut(level)
         later = level.select((F.col("p") - 2**k).alias("p"), F.col("__o").alias("o2"), F.col("__h").alias("h2"), (F.col("q") - 2**k).alias("q2"), F.col("c").alias("d"))
-        pairs = level.join(later, "p").filter("__o = o2 and __h = h2 and q = q2").select("p", "__o", "__h", "q", "c", "d")
-        least = pairs.groupBy("c", "d").agg(F.min("p").alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("c", "d", "m")
+        pairs = cut(level.join(later, "p").filter("__o = o2 and __h = h2 and q = q2").select("p", "__o", "__h", "q", "c", "d"))
+        least = cut(pairs.groupBy("c", "d").agg(F.min("p").alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("c", "d", "m"))
         level = pairs.join(least, ["c", "d"]).select("p", "__o", "__h", "q", F.col("m").alias("c"))
         k += 1
         names = names.unionByName(level.select(F.lit(k).alias("k"), "p", "c"))
@@ -88,7 +89,7 @@ def repeated_runs(df: DataFrame, text: str = "text", id_column: str = "doc_id",
     tail = names.select("k", F.col("p").alias("t"), F.col("c").alias("y"))
     spans = spans.join(head, ["k", "s"]).withColumn("t", F.col("s") + F.col("f") - F.pow(F.lit(2), F.col("k")).cast("long")).join(tail, ["k", "t"])
     spans = cut(spans.select("__o", "__h", "s", "q", "f", "x", "y"))
-    intervals = spans.groupBy("f", "x", "y").agg(F.min("s").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    intervals = cut(spans.groupBy("f", "x", "y").agg(F.min("s").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     copies = spans.join(intervals, ["f", "x", "y"]).filter("s > first")
     start = F.col("q") + F.greatest(F.lit(0), F.col("first") + F.col("f") - F.col("s"))
     gone = copies.select("__o", "__h", start.cast("int").alias("s"), (F.col("q") + F.col("f")).cast("int").alias("e")).filter("s < e")
