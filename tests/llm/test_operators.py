@@ -137,6 +137,32 @@ def test_model_is_a_distribution():
     assert (10 ** model.log10(f, np.arange(1024))).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_both_factors_use_four_features():
+    """A change of the word before, the second or the third one back changes
+    the features of class and bucket; texts do not reach into each other."""
+    lexicon = maxent.Lexicon([(w, 9) for w in "abcdefg"], np.ones(1024), np.ones(1024))
+    model, features = maxent.Model(lexicon), lambda *texts: maxent.Encoded(lexicon, texts)
+    base, buckets = features("a b c d").features[3], np.array([3])
+    differing = []
+    for text in ("e b c d", "a e c d", "a b e d"):
+        for p, q in zip(model._places(base[None], buckets)[:2], model._places(features(text).features[3][None], buckets)[:2]):
+            assert p.shape == q.shape == (1, 4)
+            differing.append((p != q).sum())
+    assert differing == [1, 1, 2, 2, 2, 2]
+    for text in ("", "a", "a b", "a b c d"):
+        assert (features("e f g", text).features[4:] == features(text).features).all()
+
+
+def test_language_model_learns_from_few_texts(spark):
+    rng = np.random.default_rng(1)
+    speech = [[f"{p}{k}" for k in range(40)] for p in "ab"]
+    texts = [" ".join(rng.choice(speech[k % 2], 80)) for k in range(120)] + ["ÉA b\x0bc", "", None, "rareword rareword"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in maxent.score(df, df.filter("doc_id % 5 <> 0")).collect()}
+    held = range(0, 120, 5)
+    assert sum(got[k]["score"] for k in held) > sum(got[k]["base_score"] for k in held)
+
+
 def test_buckets_agree(spark):
     words = ["the", "é", "xyz", "漢字かな", "a"]
     got = spark.createDataFrame([(w,) for w in words], "w string").select(maxent.shared_bucket_column(F.col("w")).alias("b")).collect()
