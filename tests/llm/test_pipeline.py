@@ -26,6 +26,17 @@ def test_stages_keep_clean_documents(spark, tmp_path):
             assert base["doc_id"] in ids
 
 
+def test_near_duplicates_keep_null_and_repeated_ids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    text = {c: " ".join(f"{c}{k * k}" for k in range(60)) for c in "abcdef"}
+    rows = [(None, "a"), (None, "a"), (None, "b"), (7, "c"), (7, "d"), (3, "d"), (7, "e"), (None, "f"), (9, "f"), (9, "f"), (None, None), (None, None)]
+    frame = spark.createDataFrame([(i, text.get(c), "en", "web", 1) for i, c in rows], docs.schema)
+    out = corpus_pipeline.drop_near_duplicates(spark, frame, "/root/testdata/sf0.001")
+    key = lambda r: (str(r[0]), str(r[1]))
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=key)
+    assert got == sorted([(None, text["a"]), (None, text["b"]), (7, text["c"]), (3, text["d"]), (7, text["e"]), (9, text["f"]), (None, None)], key=key)
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
