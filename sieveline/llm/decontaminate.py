@@ -103,21 +103,23 @@ def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _seed_table(items: DataFrame, text: str, id_column: str) -> DataFrame:
-    """(item, h, tokens of the item): distinct seeds of each row."""
+    """(item, h, places, tokens of the item): distinct seeds of each row and
+    the number of their places in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, sizes = [], [], []
+            ids, hashes, places, sizes = [], [], [], []
             for key, value in zip(batch.column(0), batch.column(1)):
                 tokens = tokens_of(value.as_py())
-                own = np.unique(seeds(tokens)).view(np.int64).tolist()
+                own, times = np.unique(seeds(tokens), return_counts=True)
                 ids += [key.as_py()] * len(own)
-                hashes += own
+                hashes += own.view(np.int64).tolist()
+                places += times.tolist()
                 sizes += [len(tokens)] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32())], ["item", "h", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(hashes, pa.int64()), pa.array(places, pa.int32()), pa.array(sizes, pa.int32())], ["item", "h", "places", "size"])
 
     kind = items.schema[id_column].dataType.simpleString()
-    return items.select(F.col(id_column), F.col(text).cast("string").alias("__text")).mapInArrow(run, f"item {kind}, h long, size int")
+    return items.select(F.col(id_column), F.col(text).cast("string").alias("__text")).mapInArrow(run, f"item {kind}, h long, places int, size int")
 
 
 def _filter(hashes: DataFrame) -> np.ndarray:
@@ -184,8 +186,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_
         met = own.join(F.broadcast(seed), "h")
     else:  # a seed may stand in a third of all documents
         met = own.withColumn("salt", (F.col("rid") % SALTS).cast("int")).join(seed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["h", "salt"])
+    # a token of a tile lies in a seed that both share, and each place of one holds MIN_TILE
     enough = F.col("n") * MIN_TILE >= coverage * F.col("size")
-    pairs = met.groupBy("rid", "row", "size").agg(F.count(F.lit(1)).alias("n")).filter(enough).select("rid", "row")
+    pairs = met.groupBy("rid", "row", "size").agg(F.sum("places").alias("n")).filter(enough).select("rid", "row")
     texts = F.broadcast(items) if n <= SMALL_SEEDS else items
     joined = pairs.join(texts, "row").join(found.select("rid", "doc", "tokens"), "rid")
     tiled = _tiled(joined).withColumn("coverage", F.col("covered_words") / F.col("item_words"))

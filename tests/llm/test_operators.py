@@ -210,6 +210,13 @@ def test_contamination(spark):
     assert decontaminate.contamination(documents(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_contamination_by_repetitive_items(spark):
+    item = " ".join(f"q{k % 8}" for k in range(60))
+    bench = spark.createDataFrame([(1, item), (2, "same " * 40)], "item_id long, text string")
+    found = decontaminate.contamination(documents(spark, [f"before {item} after", "same " * 33, "same " * 30]), bench).collect()
+    assert sorted((r["doc"], r["item"], r["coverage"]) for r in found) == [(0, 1, 1.0), (1, 2, 33 / 40)]
+
+
 def test_salted_join_gives_the_same(spark, monkeypatch):
     item = " ".join(f"q{k}" for k in range(30))
     df, bench = documents(spark, [item, "other text", item + " z"]), spark.createDataFrame([(1, item), (2, item)], "item_id long, text string")
