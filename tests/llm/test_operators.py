@@ -446,3 +446,13 @@ def test_differencing(spark):
     assert all(got[k] == f"text {k}" for k in range(150)) and got[903] == "text 149"
     assert got[900] == "Site name\nalone\nImprint" and got[901] == "" and got[902] == "Imprint"
     assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_differencing_looks_past_long_runs_of_copies(spark):
+    page = lambda *lines: "<body>" + "".join(f"<p>{x}</p>" for x in lines) + "</body>"
+    rows = [(0, "http://h.org/a000", page("shared menu", "text one")), (900, "http://h.org/b", page("shared menu", "text three", "shared foot"))]
+    rows += [(k, f"http://h.org/a{k:03}", page("shared menu", "text two", "shared foot")) for k in range(1, 301)]
+    rows += [(1000 + k, "http://only.org/x", page("shared menu", "alone")) for k in range(150)]
+    got = {r["id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows) and got[0] == "text one" and got[900] == "text three"
+    assert {got[k] for k in range(1, 301)} == {"text two"} and {got[1000 + k] for k in range(150)} == {"shared menu\nalone"}
