@@ -224,7 +224,8 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", id_column: str = "doc_id", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model | None:
     """Train on at most ``rows`` labelled documents, half of each label where
     there are as many, in the order of a hash of the id. Ids are chosen from
-    the labels alone; only chosen texts that fit ``chars`` reach the driver."""
+    the labels alone; a text that would exceed ``chars`` is left out, the ones
+    after it are still taken if they fit, and only taken texts reach the driver."""
     chosen: dict = {}
     for value in (1, 0):
         order = F.xxhash64(F.col(id_column).cast("string"), F.lit(value))
@@ -233,15 +234,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
             chosen.setdefault(row[0], (rank, value))
     spark = docs.sparkSession
     ids = spark.createDataFrame([(k, *v) for k, v in chosen.items()], f"`{id_column}` {labels.schema[id_column].dataType.simpleString()}, rank long, label int")
-    got = cut(docs.join(F.broadcast(ids), id_column).select("rank", "label", F.col(text).alias("t")).filter("t is not null"))
-    sizes = got.select("rank", "label", F.length("t").alias("n"), F.xxhash64("t").alias("h")).orderBy("rank", "label", "h").collect()
-    used, last = 0, 0
+    got = cut(docs.join(F.broadcast(ids), id_column).select("rank", "label", F.col(text).alias("t")).filter("t is not null").withColumn("rid", F.monotonically_increasing_id()))
+    sizes = got.select("rid", "rank", "label", F.length("t").alias("n"), F.xxhash64("t").alias("h")).orderBy("rank", "label", "h", "rid").collect()
+    used, taken = 0, []
     for r in sizes:
-        used += r["n"]
-        if used > chars:
-            break
-        last = r["rank"] + 1
-    texts = got.filter(F.col("rank") < last).orderBy("rank", "label", "t").collect()
+        if used + r["n"] <= chars:
+            used += r["n"]
+            taken.append((r["rid"],))
+    texts = got.join(F.broadcast(spark.createDataFrame(taken, "rid long")), "rid").orderBy("rank", "label", "t").collect()
     if len({r["label"] for r in texts}) < 2:
         return None
     return train([r["t"] for r in texts], np.array([r["label"] for r in texts]))

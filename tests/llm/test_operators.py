@@ -90,6 +90,18 @@ def test_toxicity_learns(spark):
     assert toxicity.toxicity(df.limit(0), model).count() == 0
 
 
+def test_toxicity_skips_only_texts_that_do_not_fit(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: (texts, labels.tolist()))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, toxic int")
+    for value in (1, 0):
+        first = labels.filter(F.col("toxic") == value).orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(value))).first()[0]
+        docs = spark.createDataFrame([(k, "x" * 1000 if k == first else f"text {k:02}") for k in range(20)], "doc_id long, text string")
+        texts, kinds = toxicity.fit(docs, labels, chars=900)
+        assert sorted(texts) == [f"text {k:02}" for k in range(20) if k != first]
+        assert sorted(kinds.count(v) for v in (0, 1)) == [9, 10]
+    assert toxicity.fit(docs, labels, chars=3) is None
+
+
 def test_toxicity_batches_do_not_matter():
     rows = toxic_corpus(90)
     model = toxicity.train([t for t, _ in rows], np.array([y for _, y in rows]))
