@@ -12,8 +12,11 @@ covers it (a disguised letter can leave a plain span within the full one).
 All offsets count code points, ends exclusive.
 
 Edge cases: a null text is the empty text and has no spans; rows that repeat
-give a row each; columns beside the id and the text are not read. Detectors
-are linear in the text, whatever its length.
+give a row each; columns beside the id and the text are not read. Of added
+spans of a kind that overlap, the one that starts first stays, of those the
+shortest. The work is in proportion to the length of a text: every search is
+bounded or meets each character a fixed number of times (an address spelled
+out with more than ten parts on a side is not looked for).
 """
 
 from __future__ import annotations
@@ -115,13 +118,13 @@ SPELLED = {
 }
 DIGIT = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 AT, DOT, DASH, PLUS = r"(?:at|arroba|ät|chez)", r"(?:dot|punto|punkt|point)", r"(?:dash|minus|hyphen)", "plus"
-#: A run of spelled digits, at least three of them, with dots, dashes, a leading plus and plain digits among them.
-RUN = re.compile(rf"(?<!\w)(?:{PLUS}[\x20,-]*)?(?:(?:{DIGIT}|[0-9]+)[\x20,-]+(?:{DOT}[\x20,-]+|{DASH}[\x20,-]+)?)*{DIGIT}(?:[\x20,-]+(?:{DOT}[\x20,-]+|{DASH}[\x20,-]+)?(?:{DIGIT}|[0-9]+))*(?!\w)", re.I)
-RUN_PART = re.compile(rf"({DIGIT})(?!\w)|({DOT})(?!\w)|({DASH})(?!\w)|({PLUS})(?!\w)|([0-9]+)|([\x20,-]+)", re.I)
+#: An item of a run of spelled digits: a digit, dot, dash, plus or plain digits; what may stand between two items.
+ITEM = re.compile(rf"(?<!\w)(?:({DIGIT})|({DOT})|({DASH})|({PLUS})|([0-9]+))(?!\w)", re.I)
+GAP = re.compile(r"[\x20,-]+")
 OPEN, SHUT = r"[\[({<]", r"[\])}>]"
-BRACKETED = re.compile(rf"\s*{OPEN}\s*(?:({AT}|@)|({DOT}|\.))\s*{SHUT}\s*", re.I)
-#: Spaced words: a local part, at, labels joined by dot.
-SPACED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\s+{DOT}\s+)[A-Za-z0-9_%+-]+)*(\s+{AT}\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\.|\s+{DOT}\s+)[A-Za-z0-9-]+)*\s+{DOT}\s+[A-Za-z]{{2,4}}(?![A-Za-z0-9-])", re.I)
+BRACKETED = re.compile(rf"{OPEN}\s*+(?:({AT}|@)|({DOT}|\.))\s*+{SHUT}", re.I)
+#: Spaced words: a local part, at, labels joined by dot, each of at most ten parts, which bounds the search at each place.
+SPACED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:(?:\.|\s++{DOT}\s++)[A-Za-z0-9_%+-]++){{0,9}}(\s++{AT}\s++|\s*+@\s*+)[A-Za-z0-9-]++(?:(?:\.|\s++{DOT}\s++)[A-Za-z0-9-]++){{0,8}}\s++{DOT}\s++[A-Za-z]{{2,4}}(?![A-Za-z0-9-])", re.I)
 SPACED_PART = re.compile(rf"\s+{AT}\s+|\s*@\s*|\s+{DOT}\s+", re.I)
 DISGUISED = ("dot", "punto", "punkt", "point", "arroba")
 FOREIGN = re.compile(r"[^\x00-\xac\xae-\xff]|[\xa0\xb7]")
@@ -203,25 +206,47 @@ def _folded(text: str) -> list[tuple[int, int, str]]:
 
 
 def _undisguised(text: str) -> list[tuple[int, int, str]]:
-    edits = [(m.start(), m.end(), "@" if m[1] else ".") for m in BRACKETED.finditer(text)]
-    taken = [e[0] for e in edits]
+    edits: list[tuple[int, int, str]] = []
+    for m in BRACKETED.finditer(text):  # white space around goes too
+        start, end = m.span()
+        while start and text[start - 1].isspace() and (not edits or start > edits[-1][1]):
+            start -= 1
+        while end < len(text) and text[end].isspace():
+            end += 1
+        edits.append((start, end, "@" if m[1] else "."))
+    taken, n = [e[0] for e in edits], len(edits)
     for m in SPACED.finditer(text):
         for part in SPACED_PART.finditer(text, m.start(), m.end()):
             k = bisect_right(taken, part.start())
-            if (not k or edits[k - 1][1] <= part.start()) and (k == len(taken) or taken[k] >= part.end()):
+            if (not k or edits[k - 1][1] <= part.start()) and (k == n or taken[k] >= part.end()):
                 edits.append((part.start(), part.end(), "@" if "@" in part[0] or re.fullmatch(AT, part[0].strip(), re.I) else "."))
     return sorted(edits)
 
 
 def _spelled(text: str) -> list[tuple[int, int, str]]:
-    edits = []
-    for m in RUN.finditer(text):
-        parts = [*RUN_PART.finditer(text, m.start(), m.end())]
-        said = [p[1].lower() for p in parts if p[1]]
-        if len(said) < 3 or len(set(said)) < 2:
-            continue
-        value = "".join(SPELLED[p[1].lower()] if p[1] else "." if p[2] else "-" if p[3] else "+" if p[4] else p[5] or "" for p in parts)
-        edits.append((m.start(), m.end(), value))
+    """Runs of at least three spelled digits, not all the same one, with dots
+    and dashes between them, a leading plus and plain digits."""
+    edits: list[tuple[int, int, str]] = []
+    run: list[re.Match] = []
+
+    def close() -> None:
+        while run and (run[-1][2] or run[-1][3] or run[-1][4]):
+            run.pop()
+        said = [m[1].lower() for m in run if m[1]]
+        if len(said) >= 3 and len(set(said)) >= 2:
+            value = [SPELLED[m[1].lower()] if m[1] else "." if m[2] else "-" if m[3] else "+" if m[4] else m[5] for m in run]
+            edits.append((run[0].start(), run[-1].end(), "".join(value)))
+        run.clear()
+
+    for m in ITEM.finditer(text):
+        if run and not ((gap := GAP.match(text, run[-1].end())) and gap.end() == m.start()):
+            close()
+        joint = bool(m[2] or m[3])
+        if m[4] or joint and run and not (run[-1][1] or run[-1][5]):
+            close()
+        if run or not joint:  # dots and dashes only join
+            run.append(m)
+    close()
     return edits
 
 
@@ -253,10 +278,17 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
         if sum(c.isdigit() for c in m[0]) > 15 and (n := GROUPED_PHONE.match(text, m.start())) and 9 <= sum(c.isdigit() for c in n[0]) <= 15:
             out.append((n.start(), n.end(), "phone"))
     free: list[Span] = []
-    for span in sorted(set(out)):
-        covered = any(b[2] == span[2] and b[0] <= span[0] and span[1] <= b[1] for b in base)
-        if not covered and not any(b[2] == span[2] and b[0] < span[1] and span[0] < b[1] for b in free):
-            free.append(span)
+    reach = {kind: ([], []) for kind in KINDS}  # starts of plain spans, how far they and the earlier ones reach
+    for a, b, kind in base:
+        starts, ends = reach[kind]
+        starts.append(a)
+        ends.append(max(b, ends[-1] if ends else 0))
+    last = dict.fromkeys(KINDS, 0)
+    for start, end, kind in sorted(set(out)):
+        k = bisect_right(reach[kind][0], start)
+        if not (k and reach[kind][1][k - 1] >= end) and start >= last[kind]:
+            free.append((start, end, kind))
+            last[kind] = end
     return free
 
 
