@@ -6,39 +6,37 @@ A word is a maximal run of characters other than space and the controls
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sieveline.storage import cut, shared_dir, table  # noqa: F401  the operators take them from here
+
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's
-    spark.checkpoint.dir. Only where that is unset (tests on one machine)
-    a temporary folder takes its place."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="sieveline-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back, so that a lost
-    executor costs a read and never a recomputation from the start."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sieveline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of a long text that are taken at once.
+LONG = 1 << 18
+SPACES = re.compile(rb"[\x20\x09-\x0d]+")
+
+
+def word_pieces(raw: bytes, keep: int, size: int | None = None) -> Iterator[tuple[list[bytes], int]]:
+    """(words, how many of them were met before) of a text: one piece for most
+    texts; a long one is cut at white space after about ``size`` bytes, and a
+    piece begins with the ``keep`` words before it."""
+    size = size or LONG
+    at, met, held = 0, 0, []
+    while len(raw) - at > 2 * size and (found := SPACES.search(raw, at + size)):
+        words = held + raw[at : found.start()].split()
+        at, held = found.end(), words
+        if len(words) > keep:  # else white space, or a few very long words
+            yield words, met
+            held = words[len(words) - keep :]
+            met = len(held)
+    yield held + (raw[at:] if at else raw).split(), met
 
 
 def held_out(column: str, folds: int) -> Column:

@@ -145,7 +145,7 @@ def test_model_is_a_distribution():
     model = maxent.Model(lexicon)
     model.rows1[:] = np.random.default_rng(0).standard_normal(model.rows1.shape)
     model.rows2[:] = np.random.default_rng(1).standard_normal(model.rows2.shape)
-    f = np.tile(np.array([[77, 12345, 999]]), (1024, 1))
+    f = np.tile(np.array([[77], [12345], [999]], np.uint32), (1, 1024))
     assert (10 ** model.log10(f, np.arange(1024))).sum() == pytest.approx(1, abs=1e-4)
 
 
@@ -153,16 +153,45 @@ def test_both_factors_use_four_features():
     """A change of the word before, the second or the third one back changes
     the features of class and bucket; texts do not reach into each other."""
     lexicon = maxent.Lexicon([(w, 9) for w in "abcdefg"], np.ones(1024), np.ones(1024))
-    model, features = maxent.Model(lexicon), lambda *texts: maxent.Encoded(lexicon, texts)
-    base, buckets = features("a b c d").features[3], np.array([3])
+    model, features = maxent.Model(lexicon), lambda *texts: maxent.Encoded(lexicon, next(maxent.batches_of(texts)))
+    base, buckets = features("a b c d").features[:, 3:4], np.array([3])
     differing = []
     for text in ("e b c d", "a e c d", "a b e d"):
-        for p, q in zip(model._places(base[None], buckets)[:2], model._places(features(text).features[3][None], buckets)[:2]):
-            assert p.shape == q.shape == (1, 4)
+        for p, q in zip(model._places(base, buckets)[:2], model._places(features(text).features[:, 3:4], buckets)[:2]):
+            assert p.shape == q.shape == (4, 1)
             differing.append((p != q).sum())
     assert differing == [1, 1, 2, 2, 2, 2]
     for text in ("", "a", "a b", "a b c d"):
-        assert (features("e f g", text).features[4:] == features(text).features).all()
+        assert (features("e f g", text).features[:, 4:] == features(text).features).all()
+
+
+def test_long_texts_are_encoded_as_a_whole(monkeypatch):
+    """Cut into pieces, a text has the same tokens, buckets and features."""
+    rng = np.random.default_rng(3)
+    lexicon = maxent.Lexicon([(w, 9) for w in "abcdefg"], np.ones(1024), np.ones(1024))
+    texts = [" ".join(rng.choice(list("abcdefgxyz"), n)) for n in (0, 1, 3, 4, 50, 400)] + ["a" * 300 + " b c", None]
+    whole = maxent.Encoded(lexicon, next(maxent.batches_of(texts)))
+    monkeypatch.setattr(maxent, "LONG", 9)
+    monkeypatch.setattr(maxent, "TOKENS", 40)
+    parts = [maxent.Encoded(lexicon, lot) for lot in maxent.batches_of(texts)]
+    assert len(parts) > 5
+    assert (np.concatenate([x.features for x in parts], axis=1) == whole.features).all()
+    assert (np.concatenate([x.buckets for x in parts]) == whole.buckets).all()
+    assert sum([x.names for x in parts], []) == whole.names
+    sizes = Counter()
+    for x in parts:
+        for k, n in zip(x.texts.tolist(), x.sizes.tolist()):
+            sizes[k] += n
+    assert [sizes[k] for k in range(len(texts))] == whole.sizes.tolist()
+
+
+def test_sums_by_segment():
+    rng = np.random.default_rng(4)
+    for n in (1, 7, 200, 3000):
+        g, at = rng.standard_normal((n, 4)).astype(np.float32), np.sort(rng.integers(0, max(1, n // 20), n))
+        starts = np.flatnonzero(np.append([True], at[1:] != at[:-1]))
+        order = rng.permutation(n)
+        assert np.allclose(maxent._sums(g, order, starts, np.diff(np.append(starts, n))), np.add.reduceat(g[order], starts, axis=0), atol=1e-4)
 
 
 def test_language_model_learns_from_few_texts(spark):
@@ -287,6 +316,22 @@ def test_line_dedup_oddities(spark):
     assert linededup.drop_repeated_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_with_clashing_columns(spark):
+    text = "\n".join(f"sentence number {k} of a passage that is long" for k in range(8))
+    clash = ["runs", "p", "q", "a", "b", "c", "n", "k", "s", "count", "rank", "deleted", "clean_text", "n_lines"]
+    df = spark.createDataFrame([(k, text, *clash) for k in range(2)], f"doc_id long, text string, {', '.join(f'{c} string' for c in clash)}")
+    out = linededup.drop_repeated_lines(df)
+    assert [(r["doc_id"], r["n_deleted"], r["clean_text"], r["runs"], r["rank"]) for r in out.orderBy("doc_id").collect()] == [(0, 0, text, "runs", "rank"), (1, 8, "", "runs", "rank")]
+    assert sorted(out.columns) == sorted({*df.columns, "n_deleted"})
+
+
+def test_line_dedup_counts_runs_from_fifty_words(spark):
+    line = lambda n, w: " ".join(f"{w}{k}" for k in range(n))
+    texts = [line(25, "a") + "\n" + line(25, "b"), "x\n" + line(25, "a") + "\n" + line(25, "b"), line(24, "c") + "\n" + line(25, "d"), line(24, "c") + "\n" + line(25, "d")]
+    out = linededup.drop_repeated_lines(documents(spark, texts)).orderBy("doc_id").collect()
+    assert [r["n_deleted"] for r in out] == [0, 2, 0, 0]
+
+
 # --- personal data -----------------------------------------------------------
 
 
@@ -390,9 +435,28 @@ def test_fingerprint_by_definition():
         assert simhash.fingerprint(text) & ((1 << 64) - 1) == want
 
 
-@pytest.mark.parametrize("small", [0, 2, 32])
-def test_links_keep_components(spark, monkeypatch, small):
+def test_fingerprint_of_a_long_text(monkeypatch):
+    rng = np.random.default_rng(7)
+    texts = [" ".join(rng.choice(list("abcdefgh"), n)) for n in (2, 3, 7, 300)] + ["a" * 500 + " b c d" + " " * 400 + "e", " " * 300, "x" * 90 + " " * 90]
+    whole = [simhash.fingerprint(t) for t in texts]
+    monkeypatch.setattr("sieveline.llm.common.LONG", 10)
+    assert [simhash.fingerprint(t) for t in texts] == whole
+
+
+@pytest.mark.parametrize("limit", [0, 1, 2, 3])
+def test_flips_are_all_changes_within_budgets(limit):
+    for length in (1, 2, 3):
+        got = simhash._flips(length, limit)
+        assert len(got) == len(set(got))
+        changes = [0, *(1 << b for b in range(48)), *(1 << a | 1 << b for a in range(48) for b in range(a))]
+        fits = lambda c: all((c & ((1 << 16 * k) - 1)).bit_count() <= k * limit // 4 for k in range(1, length + 1)) and c < 1 << 16 * length  # noqa: B023, E731
+        assert sorted(got) == sorted(c for c in changes if fits(c))
+
+
+@pytest.mark.parametrize("small, dense", [(0, 1 << 17), (2, 1 << 17), (32, 1 << 17), (0, 3), (4, 9)])
+def test_links_keep_components(spark, monkeypatch, small, dense):
     monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "DENSE", dense)
     monkeypatch.setattr(simhash, "BLOCK", 8)
     rng = np.random.default_rng(6)
     fps = []
