@@ -3,27 +3,33 @@
 Lines with words, trimmed, are the symbols; a document is a sequence of them.
 Only lines that occur twice or more can lie in a repeated run, so the others
 are left out first. What remains is numbered in the order of documents and
-lines. Prefix doubling then names, for k = 0, 1, ..., the suffixes that share
-their first 2^k lines: a name is the first position with that prefix, so names
-are exact, and a suffix alone in its interval drops out. A common prefix of
-any length is told by two overlapping names (the first 2^k lines and the last
-2^k lines of it).
+lines, and a line is ranked by its first position. Prefix doubling then ranks,
+for k = 0, 1, ..., the suffixes by their first 2^k lines: the next rank is the
+place of (rank here, rank 2^k lines on) among all such pairs, which a range
+shuffle sorts. Suffixes with the same rank are an interval of the suffix array
+to that depth; a suffix that is alone in its interval repeats nothing of that
+length and drops out.
 
 A run counts when it has ``min_words`` words. From each position the shortest
 run of so many words starts, and at each position one ends; every maximal
-repeated run is the union of such runs. Runs with equal names form the
-interval of suffixes whose common prefix reaches that depth; all but the first
-are copies, and their lines are deleted. Where a copy overlaps the first run
-itself (a line repeated over and over), the first run stays whole.
+repeated run is the union of such runs. The interval of suffixes whose longest
+common prefix reaches the f lines of such a run is told by two ranks, those of
+its first 2^k and of its last 2^k lines (2^k <= f). All but the first suffix of
+an interval are copies, and their lines are deleted. Where a copy overlaps the
+first run itself (a line repeated over and over), the first run stays whole.
 
-Such a run has at most ``min_words`` lines, so there are at most
-log2(min_words) rounds, whatever the size of the input. All groups are
-pre-aggregated to a count and a least position; none is collected.
+Such a run has at most ``min_words`` lines, so the order beyond that depth
+decides nothing, and log2(min_words) rounds do, whatever the size of the
+input. All groups are pre-aggregated to a count and a least position; none is
+collected.
 
 Edge cases: a null text stays null; blank lines belong to no run and go only
 between two deleted lines; a document may lose all its lines (clean_text is
 then empty). Rows that repeat with the same id and text count as one document
-and share its fate; a null id sorts first.
+and share its fate; of equal runs the one in the document with the smallest id
+stays, ties going to the least hash of the text; a null id sorts first. A long
+text is a row for each of its lines. Columns of the input pass through, but
+for those named like a result column, which are replaced.
 """
 
 from __future__ import annotations
@@ -48,18 +54,17 @@ def _document(text: str, id_column: str) -> list[Column]:
 
 
 def repeated_runs(df: DataFrame, text: str = "text", id_column: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """(__o, __h, runs): for each document that holds later copies, the
+    """(__o, __h, __gone): for each document that holds later copies, the
     stretches to delete, counted in lines with words: array<(s, e)>."""
     lines = F.filter(F.split(F.col(text).cast("string"), "\n"), lambda s: s.rlike(NOT_SPACE))
     one = F.transform(lines, lambda s: F.struct(_line_id(s).alias("id"), F.regexp_count(s, F.lit(f"{NOT_SPACE}+")).alias("n")))
     rows = df.select(*_document(text, id_column), F.posexplode(one).alias("q", "x")).select("__o", "__h", "q", F.col("x.id.a").alias("a"), F.col("x.id.b").alias("b"), F.col("x.n").alias("n"))
     rows = cut(rows)
-    # counts are written before they are joined: a join of two exchanges can have its hot keys split, one above an aggregate cannot
+    # counts are written before they are joined: a join of two exchanges can have its hot keys split, one below or above an aggregate cannot
     twice = cut(rows.groupBy("a", "b").count().filter("count > 1").select("a", "b"))
-    # rows that repeat whole are one document
-    shared = rows.join(twice, ["a", "b"], "left_semi").distinct()
-    shared = shared.repartitionByRange(F.col("__o"), F.col("__h")).sortWithinPartitions("__o", "__h", "q").withColumn("p", F.monotonically_increasing_id())
-    shared = cut(shared)
+    # dealt by document before rows that repeat whole become one, so that no task has to hold all places of a line
+    shared = rows.join(twice, ["a", "b"], "left_semi").repartitionByRange(F.col("__o"), F.col("__h"))
+    shared = cut(shared.distinct().sortWithinPartitions("__o", "__h", "q").withColumn("p", F.monotonically_increasing_id()))
     first = cut(shared.groupBy("a", "b").agg(F.min("p").alias("c")))
     level = shared.join(first, ["a", "b"]).select("p", "__o", "__h", "q", "c")
     names = level.select(F.lit(0).alias("k"), "p", "c")
@@ -68,8 +73,9 @@ def repeated_runs(df: DataFrame, text: str = "text", id_column: str = "doc_id",
         level = cut(level)
         later = level.select((F.col("p") - 2**k).alias("p"), F.col("__o").alias("o2"), F.col("__h").alias("h2"), (F.col("q") - 2**k).alias("q2"), F.col("c").alias("d"))
         pairs = cut(level.join(later, "p").filter("__o = o2 and __h = h2 and q = q2").select("p", "__o", "__h", "q", "c", "d"))
-        least = cut(pairs.groupBy("c", "d").agg(F.min("p").alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("c", "d", "m"))
-        level = pairs.join(least, ["c", "d"]).select("p", "__o", "__h", "q", F.col("m").alias("c"))
+        twice = cut(pairs.groupBy("c", "d").count().filter("count > 1").select("c", "d"))
+        ranks = cut(twice.repartitionByRange(F.col("c"), F.col("d")).sortWithinPartitions("c", "d").withColumn("rank", F.monotonically_increasing_id()))
+        level = pairs.join(ranks, ["c", "d"]).select("p", "__o", "__h", "q", F.col("rank").alias("c"))
         k += 1
         names = names.unionByName(level.select(F.lit(k).alias("k"), "p", "c"))
     names = cut(names)
@@ -93,7 +99,7 @@ def repeated_runs(df: DataFrame, text: str = "text", id_column: str = "doc_id",
     copies = spans.join(intervals, ["f", "x", "y"]).filter("s > first")
     start = F.col("q") + F.greatest(F.lit(0), F.col("first") + F.col("f") - F.col("s"))
     gone = copies.select("__o", "__h", start.cast("int").alias("s"), (F.col("q") + F.col("f")).cast("int").alias("e")).filter("s < e")
-    return gone.groupBy("__o", "__h").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("runs"))
+    return gone.groupBy("__o", "__h").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("__gone"))
 
 
 def drop_repeated_lines(df: DataFrame, text: str = "text", id_column: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
@@ -109,7 +115,7 @@ def drop_repeated_lines(df: DataFrame, text: str = "text", id_column: str = "doc
     none = F.array().cast("array<struct<s:int,e:int>>")
     # sorted stretches that touch become one
     joined = F.aggregate(
-        F.coalesce("runs", none),
+        F.coalesce("__gone", none),
         none,
         lambda acc, x: F.when((F.size(acc) > 0) & (x["s"] <= F.coalesce(F.get(acc, F.size(acc) - 1)["e"], F.lit(-1))), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.get(acc, F.size(acc) - 1)["s"].alias("s"), F.greatest(F.get(acc, F.size(acc) - 1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(x))),
     )
@@ -120,7 +126,7 @@ def drop_repeated_lines(df: DataFrame, text: str = "text", id_column: str = "doc
     out = out.withColumn("n_lines", F.coalesce(F.size("__numbers"), F.lit(0)).cast("long"))
     out = out.withColumn("n_deleted", F.aggregate("__runs", F.lit(0).cast("long"), lambda acc, x: acc + x["e"] - x["s"]))
     out = out.withColumn("n_lines", F.greatest("n_lines", F.lit(0).cast("long")))
-    return out.drop("__o", "__h", "runs", "__lines", "__numbers", "__runs")
+    return out.drop("__o", "__h", "__gone", "__lines", "__numbers", "__runs")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
