@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sieveline.storage import cut, shared_dir, table  # noqa: F401  the operators take them from here
+from sieveline.storage import cut, scratch, table  # noqa: F401  the operators take them from here
 
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
