@@ -12,17 +12,19 @@ How it runs: the seeds of the benchmark set bits of a filter of fixed size,
 which is broadcast; one map over the documents keeps those with a seed in the
 filter, with their tokens. Their seeds meet the benchmark's seeds in a join;
 pairs are counted, pruned by what their seeds can cover, and only then tiled,
-one pair at a time. The benchmark's seeds and items are broadcast only below
-``SMALL_SEEDS`` rows; beyond that both joins shuffle, the first one salted.
+one pair at a time. The benchmark's seeds are broadcast only below
+``SMALL_SEEDS`` rows; beyond that their join shuffles, salted. Whether its
+texts are is left to Spark, which knows their size.
 
 Edge cases: a null or empty text on either side pairs with nothing, nor does
 an item with fewer than ``MIN_TILE`` tokens; repeated documents or items each
-give their rows; a null id is carried through.
+give their rows; a null id is carried through. Long and repetitive texts take
+time in proportion to their length (see ``tile``). Only the two named columns
+of either side are read, whatever others are called.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 from zlib import crc32
@@ -39,14 +41,28 @@ FILTER_BITS = 24
 #: Rows of benchmark seeds that may be broadcast (16 bytes each).
 SMALL_SEEDS = 500_000
 SALTS = 16
-TOKEN = re.compile(r"\w+")
+TOKEN, GAP = re.compile(r"\w+"), re.compile(r"\W+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: Characters of a long text whose tokens are taken at once.
+LONG = 1 << 18
 
 
 def tokens_of(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
 
 
+def token_pieces(text: str | None, keep: int = MIN_TILE - 1) -> Iterator[tuple[list[str], int]]:
+    """(tokens, how many of them were met before) of a text, a long one in
+    several pieces, each of which begins with the ``keep`` tokens before it."""
+    low, at, held = (text or "").lower(), 0, []
+    while len(low) - at > 2 * LONG and (found := GAP.search(low, at + LONG)):
+        tokens = held + TOKEN.findall(low, at, found.start())
+        yield tokens, len(held)
+        at, held = found.end(), tokens[-keep:]
+    yield held + TOKEN.findall(low, at), len(held)
+
+
 def seeds(tokens: list[str], width: int = MIN_TILE) -> np.ndarray:
     """Karp-Rabin hash of each run of ``width`` tokens, unsigned."""
     if len(tokens) < width:
@@ -60,40 +76,84 @@ def seeds(tokens: list[str], width: int = MIN_TILE) -> np.ndarray:
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
+class Windows:
+    """Running Karp-Rabin hashes of a sequence of token numbers. Places that
+    are marked lie in no window."""
+
+    def __init__(self, tokens: np.ndarray, free: np.ndarray | None = None) -> None:
+        n = len(tokens)
+        self.tokens, self.free = tokens, np.ones(n, bool) if free is None else free
+        mixed = (tokens.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(31)
+        one = np.ones(1, np.uint64)
+        self.back = np.concatenate([one, np.cumprod(np.full(n, INVERSE))])
+        self.sums = np.concatenate([one - one, np.cumsum(mixed * np.concatenate([one, np.cumprod(np.full(n, BASE))])[:n])])
+
+    def hashes(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the windows without a mark, and their hashes."""
+        marks = np.concatenate([[0], np.cumsum(~self.free)])
+        at = np.flatnonzero(marks[width:] == marks[:-width])
+        return at, (self.sums[at + width] - self.sums[at]) * self.back[at]
+
+
+def _matched(a: Windows, b: Windows, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of a and of b with a hash that both have: starts and hashes."""
+    i, x = a.hashes(width)
+    j, y = b.hashes(width)
+    p, q = np.isin(x, y), np.isin(y, x)
+    return i[p], x[p], j[q], y[q]
+
+
 def tile(item: list[str], doc: list[str], width: int = MIN_TILE) -> list[tuple[int, int, int]]:
     """Tiles (place in item, place in doc, length), longest first; of equal
-    ones the earliest in the item, then in the document."""
-    a, b = seeds(item, width), seeds(doc, width)
-    if not len(a) or not len(b):
+    ones the earliest in the item, then in the document.
+
+    The length of the longest free match is found by bisection over hashed
+    windows, and all tiles of that length are marked in one pass. The lengths
+    that occur are few (their sum is below the item's length) and a pass takes
+    time in proportion to both texts, however often tokens repeat."""
+    number: dict[str, int] = {}
+    x, y = (np.fromiter((number.setdefault(t, len(number)) for t in part), np.int64, len(part)) for part in (item, doc))
+    if len(x) < width or len(y) < width:
         return []
-    order = np.argsort(b, kind="stable")
-    lo, hi = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
-    found = [(int(j) - i, i) for i in np.nonzero(hi > lo)[0].tolist() for j in order[lo[i] : hi[i]]]
-    found = sorted((d, i) for d, i in found if item[i : i + width] == doc[i + d : i + d + width])
-    heap: list[tuple[int, int, int]] = []
-    k = 0
-    while k < len(found):
-        d, i = found[k]
-        n = 1
-        while k + n < len(found) and found[k + n] == (d, i + n):
-            n += 1
-        heap.append((-(n + width - 1), i, i + d))
-        k += n
-    heapq.heapify(heap)
-    free_a, free_b = np.ones(len(item), bool), np.ones(len(doc), bool)
-    tiles = []
-    while heap:
-        n, i, j = heapq.heappop(heap)
-        n = -n
-        free = free_a[i : i + n] & free_b[j : j + n]
-        if free.all():
-            free_a[i : i + n] = free_b[j : j + n] = False
-            tiles.append((i, j, n))
-            continue
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], free.view(np.int8), [0]])))
-        for s, e in edges.reshape(-1, 2).tolist():
-            if e - s >= width:
-                heapq.heappush(heap, (s - e, i + s, j + s))
+    a = Windows(x)
+    # of the document, only windows count that the item has too, with one token between stretches of them
+    inside = np.zeros(len(y) + 1, np.int64)
+    start = _matched(a, Windows(y), width)[2]
+    inside[start] += 1
+    inside[start + width] -= 1
+    inside = np.cumsum(inside)[:-1] > 0
+    kept = np.flatnonzero(inside | np.append(False, inside[:-1]))
+    b = Windows(y[kept], inside[kept])
+    tiles: list[tuple[int, int, int]] = []
+    high = min(len(x), len(kept))
+    while high >= width:
+        found, n, low = _matched(a, b, width), width, width + 1
+        if not len(found[0]):
+            break
+        while low <= high:
+            middle = (low + high) // 2
+            if len((longer := _matched(a, b, middle))[0]):
+                found, n, low = longer, middle, middle + 1
+            else:
+                high = middle - 1
+        i, hx, j, hy = found
+        order = np.argsort(hy, kind="stable")
+        keys, first, counts = np.unique(hy[order], return_index=True, return_counts=True)
+        places, at, ends = j[order].tolist(), first.tolist(), (first + counts).tolist()
+        # marks of this pass are n long, so that a window is free if its first and last place are
+        free = lambda w, k: w.free[k] and w.free[k + n - 1]  # noqa: B023, E731
+        for p, g in zip(i.tolist(), np.searchsorted(keys, hx).tolist()):
+            if not free(a, p):
+                continue
+            while at[g] < ends[g] and not free(b, places[at[g]]):
+                at[g] += 1
+            for q in places[at[g] : ends[g]] if at[g] < ends[g] else ():
+                if free(b, q) and np.array_equal(a.tokens[p : p + n], b.tokens[q : q + n]):
+                    a.free[p : p + n] = b.free[q : q + n] = False
+                    tiles.append((p, int(kept[q]), n))
+                    break
+        high = n - 1
     return tiles
 
 
@@ -143,14 +203,17 @@ def _candidates(docs: DataFrame, bits: np.ndarray, text: str, id_column: str) ->
         for batch in batches:
             ids, texts, hashes = [], [], []
             for key, value in zip(batch.column(0), batch.column(1)):
-                tokens = tokens_of(value.as_py())
-                h = seeds(tokens)
-                x, y = _places(h)
-                hit = (words[0][x >> 6] >> (x & 63).astype(np.uint64)) & (words[1][y >> 6] >> (y & 63).astype(np.uint64)) & one
-                if hit.any():
+                text, found, said = value.as_py(), [], []
+                for tokens, met in token_pieces(text):
+                    h = seeds(tokens)
+                    x, y = _places(h)
+                    hit = (words[0][x >> 6] >> (x & 63).astype(np.uint64)) & (words[1][y >> 6] >> (y & 63).astype(np.uint64)) & one
+                    found.append(np.unique(h[hit.astype(bool)]))
+                    said.append(" ".join(tokens[met:] if met else tokens))
+                if any(map(len, found)):
                     ids.append(key.as_py())
-                    texts.append(" ".join(tokens))
-                    hashes.append(np.unique(h[hit.astype(bool)]).view(np.int64))
+                    texts.append(" ".join(x for x in said if x))
+                    hashes.append(np.unique(np.concatenate(found)).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(texts, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], ["doc", "tokens", "hs"])
 
     kind = docs.schema[id_column].dataType.simpleString()
@@ -189,8 +252,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_
     # a token of a tile lies in a seed that both share, and each place of one holds MIN_TILE
     enough = F.col("n") * MIN_TILE >= coverage * F.col("size")
     pairs = met.groupBy("rid", "row", "size").agg(F.sum("places").alias("n")).filter(enough).select("rid", "row")
-    texts = F.broadcast(items) if n <= SMALL_SEEDS else items
-    joined = pairs.join(texts, "row").join(found.select("rid", "doc", "tokens"), "rid")
+    joined = pairs.join(items, "row").join(found.select("rid", "doc", "tokens"), "rid")
     tiled = _tiled(joined).withColumn("coverage", F.col("covered_words") / F.col("item_words"))
     return tiled.filter(F.col("coverage") >= coverage)
 
