@@ -10,7 +10,10 @@ The vocabulary file is read once on the driver (its size is fixed) and reaches
 the tasks in the closure; a task builds the automaton once per Python worker.
 
 Edge cases: a null text is the empty text; an empty text has no ids and the
-empty decoded text. Every row gives one row, repeated ones included.
+empty decoded text. Every row gives one row, repeated ones included, and no
+two rows depend on each other. What a worker remembers of words and pairs is
+bounded; a text takes memory in proportion to its own length, a long word too.
+Only the two named columns are read, whatever others are called.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ from sieveline.llm.common import table
 WHITE = r"\t-\r\x20\x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+"
 END = "</w>"
-#: Words in one of the two generations that a worker remembers.
-REMEMBERED = 200_000
+#: Words in one of the two generations that a worker remembers, and bytes of the longest one; pairs of tokens whose compatibility is remembered.
+REMEMBERED, LONGEST, PAIRS = 200_000, 64, 2_000_000
 FAR = 1 << 60
 
 
@@ -107,6 +110,8 @@ class Remembered(dict):
         self.f, self.old = f, {}
 
     def __missing__(self, key: str) -> tuple[bytes, str]:
+        if len(key) > LONGEST:
+            return self.f(key)
         if len(self) >= REMEMBERED:
             self.old = dict(self)
             self.clear()
@@ -183,6 +188,8 @@ class PrefixEncoder:
         """Token ages of a sequence of symbols."""
         nexts, links, size, ending = self.automaton.next, self.automaton.link, self.automaton.size, self.automaton.ending
         compatible, spelt = self.compatible, self.spelt
+        if len(compatible) > PAIRS:
+            compatible.clear()
         last: list[int] = [-1]
         state = length = 0
         for i, s in enumerate(symbols, 1):

@@ -18,7 +18,11 @@ Everything else covers all rows.
 
 Edge cases: a null or empty text gets the score of no response at all (the
 logistic of the bias); labels that are null are not learnt from; with no
-label of one kind every score is 0; rows that repeat give a row each.
+label of one kind every score is 0; rows that repeat give a row each; an id
+with both labels is toxic; a text beyond ``TRAIN_CHARS`` is scored but not
+learnt from. A long text is scored in pieces that overlap by what the widest
+filter needs, so that memory stays bounded. Only the named columns are read,
+whatever others are called.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import cut, held_out, table
+from sieveline.llm.common import cut, held_out, table, word_pieces
 
 #: Labelled documents that are learnt from, at most.
 TRAIN_ROWS = 6000
@@ -42,6 +46,8 @@ TRAIN_CHARS = 24_000_000
 BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 15, 8, 6, (1, 2, 3)
 PARTS = 4  # the word and three prefixes
 EPOCHS, RATE = 8, 0.08
+#: The threshold that a language has without enough toxic documents; one labelled document in so many calibrates.
+LIMIT, APART = 0.7, 4
 STRIP = re.compile(rb"[^\w\x80-\xff]+")
 
 
@@ -74,8 +80,10 @@ class Words(dict):
         return len(self) - 1
 
     def ids(self, text: str | None) -> np.ndarray:
-        words = (text or "").lower().encode("utf-8", "replace").split()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        parts = []
+        for words, met in word_pieces((text or "").lower().encode("utf-8", "replace"), 0):
+            parts.append(np.fromiter(map(self.__getitem__, words[met:] if met else words), np.int32, len(words) - met))
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
     def taken(self) -> np.ndarray:
         out, self.new = np.array(self.new, np.int64).reshape(-1, PARTS), []
@@ -191,8 +199,8 @@ class Scorer:
     """Scores batches of texts; remembers what words add to the filters, and
     starts afresh beyond ``words`` of them."""
 
-    def __init__(self, model: Model, words: int = 150_000) -> None:
-        self.model, self.limit = model, words
+    def __init__(self, model: Model, words: int = 150_000, piece: int = 1 << 17) -> None:
+        self.model, self.limit, self.piece = model, words, piece
         self._clear()
 
     def _clear(self) -> None:
@@ -214,9 +222,22 @@ class Scorer:
             self._clear()
         docs = [self.words.ids(t) for t in texts]
         self._learn()
-        sizes = np.array([len(d) for d in docs], np.int64)
-        ends = np.cumsum(sizes)
-        pooled = _pooled(self.tables, np.concatenate(docs) if docs else np.zeros(0, np.int64), ends - sizes, ends)
+        if not docs:
+            return np.zeros(0)
+        parts, own = [], []  # long texts in pieces, each with its document
+        for k, d in enumerate(docs):
+            for at in range(0, max(1, len(d)), self.piece):
+                parts.append(d[at : at + self.piece + max(WIDTHS) - 1])
+                own.append(k)
+        pooled = np.zeros((len(docs), len(WIDTHS) * FILTERS), np.float32)
+        lot, size = 0, 0
+        for k, d in enumerate(parts):
+            size += len(d)
+            if size >= self.piece or k == len(parts) - 1:
+                sizes = np.array([len(x) for x in parts[lot : k + 1]], np.int64)
+                ends = np.cumsum(sizes)
+                np.maximum.at(pooled, own[lot : k + 1], _pooled(self.tables, np.concatenate(parts[lot : k + 1]), ends - sizes, ends))
+                lot, size = k + 1, 0
         hidden = np.maximum(pooled - self.model.shift, 0)
         return _logistic(hidden @ self.model.out + self.model.bias)
 
@@ -267,7 +288,7 @@ def toxicity(df: DataFrame, model: Model | None, text: str = "text", id_column:
 
 def language_thresholds(scored: DataFrame, language: str = "lang", label: str = "toxic", least: int = 10, bins: int = 100) -> DataFrame:
     """(language, threshold): the bin edge with the best F1 over labelled
-    documents, the middle of the best edges where several tie; 0.7 for a
+    documents, the middle of the best edges where several tie; ``LIMIT`` for a
     language with fewer than ``least`` toxic ones."""
     binned = scored.filter(F.col(label).isNotNull()).groupBy(language, F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).alias("bin")).agg(F.sum(F.col(label).cast("long")).alias("bad"), F.count(F.lit(1)).alias("n"))
     sums = binned.groupBy(language).agg(F.sum("bad").alias("total"), F.collect_list(F.struct("bin", "bad", "n")).alias("b"))
@@ -278,7 +299,7 @@ def language_thresholds(scored: DataFrame, language: str = "lang", label: str =
     f1 = edges.select(language, "edge", "total", F.when(marked > 0, F.round(2 * add("bad") / marked, 9)).otherwise(0.0).alias("f1"))
     best = f1.groupBy(language).agg(F.max("f1").alias("best"))
     chosen = f1.join(best.withColumnRenamed(language, "__l"), F.col(language).eqNullSafe(F.col("__l")) & (F.col("f1") == F.col("best")))
-    return chosen.groupBy(language).agg(F.when(F.max("total") >= least, (F.min("edge") + F.max("edge")) / (2 * bins)).otherwise(0.7).alias("threshold"))
+    return chosen.groupBy(language).agg(F.when(F.max("total") >= least, (F.min("edge") + F.max("edge")) / (2 * bins)).otherwise(LIMIT).alias("threshold"))
 
 
 def fitted(spark: SparkSession, docs: DataFrame, sf_dir: str, apart: int | None = None) -> Model | None:
@@ -295,7 +316,17 @@ def calibrates(column: str, apart: int) -> Column:
     return F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(apart)) == 0
 
 
+def calibrated(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang, kept columns, score, threshold, flagged): the model learns
+    from a part of the labelled documents, another part sets the thresholds. An
+    id with both labels is toxic."""
+    scored = cut(toxicity(docs, fitted(spark, docs, sf_dir, apart=APART), keep=("lang", *keep)))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter("toxic is not null").filter(~held_out("doc_id", 3) & calibrates("doc_id", APART)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    limits = language_thresholds(scored.select("doc_id", "lang", "score").join(labels, "doc_id")).withColumnRenamed("lang", "__lang")
+    out = scored.join(limits, F.col("lang").eqNullSafe(F.col("__lang")), "left").drop("__lang")
+    return out.withColumn("threshold", F.coalesce("threshold", F.lit(LIMIT))).withColumn("flagged", F.col("score") >= F.col("threshold"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    scored = toxicity(docs, fitted(spark, docs, sf_dir))
-    return scored.select("doc_id", held_out("doc_id", 3).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    scored = calibrated(spark, table(spark, sf_dir, "documents"), sf_dir)
+    return scored.select("doc_id", held_out("doc_id", 3).alias("held_out"), "score", (F.col("score") >= LIMIT).cast("int").alias("predicted"), "threshold", "flagged")

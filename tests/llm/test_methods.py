@@ -1,0 +1,272 @@
+"""Methods against brute force, and texts of a megabyte against the clock."""
+
+import math
+import time
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+pytest.importorskip("tokenizers")
+import public_tokenizers  # noqa: E402
+
+from sieveline.llm import bpe, decontaminate, html, linededup, maxent, pii, quality, secrets, simhash, toxicity  # noqa: E402
+
+MB = 1_000_000
+
+
+# --- toxicity ----------------------------------------------------------------
+
+
+def random_model(seed=0):
+    rng = np.random.default_rng(seed)
+    n = len(toxicity.WIDTHS) * toxicity.FILTERS
+    filters = [rng.standard_normal((w, toxicity.SIZE, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS]
+    return toxicity.Model(rng.standard_normal((toxicity.BUCKETS, toxicity.SIZE)).astype(np.float32), filters, rng.standard_normal(n).astype(np.float32), -0.5, rng.random(n).astype(np.float32))
+
+
+def convolved(model, text):
+    """Word by word, filter by filter."""
+    vectors = [sum(model.embedding[k].astype(float) for k in toxicity.word_parts(w)) for w in (text or "").lower().encode().split()]
+    z = model.bias
+    for n, (width, f) in enumerate(zip(toxicity.WIDTHS, model.filters)):
+        for c in range(toxicity.FILTERS):
+            responses = [sum(float(vectors[at + k] @ f[k, :, c]) for k in range(width)) for at in range(len(vectors) - width + 1)]
+            column = n * toxicity.FILTERS + c
+            z += max(max([0.0, *responses]) - model.shift[column], 0) * model.out[column]
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_convolution_equals_brute_force():
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(["vile", "nice,", "Über", "a", "b.", "!!"], n)) for n in (0, 1, 2, 3, 9, 40)] + [None, " \n"]
+    model = random_model()
+    want = [convolved(model, t) for t in texts]
+    assert np.allclose(toxicity.Scorer(model)(texts), want, atol=1e-4)
+    assert np.allclose(toxicity.Scorer(model, words=3, piece=4)(texts), want, atol=1e-4)
+
+
+def test_training_tells_two_words_apart():
+    texts, labels = ["vile word here", "kind word here"] * 80, np.array([1, 0] * 80)
+    model = toxicity.train(texts, labels)
+    got = toxicity.Scorer(model)(["vile word here", "kind word here"])
+    assert got[0] > 0.9 and got[1] < 0.1
+
+
+def write_tables(spark, folder, labels):
+    docs = spark.createDataFrame([(k, f"text {'vile' if k % 2 else 'kind'} number {k}", "en", "web", 20) for k in range(300)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+
+
+def test_held_out_labels_are_never_learnt(spark, tmp_path):
+    from zlib import crc32
+
+    held = {k for k in range(300) if crc32(str(k).encode()) % 3 == 1}
+    scores = []
+    for name, flip in (("a", 0), ("b", 1)):  # the labels of rows that are held out differ
+        write_tables(spark, f"{tmp_path}/{name}", [(k, 1, (k % 2) ^ (flip if k in held else 0)) for k in range(300)])
+        out = toxicity.op2_toxicity(spark, f"{tmp_path}/{name}").orderBy("doc_id").collect()
+        assert {r["doc_id"] for r in out if r["held_out"]} == held
+        scores.append([(r["score"], r["threshold"]) for r in out])
+    assert scores[0] == scores[1]
+    assert all((s >= 0.7) == bool(k % 2) for k, (s, _) in enumerate(scores[0]))
+
+
+def test_labels_that_conflict_or_repeat(spark, tmp_path):
+    write_tables(spark, tmp_path, [(k, 1, k % 2) for k in range(300)] + [(k, 1, 1) for k in range(40)] + [(5, 0, None), (None, 1, 1)])
+    out = toxicity.op2_toxicity(spark, str(tmp_path))
+    assert out.count() == 300 and out.filter("score is null or threshold is null").count() == 0
+
+
+def test_a_text_copied_many_times_keeps_to_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: texts)
+    docs = spark.createDataFrame([(1, "x" * 100)] * 200 + [(2, "y" * 100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert sum(map(len, toxicity.fit(docs, labels, rows=4, chars=1000))) <= 1000
+
+
+# --- language model ----------------------------------------------------------
+
+
+def scored_by_hand(lexicon, model, text):
+    """P(class) P(bucket | class) P(token | bucket), token by token."""
+    from zlib import crc32
+
+    tokens = [w.lower() for w in text.split()] + ["\n"]
+    number = {t: k for k, t in enumerate(lexicon.rank)}
+    total, mask = 0.0, (1 << 32) - 1
+
+    def mixed(v):
+        v = (v * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)
+        return (((v ^ (v >> 31)) * 0xBF58476D1CE4E5B9) & ((1 << 64) - 1)) >> 33
+
+    def word(k, at):
+        if at < 0:
+            return mixed(0xABCDEF * 4 + k)
+        raw = tokens[at].encode()
+        return mixed((crc32(b"w" + raw) if raw in number else crc32(raw[-3:])) * 4 + k)
+
+    for at, token in enumerate(tokens):
+        raw = token.encode()
+        bucket = number.get(raw, maxent.OWN + crc32(raw[-3:]) % (1024 - maxent.OWN))
+        y, s = divmod(bucket, maxent.SIZE)
+        pair = (word(2, at - 1) * 0x5851F42D + word(2, at - 2)) & 0x7FFFFFFFFFFF
+        f = [word(0, at - 1), (pair ^ (pair >> 21)) & mask, word(1, at - 2), word(3, at - 3)]
+        z1 = model.bias1 + sum(model.rows1[v % maxent.ROWS1] for v in f)
+        z2 = model.bias2[y] + sum(model.rows2[((v >> 5) + y * 0x2C1B3C6D) % maxent.ROWS2] for v in f)
+        total += math.log10(np.exp(z1)[y] / np.exp(z1).sum()) + math.log10(np.exp(z2)[s] / np.exp(z2).sum())
+    return total
+
+
+def test_score_of_a_tiny_model_by_hand():
+    lexicon = maxent.Lexicon([(w, 9) for w in ("the", "cat", "\n")], np.ones(1024), np.ones(1024))
+    model, rng = maxent.Model(lexicon), np.random.default_rng(0)
+    model.rows1[:], model.rows2[:] = rng.standard_normal(model.rows1.shape), rng.standard_normal(model.rows2.shape)
+    for text in ("the cat", "a cat sat on the Mat", "", "the the the unknownword the"):
+        x = maxent.Encoded(lexicon, next(maxent.batches_of([text])))
+        assert model.log10(x.features, x.buckets).sum() == pytest.approx(scored_by_hand(lexicon, model, text), rel=1e-4)
+
+
+def test_held_out_rows_change_no_score(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(rng.choice(["a", "b", "c", "dd", "ee"], 30))) for k in range(60)]
+    train = spark.createDataFrame([r for r in rows if r[0] % 5], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "a b c"), (1, "zz a")], "doc_id long, text string")
+    more = asked.union(spark.createDataFrame([(7, "q q q q zz zz")], "doc_id long, text string"))
+    few = {r["doc_id"]: r["score"] for r in maxent.score(asked, train).collect()}
+    many = {r["doc_id"]: r["score"] for r in maxent.score(more, train).collect()}
+    assert all(many[k] == pytest.approx(few[k], abs=1e-6) for k in few)
+
+
+def test_language_model_oddities(spark):
+    rows = [(None, "a b", "x"), (1, "a b", "x"), (1, "a b", "x"), (2, None, "x"), (3, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, token string").withColumn("c", F.lit("clash")).withColumn("rid", F.lit(3))
+    out = maxent.score(df, df.filter("doc_id = 1")).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"]) for r in out) == [("1", 3, 3, 6), ("1", 3, 3, 6), ("2", 1, 1, 6), ("3", 1, 1, 6), ("None", 3, 3, 6)]
+
+
+# --- secrets -----------------------------------------------------------------
+
+
+def battery(s):
+    s = "".join(c for c in s if c not in "=_-")
+    import re
+
+    alphabet = next(a for rule, a in secrets.ENCODINGS if re.search(rule, s))
+    s = s.lower() if len(alphabet) == 16 else s
+    k, n = len(alphabet), len(s)
+    if n < 8:
+        return 0.0
+    p = lambda z: max(2 / (1 + math.exp(min(700, 1.5976 * abs(z) + 0.07056 * abs(z) ** 3))), 1e-12)
+    v = [alphabet.index(c) for c in s]
+    chi = sum((s.count(c) - n / k) ** 2 / (n / k) for c in alphabet)
+    p1 = p(max((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (1 - 1 / n)), 0))
+    high = [x >= k / 2 for x in v]
+    runs, ups = 1 + sum(a != b for a, b in zip(high, high[1:])), sum(high)
+    expected = 2 * ups * (n - ups) / n + 1
+    spread = (expected - 1) * (expected - 2) / (n - 1)
+    p2 = p((runs - expected) / math.sqrt(spread)) if spread > 0 else 1e-12
+    mean = sum(v) / n
+    own = sum((x - mean) ** 2 for x in v)
+    p3 = p(sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / own * math.sqrt(n)) if own > 0 else 1e-12
+    half = -(math.log(p1) + math.log(p2) + math.log(p3))
+    return math.exp(-half) * (1 + half + half * half / 2)
+
+
+def test_battery_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    found = ["".join(rng.choice(list(a), n)) for _, a in secrets.ENCODINGS for n in (20, 33, 90)] + ["a1" * 20, "A" * 30 + "11", "AbC_-=9" * 5, "0123456789abcdef" * 3]
+    got = spark.createDataFrame([(k, s) for k, s in enumerate(found)], "k int, s string").select("k", secrets.randomness(F.col("s")).alias("p")).orderBy("k").collect()
+    assert [r["p"] for r in got] == pytest.approx([battery(s) for s in found], rel=1e-6, abs=1e-12)
+
+
+def test_false_discoveries_by_length(spark):
+    """Beyond the level at which decoys are too many, nothing is reported; a
+    class of lengths does not disturb another."""
+    rng = np.random.default_rng(7)
+    keys = ["".join(rng.choice(list(secrets.ENCODINGS[-1][1][:62]), 40)) for _ in range(60)]
+    decoys = ["".join(rng.choice(list(secrets.LOWER + secrets.UPPER), 22)) for _ in range(60)]
+    short = ["".join(rng.choice(list(secrets.ENCODINGS[-1][1][:62]), 21)) for _ in range(10)]
+    mixed = [s for s in keys + short if sum(c.isdigit() for c in s) >= 2]
+    df = spark.createDataFrame([(k, f"see {s} there") for k, s in enumerate(mixed + decoys)], "doc_id long, text string")
+    out = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(df).collect()}
+    assert sum(bool(out[k]) for k, s in enumerate(mixed) if len(s) == 40) > 0.9 * sum(len(s) == 40 for s in mixed)
+    assert not any(out[k] for k, s in enumerate(mixed) if len(s) < 24) and not any(out[len(mixed) + k] for k in range(60))
+
+
+# --- benchmark ---------------------------------------------------------------
+
+
+def test_contamination_equals_brute_force(spark):
+    """Over all pairs: coverage by tiles alone, no seeds and no prune."""
+    rng = np.random.default_rng(9)
+    words = list("abcdefg")
+    items = [" ".join(rng.choice(words, rng.integers(4, 20))) for _ in range(12)] + ["a a a a a a a a", None, "a b"]
+    docs = [" ".join(rng.choice(words, rng.integers(0, 200))) for _ in range(25)] + [items[0], items[3].upper(), None, "a " * 60]
+    found = decontaminate.contamination(spark.createDataFrame([*enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([*enumerate(items)], "item_id long, text string")).collect()
+    want = {}
+    for d, text in enumerate(docs):
+        for i, item in enumerate(items):
+            a, b = decontaminate.tokens_of(item), decontaminate.tokens_of(text)
+            covered = sum(t[2] for t in decontaminate.tile(a, b))
+            if len(a) >= decontaminate.MIN_TILE and covered >= 0.8 * len(a):
+                want[d, i] = covered
+    assert {(r["doc"], r["item"]): r["covered_words"] for r in found} == want and len(want) >= 5
+
+
+# --- texts of a megabyte -----------------------------------------------------
+
+TEXTS = {
+    "spaces": "(" + " " * MB,
+    "one word": "x" * MB,
+    "one line repeated": "the same words on every line of it\n" * (MB // 35),
+    "digits": "1 " * (MB // 2),
+    "spelled": "one two at a dot " * (MB // 17),
+    "marks": "a@b. +1 ( [ < = : " * (MB // 18),
+    "key": "".join(np.random.default_rng(0).choice(list(secrets.ENCODINGS[-1][1]), MB)),
+    "words": " ".join(map(str, np.random.default_rng(1).integers(0, 50_000, MB // 6))),
+}
+SECONDS = 25
+
+
+@pytest.mark.parametrize("name", TEXTS)
+def test_long_texts_in_python(name):
+    text, began = TEXTS[name], time.time()
+    pii.added_spans(text, pii.base_spans(text))
+    simhash.fingerprint(text)
+    toxicity.Scorer(random_model())([text])
+    lexicon = maxent.Lexicon([(w, 9) for w in "abc"], np.ones(1024), np.ones(1024))
+    model = maxent.Model(lexicon)
+    for lot in maxent.batches_of([text]):
+        x = maxent.Encoded(lexicon, lot)
+        assert len(x.buckets) <= 2 * maxent.TOKENS + maxent.LONG
+        model.log10(x.features, x.buckets)
+    tokens = decontaminate.tokens_of(text)
+    decontaminate.tile(tokens[:1200], tokens)
+    html.blocks(text)
+    html.blocks("<div>" * 50_000 + "</i>" * 50_000 + text)
+    lines = [hash(x) for x in text.split("\n")]
+    html.common(lines, lines[1:])
+    assert time.time() - began < SECONDS
+
+
+def test_long_texts_as_tokens():
+    import json
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        encoder = bpe.PrefixEncoder(json.load(file))
+    for text in TEXTS.values():
+        began = time.time()
+        encoder.encode(text)
+        assert time.time() - began < SECONDS
+    assert all(len(w) <= bpe.LONGEST for w in encoder.known)
+
+
+@pytest.mark.parametrize("operator", [quality.clean_lines, linededup.drop_repeated_lines, secrets.scan_secrets])
+def test_long_texts_in_sql(spark, operator):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS.values())], "doc_id long, text string")
+    began = time.time()
+    assert operator(df).select(F.sum(F.xxhash64("doc_id"))).count() == 1 and operator(df).count() == len(TEXTS)
+    operator(df).write.format("noop").mode("overwrite").save()
+    assert time.time() - began < 4 * SECONDS
