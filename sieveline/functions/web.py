@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 #: Parts of URLs that are no photographs; marks of blocking pages.
 SKIPPED = ("gstatic.com/images/branding", "google.com/images", "favicon", "logo")
 BLOCKED = ("enablejs", "/sorry/", "unusual traffic", "before you continue", "update your browser")
+#: What a browser's page and address show when it is blocked.
+BLOCKED_URLS = ("/sorry/", "google.com/sorry")
+BLOCKED_TEXTS = ("our systems have detected unusual traffic", "unusual traffic from your computer network", "verify you're not a robot", "to continue, please verify that you are not a robot")
+#: Fixed values: (pattern, group) of image addresses in a page of results, in the order in which they are tried.
+IMAGE_PATTERNS = [
+    (r"(?i)http[^\[\]\"\\]+?\.(?:jpg|jpeg|png|bmp|webp)(?:\?[^\[\]\"\\]*)?", 0),
+    (r'"ou":"(https?://[^"]+)"', 1),
+    (r'"ow":\d+,"oh":\d+,"ou":"(https?://[^"]+)"', 1),
+    (r'imgurl=(https?[^&"]+)', 1),
+    (r'\\"(https?:\\\\/\\\\/[^\\"]+\.(?:jpg|jpeg|png|webp)[^\\"]*)\\"', 1),
+]
 #: Suffixes of images, and content types in the order in which they are tried.
 SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp", "gif")
 TYPES = ("jpg", "png", "webp", "gif", "bmp")
@@ -21,20 +32,22 @@ def domain(url: Column) -> Column:
 
 
 def unescaped(url: Column) -> Column:
-    """Escaped slashes and \\uXXXX of ASCII undone, then percent-decoding
-    that leaves a plus as it is."""
-    plain = F.replace(url, F.lit("\\/"), F.lit("/"))
-    for code, char in (("\\u003d", "="), ("\\u0026", "&"), ("\\u003f", "?"), ("\\u002f", "/")):
-        plain = F.replace(plain, F.lit(code), F.lit(char))
-    return F.try_url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))
+    """Backslash escapes undone (as those of a JSON string), then
+    percent-decoding that leaves a plus as it is. A text that cannot be decoded
+    stays as it is."""
+    text = F.concat(F.lit('["'), F.regexp_replace(url, r'(?<!\\)"', r'\\"'), F.lit('"]'))
+    plain = F.coalesce(F.get(F.from_json(text, "array<string>", {"allowBackslashEscapingAnyCharacter": "true", "allowUnquotedControlChars": "true"}), F.lit(0)), url)
+    return F.coalesce(F.try_url_decode(F.replace(plain, F.lit("+"), F.lit("%2B"))), plain)
 
 
-def found_urls(page: Column, patterns: list[str]) -> Column:
-    """Group 1 of every pattern, scripts before the whole page, each URL once
-    in the order in which it is first found."""
-    scripts = F.array_join(F.regexp_extract_all(page, F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(1)), "\n")
-    found = [F.regexp_extract_all(part, F.lit(p), F.lit(1)) for part in (scripts, page) for p in patterns]
-    return F.array_distinct(F.flatten(F.array(*found)))
+def found_urls(page: Column, patterns: list[tuple[str, int]] = IMAGE_PATTERNS) -> Column:
+    """What the patterns find, decoded: script after script, then the whole
+    page, pattern after pattern; each address once, where it is first found,
+    and only those of http."""
+    scripts = F.regexp_extract_all(page, F.lit(r"(?is)<script\b.*?</script>"), F.lit(0))
+    within = lambda part: F.flatten(F.array(*[F.regexp_extract_all(part, F.lit(p), F.lit(k)) for p, k in patterns]))
+    found = F.concat(F.flatten(F.transform(scripts, within)), within(page))
+    return F.array_distinct(F.filter(F.transform(found, unescaped), lambda u: F.startswith(u, F.lit("http"))))
 
 
 def is_blocked(page: Column) -> Column:
@@ -45,6 +58,15 @@ def is_blocked(page: Column) -> Column:
     return out
 
 
+def is_blocked_browser(page: Column, url: Column) -> Column:
+    """The same for the page and address that a browser shows."""
+    out = F.lit(False)
+    for text, marks in ((url, BLOCKED_URLS), (page, BLOCKED_TEXTS)):
+        for m in marks:
+            out = out | F.contains(F.lower(text), F.lit(m))
+    return out
+
+
 def is_result_page(images: Column, originals: Column) -> Column:
     return (images >= 3) | (originals >= 3)
 

@@ -72,19 +72,100 @@ def split_audit(df: DataFrame, dim: DataFrame, locked: DataFrame | None = None,
     return union(parts)
 
 
-def holdout_audit(test: DataFrame, queue: DataFrame, manifest: DataFrame, key: str = "sha256") -> DataFrame:
-    """Drift between a test split, its review queue and the manifest."""
-    m = manifest.select(key, F.col("class_id").alias("m_class"), F.col("annotation_status").alias("m_status"), F.col("label_sha256").alias("m_label"), F.col("leakage_group").alias("m_group"))
-    joined = test.join(m, key, "left")
-    complaint = (
-        F.when(F.col("m_status").isNull(), "missing_from_manifest")
-        .when(F.col("m_status") != "annotated", "not_annotated")
-        .when(F.col("class_id") != F.col("m_class"), "class_drifted")
-        .when(F.col("leakage_group") != F.col("m_group"), "group_drifted")
-        .when(F.col("label_sha256") != F.col("m_label"), "label_drifted")
-    )
-    drift = joined.withColumn("__c", complaint).filter("__c is not null")
-    return union([violations("holdout", drift, key, F.col("__c")), set_difference("queue", test, queue, key), violations("queue_not_pending", queue.filter("status <> 'pending'"), key, F.col("status")), repeated(test, key)])
+def complaints(check: str, df: DataFrame, key: str, rules: list[tuple[str, Column]]) -> DataFrame:
+    """A violation for each rule that a row meets."""
+    named = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules]))
+    return violations(check, df.select(key, F.explode(named).alias("__c")), key, F.col("__c"))
+
+
+def holdout_audit(test: DataFrame, queue: DataFrame, manifest: DataFrame, key: str = "sha256", splits: DataFrame | None = None) -> DataFrame:
+    """Drift between a test split, its review queue and the manifest.
+
+    test: leakage_group, label_sha256, class_name, destination_image,
+    bbox_count; queue: review_status and the first, third and fourth of these;
+    manifest: all of them as they are now, annotation_status, destination_label
+    and the digest of the image file as image_sha256. With ``splits``
+    (leakage_group, split) the test's groups must not be in another split."""
+    now = manifest.select(key, F.lit(True).alias("__known"), *[F.col(c).alias(f"m_{c}") for c in ("annotation_status", "leakage_group", "label_sha256", "bbox_count", "destination_label", "image_sha256")])
+    asked = queue.select(key, F.lit(True).alias("__queued"), *[F.col(c).alias(f"q_{c}") for c in ("leakage_group", "class_name", "destination_image")])
+    rows = test.join(now, key, "left").join(asked, key, "left")
+    known, queued = F.col("__known").isNotNull(), F.col("__queued").isNotNull()
+    differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    rules = [
+        ("missing_from_manifest", ~known),
+        ("not_annotated", known & ~F.col("m_annotation_status").eqNullSafe("annotated")),
+        ("group_drifted", known & differs("leakage_group", "m_leakage_group")),
+        ("queue_group_differs", queued & differs("leakage_group", "q_leakage_group")),
+        ("queue_class_differs", queued & differs("class_name", "q_class_name")),
+        ("queue_destination_differs", queued & differs("destination_image", "q_destination_image")),
+        ("image_drifted", known & differs(key, "m_image_sha256")),
+        ("label_missing", known & F.col("m_destination_label").isNull()),
+        ("label_drifted", known & differs("label_sha256", "m_label_sha256")),
+        ("box_count_drifted", known & differs("bbox_count", "m_bbox_count")),
+    ]
+    parts = [complaints("holdout", rows, key, rules), set_difference("queue", test, queue, key), violations("queue_not_pending", queue.filter(~F.col("review_status").eqNullSafe("pending")), key, F.col("review_status"))]
+    for name, df in (("test", test), ("queue", queue), ("manifest", manifest)):
+        parts.append(repeated(df, key).withColumn("check", F.concat_ws("_", "check", F.lit(name))))
+    if splits is not None:
+        beyond = splits.filter("split <> 'test'").join(test.select("leakage_group"), "leakage_group", "left_semi")
+        parts.append(violations("test_group_elsewhere", beyond.groupBy("leakage_group").agg(F.array_join(F.array_sort(F.collect_set("split")), ",").alias("d")), "leakage_group", F.col("d")))
+    return union(parts)
+
+
+def pilot_audit(selection: DataFrame, manifest: DataFrame, key: str = "sha256") -> DataFrame:
+    """Selected images that the manifest lacks, that have a label by now, or
+    that have moved."""
+    now = manifest.select(key, F.col("annotation_status").alias("m_status"), F.col("destination_image").alias("m_image"), F.lit(True).alias("__known"))
+    rows, known = selection.join(now, key, "left"), F.col("__known").isNotNull()
+    return complaints("pilot", rows, key, [("missing_from_manifest", ~known), ("not_open", known & ~F.col("m_status").eqNullSafe("missing")), ("destination_moved", known & ~F.col("destination_image").eqNullSafe(F.col("m_image")))])
+
+
+def locked_plan(groups: DataFrame, base: DataFrame, accepted: DataFrame, group: str = "leakage_group") -> DataFrame:
+    """group, split, assignment_source of groups that an incremental split
+    must not move: those of the accepted holdout stay in test, the others keep
+    train or val of the base (group, split)."""
+    held = accepted.select(group).distinct().withColumn("__held", F.lit(True))
+    rows = groups.select(group).distinct().join(held, group, "left").join(base.select(group, F.col("split").alias("__base")).distinct(), group, "left")
+    keeps = F.col("__base").isin("train", "val")
+    split = F.when(F.col("__held"), "test").when(keeps, F.col("__base"))
+    source = F.when(F.col("__held"), "locked_reviewed_holdout").when(keeps, "preserved_base_split")
+    return rows.select(group, split.alias("split"), source.alias("assignment_source")).filter("split is not null")
+
+
+def locked_plan_audit(records: DataFrame, base: DataFrame, accepted: DataFrame, key: str = "sha256", group: str = "leakage_group") -> DataFrame:
+    """Why such a plan cannot be made: groups of the base's test that the
+    holdout does not cover, groups that cross splits of the base, images that
+    an accepted group has gained without review, accepted ones that are gone."""
+    held = accepted.select(group).distinct()
+    uncovered = base.filter("split = 'test'").select(group).distinct().join(records.select(group), group, "left_semi").join(held, group, "left_anti")
+    gained = records.join(held, group, "left_semi").join(accepted.select(key), key, "left_anti")
+    return union([violations("base_test_not_accepted", uncovered, group), crossing(base, group), violations("unreviewed_member", gained, key, F.col(group)), violations("accepted_missing", accepted.join(records.select(key), key, "left_anti"), key)])
+
+
+def incremental_audit(split: DataFrame, provenance: DataFrame, key: str = "sha256", group: str = "leakage_group") -> DataFrame:
+    """Checks of an incremental split with assignment_source; provenance:
+    (split, locked_groups) as they were counted when it was made."""
+    source, place = F.col("assignment_source"), F.col("split")
+    held = source.eqNullSafe("locked_reviewed_holdout")
+    rules = [
+        ("invalid_source", ~F.coalesce(source.isin("locked_reviewed_holdout", "preserved_base_split", "new_incremental_group"), F.lit(False))),
+        ("holdout_escaped", held & (place != "test")),
+        ("entered_test", ~held & (place == "test")),
+        ("preserved_elsewhere", source.eqNullSafe("preserved_base_split") & ~place.isin("train", "val")),
+    ]
+    counted = split.filter(~source.eqNullSafe("new_incremental_group")).groupBy("split").agg(F.count_distinct(group).alias("n"))
+    both = counted.join(provenance.select("split", F.col("locked_groups").cast("long").alias("m")), "split", "full_outer")
+    drift = both.filter(F.coalesce("n", F.lit(0)) != F.coalesce("m", F.lit(0)))
+    return complaints("incremental", split, key, rules).unionByName(violations("locked_groups_drifted", drift, "split", F.col("n")))
+
+
+def count_drift(counts: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+    """Figures that differ from those of a summary with the same columns, or
+    that one side lacks."""
+    figures = [c for c in counts.columns if c not in keys]
+    wide = lambda df, name: df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("figure"), F.col(c).cast("string").alias(name)) for c in figures])).alias("x")).select(*keys, "x.*")
+    both = wide(counts, "now").join(wide(summary, "told"), [*keys, "figure"], "full_outer").filter(~F.col("now").eqNullSafe(F.col("told")))
+    return violations("summary_drifted", both, F.concat_ws("/", *keys, "figure"), F.concat_ws(" is not ", "now", "told"))
 
 
 def require_clean(found: DataFrame) -> None:

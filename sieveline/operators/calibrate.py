@@ -54,6 +54,17 @@ def precision_threshold(df: DataFrame, keys: list[str], score: str, positive: st
     )
 
 
+def require_usable(df: DataFrame, vector: str) -> None:
+    """Raise if a vector has no length or a value that is no number."""
+    bad = F.coalesce(vector_norm(F.col(vector)), F.lit(0.0)) == 0
+    odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    row = df.agg(F.count_if(F.coalesce(odd, F.lit(True))).alias("odd"), F.count_if(bad & ~F.coalesce(odd, F.lit(True))).alias("zero")).first()
+    if row["odd"]:
+        raise ValueError(f"{row['odd']} vectors hold values that are not finite")
+    if row["zero"]:
+        raise ValueError(f"{row['zero']} vectors have length zero")
+
+
 def centroid_score(vector: Column, positive: Column, negative: Column) -> Column:
     return cosine(vector, positive) - cosine(vector, negative)
 

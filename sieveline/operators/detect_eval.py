@@ -29,6 +29,17 @@ def greedy_matches(pairs: DataFrame, keys: tuple[str, ...] = ("image", "class_id
     return pairs.groupBy(*keys).agg(ranked.alias("r")).select(*keys, F.aggregate("r", none, take).alias("matches"))
 
 
+def suppress(predictions: DataFrame, overlap: float, keys: tuple[str, ...] = ("image", "class_id")) -> DataFrame:
+    """Predictions without those that overlap a kept one of their image and
+    class by more than ``overlap``, taken by falling confidence, then order."""
+    columns = [*BOX, "conf", "ord"]
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("c"), F.col("ord").alias("o"), F.struct(*columns).alias("x"))))
+    box = lambda b: {k: b[k] for k in BOX}
+    grouped = predictions.groupBy(*keys).agg(F.transform(ranked, lambda r: r["x"]).alias("r"))
+    kept = F.aggregate("r", F.filter("r", lambda x: F.lit(False)), lambda acc, x: F.when(F.exists(acc, lambda y: iou(box(x), box(y)) > overlap), acc).otherwise(F.concat(acc, F.array(x))))
+    return grouped.select(*keys, F.explode(kept).alias("x")).select(*keys, "x.*")
+
+
 def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
     """precision, recall and F1; 0 where a denominator is 0."""
     p = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0)
@@ -68,6 +79,24 @@ def sweep_summary(points: DataFrame) -> DataFrame:
     return sums.select("threshold", "macro_f1", p.alias("micro_precision"), r.alias("micro_recall"), f.alias("micro_f1"))
 
 
+def sweep_grid(truth: DataFrame, predictions: DataFrame, grid: list[float], overlaps_: list[float], least: float) -> DataFrame:
+    """nms_iou and the summary of a sweep over predictions suppressed at it,
+    for each of a few overlaps."""
+    out = None
+    for overlap in overlaps_:
+        own = sweep_summary(sweep(truth, suppress(predictions, overlap), grid, least)).withColumn("nms_iou", F.lit(float(overlap)))
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise ValueError("no overlap to try")
+    return out
+
+
+def best_of_grid(summary: DataFrame) -> DataFrame:
+    """The point with the largest macro F1 of a grid; of equal ones that of the
+    smallest overlap, then of the smallest threshold."""
+    return summary.agg(F.max_by(F.struct(*summary.columns), F.struct("macro_f1", -F.col("nms_iou"), -F.col("threshold"))).alias("b")).select("b.*")
+
+
 def best_point(summary: DataFrame, reference_ties: bool = False) -> DataFrame:
     """The point with the largest macro F1, the first of equal ones. With
     ``reference_ties``, an unrounded candidate meets an incumbent that was

@@ -67,6 +67,8 @@ def apply_revision(manifest: DataFrame, changes: DataFrame, revision: str, sha:
     return out.drop("__e", "__class", "__n", "__status")
 
 
-def append_new(manifest: DataFrame, records: DataFrame, sha: str = "sha256") -> DataFrame:
-    """Records that are not in the manifest yet, appended to it."""
-    return manifest.unionByName(records.join(manifest.select(sha), sha, "left_anti"), allowMissingColumns=True)
+def append_new(manifest: DataFrame, records: DataFrame, order: str, sha: str = "sha256") -> DataFrame:
+    """Records that are not in the manifest yet, appended to it; of those that
+    come more than once, the first in ``order``."""
+    first = records.groupBy(sha).agg(F.min_by(F.struct(*records.columns), order).alias("r")).select("r.*")
+    return manifest.unionByName(first.join(manifest.select(sha), sha, "left_anti"), allowMissingColumns=True)

@@ -28,6 +28,32 @@ def quota_sample(df: DataFrame, quotas: dict[str, int], seed: int, class_column:
     return taken if taken is not None else df.limit(0)
 
 
+def parse_quotas(values: list[str] | None, classes: list[str], default: dict[str, int]) -> dict[str, int]:
+    """Quotas from name=number texts, in the order of the classes; classes
+    that are not named get none, and without any text the default holds."""
+    if not values:
+        return dict(default)
+    out = dict.fromkeys(classes, 0)
+    for value in values:
+        name, sign, number = value.partition("=")
+        if not sign or not number.strip().lstrip("+-").isdigit():
+            raise ValueError(f"{value!r} is not name=number")
+        if name not in out:
+            raise ValueError(f"{name!r} is no class")
+        if int(number) < 0:
+            raise ValueError(f"{value!r} is negative")
+        out[name] = int(number)
+    if not any(out.values()):
+        raise ValueError("every quota is 0")
+    return out
+
+
+def take_until(df: DataFrame, needed: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first rows of each key, as many as ``needed`` (keys, needed) asks for."""
+    ranked = df.join(needed.select(*keys, "needed"), keys).withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.filter(F.col("__n") <= F.col("needed")).select(*df.columns)
+
+
 def shortfall(sample: DataFrame, quotas: DataFrame, class_column: str = "class_name") -> DataFrame:
     """class, quota, got of classes that missed their quota."""
     got = sample.groupBy(class_column).count()

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,42 @@ def bands(n: int, bits: int = 64) -> list[tuple[int, int]]:
     return [(a, (1 << (b - a)) - 1) for a, b in zip(edges, edges[1:])]
 
 
+#: The largest distance that bands prune; hashes of a block that are compared at once.
+BANDED, BLOCK = 8, 4096
+
+
+def _agree(n: int, distance: int, bits: int) -> int:
+    """Bands that have to agree so that a hash meets fewer candidates under
+    its keys than it has keys."""
+    for agree in (1, 2, 3):
+        if n < 2 ** (bits * agree // (distance + agree)):
+            return agree
+    return 3
+
+
+def _near(distance: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        own = frame["own"].to_numpy(bool)
+        a, b = (np.sort(frame["hash"].to_numpy(np.int64)[k]) for k in (own, ~own))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
+        for at in range(0, len(a), 256):
+            differ = np.bitwise_count(a[at : at + 256, None].view(np.uint64) ^ b[None, :].view(np.uint64))
+            i, j = np.nonzero(differ <= distance)
+            found.append((a[at + i], b[j], differ[i, j].astype(np.int32)))
+        return pd.DataFrame({k: np.concatenate([f[n] for f in found]) for n, k in enumerate(("a", "b", "distance"))})
+
+    return run
+
+
+def _by_blocks(left: DataFrame, right: DataFrame, distance: int, hash_column: str) -> DataFrame:
+    a, b = (cut(df.filter(F.col(hash_column).isNotNull()).select(F.col(hash_column).alias("hash")).distinct()) for df in (left, right))
+    m, n = (max(1, -(-df.count() // BLOCK)) for df in (a, b))
+    place = lambda k: F.pmod(F.xxhash64("hash"), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    dealt = a.select("hash", F.lit(True).alias("own"), place(m).alias("i"), every(n).alias("j")).unionByName(b.select("hash", F.lit(False).alias("own"), every(m).alias("i"), place(n).alias("j")))
+    return dealt.groupBy("i", "j").applyInPandas(_near(distance), "a long, b long, distance int")
+
+
 def hamming_pairs(left: DataFrame, right: DataFrame, distance: int, hash_column: str = "hash", bits: int = 64, agree: int | None = None) -> DataFrame:
     """(a, b, distance) of distinct hashes of both sides within ``distance``,
     equal ones included; the theta form would compare all pairs.
@@ -29,9 +67,15 @@ def hamming_pairs(left: DataFrame, right: DataFrame, distance: int, hash_column:
     Of distance + agree bands, hashes within ``distance`` agree in ``agree``
     or more, so an equi-join on each choice of so many bands finds them. More
     bands to agree make longer keys, hence fewer candidates, and more keys a
-    hash: two by default up to a distance of 6, else one. A pair is taken in
-    the choice of its first bands that agree, so no distinct is needed."""
-    agree = agree or (2 if distance <= 6 else 1)
+    hash: as many are taken as the number of hashes asks for. A pair is taken
+    in the choice of its first bands that agree, so no distinct is needed.
+
+    Beyond a distance of ``BANDED``, bands are so short that nearly all pairs
+    meet in one, often in several: hashes are then compared block by block,
+    and a pair of blocks is a task that returns what is near."""
+    if distance > BANDED and agree is None:
+        return _by_blocks(left, right, distance, hash_column)
+    agree = agree or _agree(max(df.select(F.approx_count_distinct(hash_column)).first()[0] for df in (left, right)), distance, bits)
     cuts = bands(distance + agree, bits)
     ways = [*combinations(range(len(cuts)), agree)]
     whole = lambda s, m: ((m << s) & ((1 << 64) - 1)) - ((1 << 64) if (m << s) >> 63 & 1 else 0)

@@ -10,26 +10,29 @@ from sieveline.operators import detect_eval
 from sieveline.plans.catalog import query
 from sieveline.storage import table
 
-GRID = [0.0, 0.02, 0.04, 0.06, 0.08, 0.1]
+#: Confidences and overlaps of suppression that a calibration tries.
+GRID = [round(0.05 + k * 0.01, 4) for k in range(91)]
+NMS = [0.5, 0.6, 0.7]
 _COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
-BOXES_SQL = f"""b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey % 500, l_suppkey % 6 ORDER BY {', '.join(_COLUMNS)}) AS ord, l_orderkey % 500 AS image, l_suppkey % 6 AS class_id,
- l_quantity AS x1, l_discount * 100 AS y1, l_quantity + 20 + l_tax * 100 AS x2, l_discount * 100 + 15 AS y2, l_discount + l_tax / 10 AS conf FROM lineitem),
-t AS (SELECT image, class_id, ord, x1, y1, x2, y2 FROM b WHERE l_returnflag = 'N'), p AS (SELECT image, class_id, ord, x1, y1, x2, y2, conf FROM b WHERE l_returnflag = 'A' AND l_linenumber <= 3),
+BOXES_SQL = f"""b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey // 8, l_suppkey % 3 ORDER BY {', '.join(_COLUMNS)}) AS ord, l_orderkey // 8 AS image, l_suppkey % 3 AS class_id,
+ l_quantity AS x1, l_discount * 100 AS y1, l_quantity + 20 + l_tax * 100 AS x2, l_discount * 100 + 15 AS y2, (l_discount + l_tax / 10) * 9 AS conf FROM lineitem),
+t AS (SELECT image, class_id, ord, x1, y1, x2, y2 FROM b WHERE l_returnflag = 'N'), p AS (SELECT image, class_id, ord, x1, y1, x2, y2, conf FROM b WHERE l_returnflag <> 'N'),
 o AS (SELECT p.image, p.class_id, p.ord AS p, t.ord AS g, conf, greatest(least(p.x2, t.x2) - greatest(p.x1, t.x1), 0) * greatest(least(p.y2, t.y2) - greatest(p.y1, t.y1), 0) AS i,
  (p.x2 - p.x1) * (p.y2 - p.y1) + (t.x2 - t.x1) * (t.y2 - t.y1) AS s FROM p JOIN t USING (image, class_id)),
 u AS (SELECT image, class_id, p, g, conf, i / (s - i) AS iou FROM o WHERE i / (s - i) >= 0.5)"""
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(truth, predictions) made of line items; they have no key, so rows are
-    numbered over all columns within an image and class."""
-    image, kind = F.col("l_orderkey") % 500, F.col("l_suppkey") % 6
+    """(truth, predictions) made of all line items: eight orders are an image,
+    so that images stay small at any size. Items have no key; rows are numbered
+    over all columns within an image and class."""
+    image, kind = F.floor(F.col("l_orderkey") / 8), F.col("l_suppkey") % 3
     rows = table(spark, sf_dir, "lineitem").withColumn("image", image).withColumn("class_id", kind)
     rows = rows.withColumn("ord", F.row_number().over(Window.partitionBy("image", "class_id").orderBy(*_COLUMNS)))
     left, top = F.col("l_quantity"), F.col("l_discount") * 100
-    rows = rows.select("image", "class_id", "ord", "l_returnflag", "l_linenumber", left.alias("x1"), top.alias("y1"), (left + 20 + F.col("l_tax") * 100).alias("x2"), (top + 15).alias("y2"), (F.col("l_discount") + F.col("l_tax") / 10).alias("conf"))
-    return rows.filter("l_returnflag = 'N'"), rows.filter("l_returnflag = 'A' and l_linenumber <= 3")
+    rows = rows.select("image", "class_id", "ord", "l_returnflag", "l_linenumber", left.alias("x1"), top.alias("y1"), (left + 20 + F.col("l_tax") * 100).alias("x2"), (top + 15).alias("y2"), ((F.col("l_discount") + F.col("l_tax") / 10) * 9).alias("conf"))
+    return rows.filter("l_returnflag = 'N'"), rows.filter("l_returnflag <> 'N'")
 
 
 @query(f"WITH {BOXES_SQL} SELECT class_id, count(*) AS pairs, round(sum(iou), 2) AS iou_sum, round(max(iou), 6) AS iou_max FROM u GROUP BY class_id")
@@ -90,3 +93,10 @@ def box_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     cx, cy, w, h = box_to_centre(lo, lo, lo + 40, lo + 25, F.lit(500.0), F.lit(375.0))
     back = centre_to_box(cx, cy, w, h, F.lit(500.0), F.lit(375.0))
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), box_text((F.col("p_partkey") % 6).cast("int"), cx, cy, w, h).alias("line"), F.round(back[0], 4).alias("x1"))
+
+
+@query()
+def sweep_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macro F1 over confidences and overlaps of suppression."""
+    truth, predictions = boxes(spark, sf_dir)
+    return detect_eval.sweep_grid(truth, predictions, GRID, NMS, 0.5).select("nms_iou", "threshold", *[F.round(c, 4).alias(c) for c in ("macro_f1", "micro_precision", "micro_recall", "micro_f1")])

@@ -13,15 +13,15 @@ from sieveline.storage import table
 
 
 @query(
-    """WITH m AS (SELECT o_orderpriority AS k, (['annotated', 'missing', 'rejected', 'annotated'])[o_orderkey % 4 + 1] AS s, o_orderkey % 3 AS b, 1 + o_custkey % 2 AS n FROM orders WHERE o_orderpriority <> '5-LOW'),
-d(class_id, class_name) AS (VALUES (0, '1-URGENT'), (1, '2-HIGH'), (2, '3-MEDIUM'), (3, '4-NOT SPECIFIED'), (4, '5-LOW'))
+    """WITH m AS (SELECT o_orderpriority AS k, (['annotated', 'missing', 'rejected', 'annotated'])[o_orderkey % 4 + 1] AS s, o_orderkey % 3 AS b, 1 + o_custkey % 2 AS n FROM orders),
+d(class_id, class_name) AS (VALUES (0, '1-URGENT'), (1, '2-HIGH'), (2, '3-MEDIUM'), (3, '4-NOT SPECIFIED'), (4, '5-LOW'), (5, '6-EMPTY'))
 SELECT class_id, class_name, count(k) AS images, count(*) FILTER (s = 'annotated') AS annotated, coalesce(sum(b) FILTER (s = 'annotated'), 0)::BIGINT AS boxes, count(*) FILTER (s = 'missing') AS missing,
  coalesce(sum(n), 0)::BIGINT AS source_occurrences, coalesce(sum(n), 0)::BIGINT - count(k) AS exact_duplicates_collapsed FROM d LEFT JOIN m ON k = class_name AND s <> 'rejected' GROUP BY ALL"""
 )
 def class_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.element_at(F.array(*map(F.lit, ["annotated", "missing", "rejected", "annotated"])), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    rows = table(spark, sf_dir, "orders").filter("o_orderpriority <> '5-LOW'").select(F.col("o_orderpriority").alias("class_name"), status.alias("annotation_status"), (F.col("o_orderkey") % 3).alias("bbox_count"), (F.col("o_custkey") % 2 + 1).alias("n_sources"))
-    dim = spark.createDataFrame([*enumerate(["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])], "class_id int, class_name string")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("class_name"), status.alias("annotation_status"), (F.col("o_orderkey") % 3).alias("bbox_count"), (F.col("o_custkey") % 2 + 1).alias("n_sources"))
+    dim = spark.createDataFrame([*enumerate(["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-EMPTY"])], "class_id int, class_name string")
     return report.coverage(rows, dim)
 
 
@@ -112,11 +112,14 @@ def first_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("sha256").alias("id"), "annotation_status", "bbox_count", "class_id", "original_class_id", F.coalesce("needs_override", F.lit(False)).alias("needs_override"))
 
 
-@query("""SELECT count(*) AS n, count(DISTINCT doc_id) AS ids FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0)""")
+@query(
+    """WITH d AS (SELECT doc_id, coalesce(sha256(text), '') AS sha256, row_number() OVER (PARTITION BY doc_id % 2 = 0, coalesce(sha256(text), '') ORDER BY doc_id) AS n FROM documents)
+SELECT doc_id, sha256, NULL::VARCHAR AS ingest_id FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, sha256, 'i1' FROM d WHERE doc_id % 2 <> 0 AND n = 1 AND sha256 NOT IN (SELECT sha256 FROM d WHERE doc_id % 2 = 0)"""
+)
 def append_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    out = merge.append_new(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 3 = 0").withColumn("ingest_id", F.lit("i1")), "doc_id")
-    return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids"))
+    """One half of the documents joins the other; copies come within both."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.sha2("text", 256), F.lit("")).alias("sha256"))
+    return merge.append_new(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 <> 0").withColumn("ingest_id", F.lit("i1")), "doc_id")
 
 
 AUDIT_SQL = """s AS (SELECT CASE WHEN o_orderkey % 100 = 7 THEN o_orderkey - 7 ELSE o_orderkey END::VARCHAR AS id, 'g' || o_custkey AS g, CASE WHEN o_orderkey % 331 = 0 THEN 'holdout' WHEN o_custkey % 10 < 7 THEN 'train' WHEN o_custkey % 10 < 9 THEN 'val' ELSE 'test' END AS split,
@@ -138,38 +141,66 @@ def split_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.split_audit(rows, dim)
 
 
+HOLDOUT_SQL = """t AS (SELECT o_orderkey::VARCHAR AS id, o_orderkey AS k, CASE WHEN o_orderkey % 41 = 0 THEN 'x' ELSE 'l' || o_custkey END AS l, CASE WHEN o_orderkey % 90 = 0 THEN 'other' ELSE o_orderpriority END AS c, 'g' || CASE WHEN o_orderkey % 57 = 0 THEN 0 ELSE o_custkey END AS g, 'i/' || o_orderkey AS i, o_orderkey % 4 AS b FROM orders),
+m AS (SELECT o_orderkey::VARCHAR AS id, 'l' || o_custkey AS l, 'g' || o_custkey AS g, CASE WHEN o_orderkey % 70 = 0 THEN 'missing' ELSE 'annotated' END AS s, CASE WHEN o_orderkey % 43 = 0 THEN 9 ELSE o_orderkey % 4 END AS b, CASE WHEN o_orderkey % 33 <> 0 THEN 'p' END AS p, CASE WHEN o_orderkey % 61 = 0 THEN 'z' ELSE o_orderkey::VARCHAR END AS h FROM orders WHERE o_orderkey % 110 <> 0),
+q AS (SELECT CASE WHEN o_orderkey % 99 = 0 THEN -o_orderkey ELSE o_orderkey END::VARCHAR AS id, o_orderpriority AS c, 'g' || o_custkey AS g, CASE WHEN o_orderkey % 77 = 0 THEN 'j/' ELSE 'i/' END || o_orderkey AS i, CASE WHEN o_orderkey % 30 = 0 THEN 'done' ELSE 'pending' END AS s FROM orders WHERE o_orderkey % 20 <> 0),
+j AS (SELECT t.*, m.id IS NOT NULL AS known, q.id IS NOT NULL AS queued, m.l AS ml, m.g AS mg, m.s AS ms, m.b AS mb, m.p AS mp, m.h AS mh, q.c AS qc, q.g AS qg, q.i AS qi FROM t LEFT JOIN m USING (id) LEFT JOIN q USING (id)),
+w AS (SELECT id, unnest([CASE WHEN NOT known THEN 'missing_from_manifest' END, CASE WHEN known AND ms <> 'annotated' THEN 'not_annotated' END, CASE WHEN known AND g <> mg THEN 'group_drifted' END, CASE WHEN queued AND g <> qg THEN 'queue_group_differs' END,
+ CASE WHEN queued AND c <> qc THEN 'queue_class_differs' END, CASE WHEN queued AND i <> qi THEN 'queue_destination_differs' END, CASE WHEN known AND id <> mh THEN 'image_drifted' END, CASE WHEN known AND mp IS NULL THEN 'label_missing' END,
+ CASE WHEN known AND l <> ml THEN 'label_drifted' END, CASE WHEN known AND b <> mb THEN 'box_count_drifted' END]) AS d FROM j)"""
+
+
 @query(
-    """WITH t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 40 = 0 THEN 'x' ELSE 'l' || o_custkey END AS l, CASE WHEN o_orderkey % 90 = 0 THEN 'other' ELSE o_orderpriority END AS c FROM orders WHERE o_orderkey % 10 = 0),
-m AS (SELECT o_orderkey AS id, 'l' || o_custkey AS l, o_orderpriority AS c, CASE WHEN o_orderkey % 70 = 0 THEN 'missing' ELSE 'annotated' END AS s FROM orders WHERE o_orderkey % 110 <> 0), q AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 30 = 0 THEN 'done' ELSE 'pending' END AS s FROM orders WHERE o_orderkey % 20 = 0 OR o_orderkey % 99 = 0)
-SELECT 'holdout' AS "check", t.id::VARCHAR AS key, CASE WHEN m.s IS NULL THEN 'missing_from_manifest' WHEN m.s <> 'annotated' THEN 'not_annotated' WHEN t.c <> m.c THEN 'class_drifted' WHEN t.l <> m.l THEN 'label_drifted' END AS detail FROM t LEFT JOIN m USING (id) WHERE m.s IS NULL OR m.s <> 'annotated' OR t.c <> m.c OR t.l <> m.l
-UNION ALL SELECT 'queue_missing', id::VARCHAR, NULL FROM t WHERE id NOT IN (SELECT id FROM q) UNION ALL SELECT 'queue_extra', id::VARCHAR, NULL FROM q WHERE id NOT IN (SELECT id FROM t) UNION ALL SELECT 'queue_not_pending', id::VARCHAR, s FROM q WHERE s <> 'pending'"""
+    f"""WITH {HOLDOUT_SQL} SELECT 'holdout' AS "check", id AS key, d AS detail FROM w WHERE d IS NOT NULL
+UNION ALL SELECT 'queue_missing', id, NULL FROM t WHERE id NOT IN (SELECT id FROM q) UNION ALL SELECT 'queue_extra', id, NULL FROM q WHERE id NOT IN (SELECT id FROM t) UNION ALL SELECT 'queue_not_pending', id, s FROM q WHERE s <> 'pending'
+UNION ALL SELECT 'test_group_elsewhere', 'g' || o_custkey, 'val' FROM orders WHERE 'g' || o_custkey IN (SELECT g FROM t) GROUP BY o_custkey HAVING max(o_orderkey) % 7 = 0"""
 )
 def holdout_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("o_orderkey")
+    """All orders are the test; queue and manifest drift from it."""
+    key, text = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
     orders = table(spark, sf_dir, "orders")
-    base = [key.alias("sha256"), F.lit("g").alias("leakage_group")]
-    test = orders.filter(key % 10 == 0).select(*base, F.when(key % 40 == 0, "x").otherwise(F.concat(F.lit("l"), "o_custkey")).alias("label_sha256"), F.when(key % 90 == 0, "other").otherwise(F.col("o_orderpriority")).alias("class_id"))
-    manifest = orders.filter(key % 110 != 0).select(*base, F.concat(F.lit("l"), "o_custkey").alias("label_sha256"), F.col("o_orderpriority").alias("class_id"), F.when(key % 70 == 0, "missing").otherwise("annotated").alias("annotation_status"))
-    queue = orders.filter((key % 20 == 0) | (key % 99 == 0)).select(key.alias("sha256"), F.when(key % 30 == 0, "done").otherwise("pending").alias("status"))
-    return audit.holdout_audit(test, queue, manifest)
+    group = lambda k: F.concat(F.lit("g"), k.cast("string"))
+    own, label, place = group(F.col("o_custkey")), F.concat(F.lit("l"), "o_custkey"), F.concat(F.lit("i/"), text)
+    boxes = (key % 4).cast("int")
+    test = orders.select(text.alias("sha256"), F.when(key % 41 == 0, "x").otherwise(label).alias("label_sha256"), F.when(key % 90 == 0, "other").otherwise(F.col("o_orderpriority")).alias("class_name"), group(F.when(key % 57 == 0, 0).otherwise(F.col("o_custkey"))).alias("leakage_group"), place.alias("destination_image"), boxes.alias("bbox_count"))
+    manifest = orders.filter(key % 110 != 0).select(text.alias("sha256"), label.alias("label_sha256"), own.alias("leakage_group"), F.when(key % 70 == 0, "missing").otherwise("annotated").alias("annotation_status"), F.when(key % 43 == 0, 9).otherwise(boxes).alias("bbox_count"), F.when(key % 33 != 0, "p").alias("destination_label"), F.when(key % 61 == 0, "z").otherwise(text).alias("image_sha256"))
+    queue = orders.filter(key % 20 != 0).select(F.when(key % 99 == 0, -key).otherwise(key).cast("string").alias("sha256"), F.col("o_orderpriority").alias("class_name"), own.alias("leakage_group"), F.concat(F.when(key % 77 == 0, "j/").otherwise("i/"), text).alias("destination_image"), F.when(key % 30 == 0, "done").otherwise("pending").alias("review_status"))
+    parted = orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("k")).select(own.alias("leakage_group"), F.when(F.col("k") % 7 == 0, "val").otherwise("test").alias("split"))
+    return audit.holdout_audit(test, queue, manifest, splits=parted)
+
+
+#: Addresses that reach every branch, made of the pages' own.
+_ENDS = ["", ".svg", "/a.PNG", "/logo.webp", "/b.jpeg?w=1", "/favicon.ico", ".gif#x", "/c.SVG"]
+_HOSTS = ["", "https://encrypted-tbn0.gstatic.com/", "https://t1.gstatic.com/", "ftp://"]
+_KINDS = ["image/jpeg", "image/webp; q=1", None, "IMAGE/PNG", "text/html"]
+PAGES_SQL = f"""p AS (SELECT page_id, html, url AS own, ({[h for h in _HOSTS]})[page_id % 4 + 1] || CASE WHEN page_id % 4 = 0 THEN url ELSE page_id::VARCHAR END || ({_ENDS})[page_id % 8 + 1] AS url, (['image/jpeg', 'image/webp; q=1', NULL, 'IMAGE/PNG', 'text/html'])[page_id % 5 + 1] AS kind FROM pages),
+a AS (SELECT *, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM p), s AS (SELECT *, lower(regexp_extract(path, '[^/](\\.(jpg|jpeg|png|webp|bmp|gif))$', 1, 'i')) AS suffix FROM a)"""
 
 
 @query(
-    r"""SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS domain, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS links, contains(lower(html), 'update your browser') OR contains(lower(html), 'before you continue') OR contains(lower(html), 'unusual traffic') OR contains(lower(html), '/sorry/') OR contains(lower(html), 'enablejs') AS blocked,
- CASE WHEN lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) LIKE '%.svg' OR contains(lower(url), 'logo') OR contains(lower(url), 'favicon') THEN true ELSE false END AS skipped, '.jpg' AS suffix, 0 AS priority FROM (SELECT *, regexp_extract_all(html, 'href="([^"]+)"', 1) AS l FROM pages)"""
+    rf"""WITH {PAGES_SQL}, h AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS l FROM pages)
+SELECT page_id, lower(regexp_extract(own, '^[a-z]+://([^/?#]*)', 1)) AS domain, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i AND starts_with(x, 'http')), '|') AS links,
+ contains(lower(html), 'update your browser') OR contains(lower(html), 'before you continue') OR contains(lower(html), 'unusual traffic') OR contains(lower(html), '/sorry/') OR contains(lower(html), 'enablejs') AS blocked,
+ NOT starts_with(lower(url), 'http') OR contains(lower(url), 'gstatic.com/images/branding') OR contains(lower(url), 'google.com/images') OR contains(lower(url), 'favicon') OR contains(lower(url), 'logo') OR path LIKE '%.svg' AS skipped,
+ CASE WHEN suffix <> '' THEN suffix WHEN kind LIKE '%jpeg' THEN '.jpg' WHEN kind = 'IMAGE/PNG' THEN '.png' WHEN kind LIKE '%webp%' THEN '.webp' ELSE '.jpg' END AS suffix,
+ CASE WHEN contains(url, 'encrypted-tbn0.gstatic.com') THEN 2 WHEN contains(url, 'gstatic.com') THEN 1 ELSE 0 END AS priority FROM s JOIN h USING (page_id)"""
 )
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u, h = F.col("url"), F.col("html")
-    links = web.found_urls(h, [r'href="([^"]+)"'])
-    return table(spark, sf_dir, "pages").select("page_id", web.domain(u).alias("domain"), F.array_join(links, "|").alias("links"), web.is_blocked(h).alias("blocked"), web.is_skipped(u).alias("skipped"), web.suffix_guess(u, F.lit(None).cast("string")).alias("suffix"), web.url_priority(u).alias("priority"))
+    k, h = F.col("page_id"), F.col("html")
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (k % n + 1).cast("int"))
+    rows = table(spark, sf_dir, "pages").withColumn("kind", pick(_KINDS, 5)).withColumn("own", F.col("url")).withColumn("url", F.concat(pick(_HOSTS, 4), F.when(k % 4 == 0, F.col("url")).otherwise(k.cast("string")), pick(_ENDS, 8)))
+    u = F.col("url")
+    links = web.found_urls(h, [(r'href="([^"]+)"', 1)])
+    return rows.select("page_id", web.domain(F.col("own")).alias("domain"), F.array_join(links, "|").alias("links"), web.is_blocked(h).alias("blocked"), web.is_skipped(u).alias("skipped"), web.suffix_guess(u, F.col("kind")).alias("suffix"), web.url_priority(u).alias("priority"))
 
 
 @query(
-    """WITH q AS (SELECT doc_id, trim(regexp_replace(text[1:40], '[ \\n\\t]+', ' ', 'g')) AS q FROM documents), f AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY doc_id) AS n FROM q) SELECT q AS query, doc_id AS first_at FROM f WHERE n = 1"""
+    r"""WITH q AS (SELECT doc_id, trim(regexp_replace(text, '[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS q FROM documents), f AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY doc_id) AS n FROM q) SELECT sha256(q) AS query_sha256, length(q) AS n_chars, doc_id AS first_at FROM f WHERE n = 1"""
 )
 def queries_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(web.normalised_query(F.substring("text", 1, 40)).alias("query"), F.col("doc_id").alias("first_at"))
-    return sample.distinct_in_order(rows, ["query"], "first_at")
+    query_ = web.normalised_query(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select(F.sha2(query_, 256).alias("query_sha256"), F.length(query_).cast("long").alias("n_chars"), F.col("doc_id").alias("first_at"))
+    return sample.distinct_in_order(rows, ["query_sha256"], "first_at")
 
 
 @query("""SELECT event_id AS id, (CASE WHEN event_id % 3 = 0 THEN true ELSE contains((['image/png', 'text/html', 'IMAGE/JPEG'])[event_id % 3 + 1], 'image') OR event_id % 3 = 2 END) AND floor(value * 100) >= 1024 AS accepted FROM events""")

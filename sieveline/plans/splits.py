@@ -57,12 +57,24 @@ def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(split.assign(groups, split.integer_targets(total, RATIOS), SEED), "leakage_group")
 
 
-@query()
+#: The line of each class, cut at integer targets (largest remainders, first for train, then for val of what is left).
+ASSIGN_SQL = f"""{VECTORS_SQL}, q AS (SELECT leakage_group AS g, images, sha256('{SEED}:' || leakage_group) AS h, list_position([p0, p1, p2, p3, p4], greatest(p0, p1, p2, p3, p4)) AS c FROM v),
+n AS (SELECT sum(images)::BIGINT AS n FROM q), e AS (SELECT k, n * w // 10 AS low, n * w % 10 AS rest, n FROM n, (VALUES (0, 7), (1, 2), (2, 1)) AS x(k, w)),
+t AS (SELECT k, low + (row_number() OVER (ORDER BY rest DESC, k) <= n - sum(low) OVER ())::INT AS t FROM e),
+a AS (SELECT (SELECT t FROM t WHERE k = 0)::BIGINT AS t0, (SELECT t FROM t WHERE k = 1)::BIGINT AS t1, (SELECT t FROM t WHERE k = 2)::BIGINT AS t2),
+c AS (SELECT c, sum(images)::BIGINT AS n FROM q GROUP BY c),
+d AS (SELECT c, n, n * t0 // (t0 + t1 + t2) + (row_number() OVER (ORDER BY n * t0 % (t0 + t1 + t2) DESC, c) <= t0 - sum(n * t0 // (t0 + t1 + t2)) OVER ())::INT AS c0 FROM c, a),
+f AS (SELECT c, c0, (n - c0) * t1 // (t1 + t2) + (row_number() OVER (ORDER BY (n - c0) * t1 % (t1 + t2) DESC, c) <= t1 - sum((n - c0) * t1 // (t1 + t2)) OVER ())::INT AS c1 FROM d, a),
+l AS (SELECT g, c, coalesce(sum(images) OVER (PARTITION BY c ORDER BY images DESC, h, g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM q),
+z AS (SELECT r.id, r.leakage_group, r.boxes, CASE WHEN place < c0 THEN 'train' WHEN place < c0 + c1 THEN 'val' ELSE 'test' END AS split FROM l JOIN f USING (c) JOIN r ON r.leakage_group = l.g)"""
+
+
+@query(f"WITH {ASSIGN_SQL} SELECT id, leakage_group, split FROM z")
 def split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _assigned(spark, sf_dir).select("id", "leakage_group", "split")
 
 
-@query()
+@query(f"WITH {ASSIGN_SQL} SELECT split, count(*) AS images, count(DISTINCT leakage_group) AS groups, sum(boxes)::BIGINT AS boxes FROM z GROUP BY split")
 def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_counts(_assigned(spark, sf_dir)).select("split", "images", "groups", "boxes")
 

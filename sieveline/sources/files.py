@@ -26,6 +26,19 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataF
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def read_config(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """(prompts by class, settings) of a JSON document with classes (name ->
+    prompts) and the sections validation, deduplication and semantic. A class
+    without a prompt fails the read."""
+    section = "MAP<STRING, DOUBLE>"
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"STRUCT<classes: MAP<STRING, STRUCT<prompts: ARRAY<STRING>>>, validation: {section}, deduplication: {section}, semantic: {section}>").alias("c"))
+    classes = raw.select(F.explode_outer("c.classes").alias("class_name", "v")).select("class_name", F.col("v.prompts").alias("prompts"))
+    if classes.filter(F.col("class_name").isNull() | ~F.coalesce(F.size("prompts") > 0, F.lit(False))).limit(1).count():
+        raise ValueError("every class needs a prompt")
+    row = raw.select("c.validation", "c.deduplication", "c.semantic").first().asDict()
+    return classes, {k: v or {} for k, v in row.items()}
+
+
 def read_csv_boxes(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Boxes of several CSV files; Spark's reader drops a byte-order mark."""
     return spark.read.csv(paths, header=True, schema=CSV_BOX, mode="FAILFAST")

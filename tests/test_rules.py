@@ -61,4 +61,4 @@ def test_web(spark):
     assert one(spark, url_priority(F.lit("https://encrypted-tbn0.gstatic.com/x"))) == 2
     assert one(spark, unescaped(F.lit("http:\\/\\/a\\/b%20c+d"))) == "http://a/b c+d"
     page = "<a href='http://z/1.jpg'><script>\"ou\":\"http://y/2.jpg\"</script>"
-    assert one(spark, found_urls(F.lit(page), ["(http[^\"']+?\\.jpg)"])) == ["http://y/2.jpg", "http://z/1.jpg"]
+    assert one(spark, found_urls(F.lit(page), [("(http[^\"']+?\\.jpg)", 1)])) == ["http://y/2.jpg", "http://z/1.jpg"]
