@@ -7,8 +7,10 @@ than 30 % of its words in 8-word windows that the text repeats).
 
 All steps work on arrays within a row: no shuffle, and one scan.
 
+Boilerplate and navigation are told in English, German, French and Spanish.
+
 Edge cases: a null text is the empty text: it has no words and fails the base
-rules. A line without words is dropped without being counted as removed.
+rules. A long text is judged whole, in one row. A line without words is dropped without being counted as removed.
 Repeated rows give a row each. Columns of the input pass through unless they
 bear the name of a result column, which then is replaced.
 """
@@ -28,8 +30,13 @@ SYMBOLS = "#*$%&|<>"
 BOILERPLATE = [
     "all rights reserved", "cookie policy", "uses cookies", "privacy policy", "terms of use", "terms of service", "released under the",
     "licensed under the", "subscribe to our newsletter", "click here to", "enable javascript", "lorem ipsum", "follow us on", "share this",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "verwendet cookies", "newsletter abonnieren", "hier klicken", "folgen sie uns",
+    "tous droits réservés", "politique de confidentialité", "conditions générales", "utilise des cookies", "abonnez-vous à", "cliquez ici", "suivez-nous sur",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "utiliza cookies", "suscríbete a", "haz clic aquí", "síguenos en",
 ]
-NAVIGATION = r"(?i)^\s*(?:home|menu|next|previous|prev|back to top|skip to content|log ?in|sign ?in|sign ?up|read more|read more\.\.\.)\s*$"
+NAVIGATION = r"^[\x20\x09-\x0D]*(?:home|menu|next|previous|prev|back to top|skip to content|log ?in|sign ?in|sign ?up|read more|read more\.\.\.|startseite|menü|weiter|zurück|nach oben|anmelden|registrieren|mehr lesen|accueil|suivant|précédent|retour|haut de page|connexion|inscription|lire la suite|inicio|menú|siguiente|anterior|volver|volver arriba|iniciar sesión|registrarse|leer más)[\x20\x09-\x0D]*\z"
+#: What ends a sentence, perhaps before closing quotes or brackets. A line of a few words without it is a label.
+ENDED, LABEL = r"[.!?…:;。！？][\"'”’»)\]]*[\x20\x09-\x0D]*\z", 3
 
 
 def _words(text: Column) -> Column:
@@ -49,11 +56,12 @@ def line_verdict(line: Column, words: Column) -> Column:
     bars = F.length(F.regexp_replace(line, r"[^|»›•·]+", ""))
     return (
         F.when((bars >= 2) & (bars * 4 >= words), "navigation")
-        .when(line.rlike(NAVIGATION), "navigation")
+        .when(low.rlike(NAVIGATION), "navigation")
         .when(symbols * 100 > words * MAX_SYMBOLS, "symbols")
         .when(marks * 100 > words * MAX_MARKS, "marks")
         .when((capitals >= 10) & (capitals > 3 * small), "capitals")
         .when(said & (words <= 30), "boilerplate")
+        .when((words <= LABEL) & ~line.rlike(ENDED), "unended")
     )
 
 
@@ -106,6 +114,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*RESULT)
 
 
+_ENDED = ENDED.replace("'", "''")
 _SAID = " OR ".join(f"contains(lower(l), '{p}')" for p in BOILERPLATE)
 OP1_SQL = rf"""
 WITH t AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -119,8 +128,8 @@ l AS (SELECT r, l, len(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), la
              len(regexp_extract_all(l, '[!?.,;:]{{2,}}')) AS marks, length(regexp_replace(l, '[^\p{{Lu}}]+', '', 'g')) AS cap,
              length(regexp_replace(l, '[^\p{{Ll}}]+', '', 'g')) AS small FROM (SELECT r, unnest(ls) AS l FROM w)),
 v AS (SELECT r, count(*) AS n_lines, sum(n) FILTER (bad) AS lost, count(*) FILTER (bad) AS gone FROM (
-        SELECT *, (bars >= 2 AND bars * 4 >= n) OR regexp_matches(l, '{NAVIGATION}') OR sy * 100 > n * {MAX_SYMBOLS} OR marks * 100 > n * {MAX_MARKS}
-                  OR (cap >= 10 AND cap > 3 * small) OR (n <= 30 AND ({_SAID})) AS bad FROM l) GROUP BY r),
+        SELECT *, (bars >= 2 AND bars * 4 >= n) OR regexp_matches(lower(l), '{NAVIGATION}') OR sy * 100 > n * {MAX_SYMBOLS} OR marks * 100 > n * {MAX_MARKS}
+                  OR (cap >= 10 AND cap > 3 * small) OR (n <= 30 AND ({_SAID})) OR (n <= {LABEL} AND NOT regexp_matches(l, '{_ENDED}')) AS bad FROM l) GROUP BY r),
 f AS (SELECT w.r, doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
              length(regexp_replace(t, '[^{SYMBOLS}]+', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
              coalesce(p.n, 0)::BIGINT AS n_repeat_words, coalesce(v.n_lines, 0)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_lines_removed,

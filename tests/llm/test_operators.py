@@ -53,10 +53,10 @@ def test_quality_base(spark):
 
 def test_quality_lines(spark):
     body = "\n".join("Sentence " + " ".join(f"word{k}x{j}" for j in range(9)) + " ends as it should." for k in range(4))
-    texts = [body, body + "\nHome | About | Contact | Help\nBUY NOW!! CHEAP!! FAST!! TODAY!! NOW!!", "\n".join(f"a{k}### b%% c{k}*** d&&& e{k}$$$ f## g{k}%%" for k in range(5))]
+    texts = [body, body + "\nHome | About | Contact | Help\nBUY NOW!! CHEAP!! FAST!! TODAY!! NOW!!\nStartseite\nTOUS DROITS RÉSERVÉS 2024.\nOur shop", "\n".join(f"a{k}### b%% c{k}*** d&&& e{k}$$$ f## g{k}%%" for k in range(5))]
     out = {r["doc_id"]: r for r in quality.clean_lines(documents(spark, texts)).collect()}
     assert out[0]["kept"] and out[0]["clean_text"] == body
-    assert out[1]["kept"] and out[1]["clean_text"] == body and out[1]["n_lines_removed"] == 2
+    assert out[1]["kept"] and out[1]["clean_text"] == body and out[1]["n_lines_removed"] == 5
     assert not out[2]["kept"] and not out[2]["base_failed"]
 
 
