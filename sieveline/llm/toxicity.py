@@ -322,8 +322,9 @@ def calibrated(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: tuple[st
     id with both labels is toxic."""
     scored = cut(toxicity(docs, fitted(spark, docs, sf_dir, apart=APART), keep=("lang", *keep)))
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter("toxic is not null").filter(~held_out("doc_id", 3) & calibrates("doc_id", APART)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    limits = language_thresholds(scored.select("doc_id", "lang", "score").join(labels, "doc_id")).withColumnRenamed("lang", "__lang")
-    out = scored.join(limits, F.col("lang").eqNullSafe(F.col("__lang")), "left").drop("__lang")
+    # a row a language, of those with enough toxic documents; without a broadcast all texts would meet by language
+    limits = language_thresholds(scored.select("doc_id", "lang", "score").join(labels, "doc_id")).filter(F.col("threshold") != LIMIT).withColumnRenamed("lang", "__lang")
+    out = scored.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("__lang")), "left").drop("__lang")
     return out.withColumn("threshold", F.coalesce("threshold", F.lit(LIMIT))).withColumn("flagged", F.col("score") >= F.col("threshold"))
 
 
