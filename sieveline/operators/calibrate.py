@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.scalar import cosine, vector_norm
+from sieveline.storage import cut
 
 
 def normalised(v: Column) -> Column:
@@ -28,19 +29,40 @@ def centroids(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return vector_sums(unit, keys, "u").select(*keys, normalised(F.transform("total", lambda x: x / F.col("n"))).alias("centroid"), "n")
 
 
+def places(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """df with __at, the number of rows of its keys that come earlier in the
+    order of a text, such as a digest. Counts by the first three characters
+    come first, so that no key is ranked in one task."""
+    rows = df.withColumn("__o", order.cast("string")).withColumn("__b", F.substring("__o", 1, 3))
+    counts = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(k).alias(f"__k{n}") for n, k in enumerate([*keys, "__b"])], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))
+    same = F.lit(True)
+    for n, k in enumerate([*keys, "__b"]):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{n}"))
+    within = Window.partitionBy(*keys, "__b").orderBy("__o")
+    return rows.join(starts, same).withColumn("__at", F.col("__s") + F.row_number().over(within) - 1).select(*df.columns, "__at")
+
+
 def folds(df: DataFrame, label: str, key: Column, k: int) -> DataFrame:
-    """Stratified folds: rows of each label in the order of a seeded hash."""
-    return df.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(key)) - 1) % k)
+    """Stratified folds: rows of each label in the order of a seeded hash,
+    written as text."""
+    return places(df, [label], key).withColumn("fold", F.col("__at") % k).drop("__at")
 
 
 def precision_threshold(df: DataFrame, keys: list[str], score: str, positive: str, target: float, least: int) -> DataFrame:
     """keys, threshold, precision, recall, coverage, accepted: the lowest
     score from which on at least ``least`` rows are taken at ``target``
     precision; if there is none, just above the highest score. Scores are
-    first summed by value, so ties and large groups cost a row each."""
+    first summed by value and sorted by a range shuffle; running sums go from
+    part to part of it, so that no class has to fit in one task."""
     values = df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(positive).cast("long")).alias("tp"))
-    above = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    running = values.select(*keys, score, F.sum("n").over(above).alias("n"), F.sum("tp").over(above).alias("tp"))
+    values = cut(values.repartitionByRange(*[F.col(k) for k in keys], F.desc(score)).withColumn("__part", F.spark_partition_id()))
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = values.groupBy(*keys, "__part").agg(F.sum("n").alias("n"), F.sum("tp").alias("tp"))
+    starts = parts.select(*keys, "__part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__{c}") for c in ("n", "tp")])
+    above = Window.partitionBy(*keys, "__part").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    running = values.join(starts, [*keys, "__part"]).select(*keys, score, *[(F.col(f"__{c}") + F.sum(c).over(above)).alias(c) for c in ("n", "tp")])
     good = (F.col("n") >= least) & (F.col("tp") / F.col("n") >= target)
     best = running.groupBy(*keys).agg(F.max(F.when(good, F.struct("n", "tp", F.col(score).alias("s")))).alias("b"), F.max(score).alias("top"), F.max("n").alias("rows"), F.max("tp").alias("positives"))
     found = F.col("b").isNotNull()
@@ -78,7 +100,7 @@ def calibrate(df: DataFrame, vector: str, class_column: str, accepted: str, orde
     unit = df.select(F.col(class_column).alias("class_name"), F.col(accepted).cast("boolean").alias("pos"), normalised(F.col(vector)).alias("u"), order.alias("o"))
     sizes = unit.groupBy("class_name").agg(F.count_if("pos").alias("np"), F.count_if(~F.col("pos")).alias("nn")).filter("np >= 2 and nn >= 2")
     sizes = sizes.withColumn("k", F.least(F.lit(k), "np", "nn"))
-    dealt = unit.join(sizes, "class_name").withColumn("fold", (F.row_number().over(Window.partitionBy("class_name", "pos").orderBy("o")) - 1) % F.col("k"))
+    dealt = places(unit.join(sizes, "class_name"), ["class_name", "pos"], F.col("o")).withColumn("fold", F.col("__at") % F.col("k")).drop("__at")
     per_fold = vector_sums(dealt, ["class_name", "pos", "fold"], "u")
     total = vector_sums(dealt, ["class_name", "pos"], "u")
     less = per_fold.withColumnRenamed("total", "part").withColumnRenamed("n", "part_n").join(total, ["class_name", "pos"])

@@ -250,3 +250,52 @@ def test_report_parts(spark):
     assert json.loads(advisory.prompt_payload(rows, "request", "event_id").first()["payload"])["detections"][0]["class_name"] == "x"
     epochs = spark.createDataFrame([("a", 1, 0.2, 0.9), ("a", 2, 0.4, 0.1)], "run string, epoch int, map double, map50 double")
     assert report.best_epochs(epochs).count() == 1
+
+
+def test_selection_and_prompts(spark):
+    from sieveline.functions.scalar import relative_path
+
+    none = "array<struct<c:string>>"
+    rows = spark.createDataFrame([("g", "high", [("x",)]), ("g", "normal", []), ("h", "high", [])], f"leakage_group string, review_priority string, boxes {none}")
+    assert tuple(report.selection_summary(rows).first()) == (3, 2, 2, 1)
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(relative_path(F.lit("/data/x/y.jpg"), "/data/")) == "x/y.jpg" and one(relative_path(F.lit("/other/y"), "/data")) == "/other/y"
+    assert one(advisory.chat_prompt(F.lit("kb"), F.lit(None).cast("string"), F.lit("q"))).split("\n\n")[1].startswith("No photo") and one(advisory.chat_prompt(F.lit("kb"), F.lit("s"), F.lit("q"))) == "kb\n\ns\n\nq"
+
+
+def test_calibration_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [("c", bool(k % 3 == 0), (rng.standard_normal(4) + (1.0 if k % 3 == 0 else 0.0)).tolist(), f"{k:03}") for k in range(60)]
+    rows += [("d", bool(k % 2), rng.standard_normal(4).tolist(), f"{k:03}") for k in range(20)]
+    df = spark.createDataFrame(rows, "c string, ok boolean, v array<double>, o string")
+    got = {r["class_name"]: r for r in calibrate.calibrate(df, "v", "c", "ok", F.col("o"), 0.6, 5, 5).collect()}
+
+    def best(scores, positive):
+        top = None
+        for s in sorted(set(scores)):
+            taken = [p for x, p in zip(scores, positive) if x >= s]
+            if len(taken) >= 5 and sum(taken) / len(taken) >= 0.6:
+                return s, sum(taken) / len(taken), sum(taken) / sum(positive), len(taken)
+        return max(scores) + 1e-6, 1.0, 0.0, 0
+
+    cos = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    for name in "cd":
+        own = [r for r in rows if r[0] == name]
+        u = np.array([np.array(r[2]) / np.linalg.norm(r[2]) for r in own])
+        pos = np.array([r[1] for r in own])
+        k, fold = min(5, pos.sum(), (~pos).sum()), np.zeros(len(own), int)
+        for kind in (True, False):
+            fold[pos == kind] = np.arange((pos == kind).sum()) % k
+        oof = [cos(u[i], u[pos & (fold != fold[i])].sum(0)) - cos(u[i], u[~pos & (fold != fold[i])].sum(0)) for i in range(len(own))]
+        full = [cos(x, u[pos].sum(0)) - cos(x, u[~pos].sum(0)) for x in u]
+        a, b = best(oof, pos.tolist()), best(full, pos.tolist())
+        assert got[name]["threshold"] == pytest.approx(max(a[0], b[0]), abs=1e-7)
+        assert (got[name]["precision"], got[name]["recall"], got[name]["accepted"]) == (pytest.approx(a[1]), pytest.approx(a[2]), a[3])
+
+
+def test_places_in_order(spark):
+    rng = np.random.default_rng(9)
+    rows = [(str(rng.integers(0, 3)) if rng.random() < 0.9 else None, f"{rng.integers(0, 1 << 32):08x}") for _ in range(200)]
+    got = calibrate.places(spark.createDataFrame(rows, "k string, o string"), ["k"], F.col("o")).collect()
+    want = {(k, o): sorted(x for j, x in rows if j == k).index(o) for k, o in rows}
+    assert {(r["k"], r["o"]): r["__at"] for r in got} == want
