@@ -300,3 +300,18 @@ def test_clashing_columns_ties_and_repeats(spark, number):
     assert run(wide.limit(0)).count() == 0
     if number > 1:
         assert len(got) == 5 and len(set(got)) == 4
+
+
+def test_cards_by_regex():
+    import re
+
+    rng = np.random.default_rng(12)
+    for _ in range(3000):
+        t = "".join(rng.choice(list("0123456789  --x."), rng.integers(0, 60)))
+        want = []
+        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+            digits = [int(c) for c in m[0] if c.isdigit()]
+            total = sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(reversed(digits)))
+            if 12 <= len(digits) <= 19 and total % 10 == 0:
+                want.append((m.start(), m.end(), "card"))
+        assert list(pii.cards(t)) == want
