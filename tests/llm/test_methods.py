@@ -227,7 +227,7 @@ TEXTS = {
     "key": "".join(np.random.default_rng(0).choice(list(secrets.ENCODINGS[-1][1]), MB)),
     "words": " ".join(map(str, np.random.default_rng(1).integers(0, 50_000, MB // 6))),
 }
-SECONDS = 25
+SECONDS = 40
 
 
 @pytest.mark.parametrize("name", TEXTS)
@@ -267,8 +267,8 @@ def test_long_texts_as_tokens():
 def test_long_texts_in_sql(spark, operator):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS.values())], "doc_id long, text string")
     began = time.time()
-    assert operator(df).select(F.sum(F.xxhash64("doc_id"))).count() == 1 and operator(df).count() == len(TEXTS)
-    operator(df).write.format("noop").mode("overwrite").save()
+    out = operator(df)
+    assert out.select(F.xxhash64(*out.columns)).distinct().count() == len(TEXTS)
     assert time.time() - began < 4 * SECONDS
 
 
