@@ -43,24 +43,24 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
 
 
-def line_verdict(line: Column, words: Column) -> Column:
-    """Name of the rule that a line of ``words`` words fails, or null."""
+def line_verdict(line: Column, words: Column, low: Column) -> Column:
+    """Name of the rule that a line of ``words`` words fails, or null; low is
+    the line in lower case. Costly tests come after cheap ones."""
     symbols = F.length(F.regexp_replace(line, f"[^{SYMBOLS}]+", ""))
     marks = F.regexp_count(line, F.lit("[!?.,;:]{2,}"))
     capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
     small = F.length(F.regexp_replace(line, r"[^\p{Ll}]+", ""))
-    low = F.lower(line)
     said = F.lit(False)
     for phrase in BOILERPLATE:
         said = said | F.contains(low, F.lit(phrase))
     bars = F.length(F.regexp_replace(line, r"[^|»›•·]+", ""))
     return (
         F.when((bars >= 2) & (bars * 4 >= words), "navigation")
-        .when(low.rlike(NAVIGATION), "navigation")
+        .when((words <= 4) & low.rlike(NAVIGATION), "navigation")
         .when(symbols * 100 > words * MAX_SYMBOLS, "symbols")
         .when(marks * 100 > words * MAX_MARKS, "marks")
         .when((capitals >= 10) & (capitals > 3 * small), "capitals")
-        .when(said & (words <= 30), "boilerplate")
+        .when((words <= 30) & said, "boilerplate")
         .when((words <= LABEL) & ~line.rlike(ENDED), "unended")
     )
 
@@ -87,8 +87,8 @@ def clean_lines(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("__places", F.array_sort(F.transform(again, lambda x: x["i"])))
     # each window adds its words beyond the next one's start
     covered = F.aggregate("__places", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")), lambda acc, p: F.struct((acc["n"] + p + WINDOW - F.greatest(acc["end"], p)).alias("n"), (p + WINDOW).alias("end")), lambda acc: acc["n"])
-    judged = F.transform("__lines", lambda s: F.struct(s.alias("line"), F.regexp_count(s, F.lit(f"{NOT_SPACE}+")).alias("n")))
-    df = df.withColumn("__judged", judged).withColumn("__judged", F.transform("__judged", lambda s: F.struct(s["line"].alias("line"), s["n"].alias("n"), line_verdict(s["line"], s["n"]).alias("why"))))
+    judged = F.transform("__lines", lambda s: F.struct(s.alias("line"), F.regexp_count(s, F.lit(f"{NOT_SPACE}+")).alias("n"), F.lower(s).alias("low")))
+    df = df.withColumn("__judged", judged).withColumn("__judged", F.transform("__judged", lambda s: F.struct(s["line"].alias("line"), s["n"].alias("n"), line_verdict(s["line"], s["n"], s["low"]).alias("why"))))
     removed = F.filter("__judged", lambda s: s["why"].isNotNull())
     out = {
         "n_words": n.cast("long"),
