@@ -24,7 +24,9 @@ import struct
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,8 @@ END = "</w>"
 #: Words in one of the two generations that a worker remembers, and bytes of the longest one; pairs of tokens whose compatibility is remembered.
 REMEMBERED, LONGEST, PAIRS = 200_000, 64, 2_000_000
 FAR = 1 << 60
+#: Bytes of text whose words are met together.
+TOGETHER = 1 << 21
 
 
 def byte_letters() -> list[str]:
@@ -155,6 +159,7 @@ class PrefixEncoder:
         self.automaton = SuffixAutomaton([(s, k) for k, s in enumerate(self.spelt)])
         self.odd = regex.compile("[\x1c-\x1f]")  # white space to str.split() only
         self.known = Remembered(self.spaced)
+        self.trail: tuple[list[int], list[int], list[int], list[int]] = ([], [-1], [0], [0])
 
     def _edges(self, side: int) -> list[tuple[int, ...]]:
         """For each token, what stands at its edge as the merges go by."""
@@ -185,14 +190,22 @@ class PrefixEncoder:
                 j += 1
 
     def tokens(self, symbols: list[int]) -> list[int]:
-        """Token ages of a sequence of symbols."""
+        """Token ages of a sequence of symbols. Prefixes that the sequence
+        shares with the one before have their last tokens already."""
         nexts, links, size, ending = self.automaton.next, self.automaton.link, self.automaton.size, self.automaton.ending
         compatible, spelt = self.compatible, self.spelt
         if len(compatible) > PAIRS:
             compatible.clear()
-        last: list[int] = [-1]
-        state = length = 0
-        for i, s in enumerate(symbols, 1):
+        before, last, states, lengths = self.trail
+        shared = 0
+        for a, b in zip(before, symbols):
+            if a != b:
+                break
+            shared += 1
+        del last[shared + 1 :], states[shared + 1 :], lengths[shared + 1 :]
+        state, length = states[-1], lengths[-1]
+        for i in range(shared + 1, len(symbols) + 1):
+            s = symbols[i - 1]
             step = nexts[state].get(s)
             while step is None:
                 state = links[state]
@@ -213,6 +226,9 @@ class PrefixEncoder:
                 elif n == i == length and self.alone[t]:
                     break
             last.append(t)
+            states.append(state)
+            lengths.append(length)
+        self.trail = (symbols, last, states, lengths) if len(symbols) <= LONGEST else ([], [-1], [0], [0])
         out, i = [], len(symbols)
         while i:
             out.append(last[i])
@@ -232,23 +248,30 @@ class PrefixEncoder:
         pieces = [self.word(p) for p in self.piece.findall(word)]
         return pieces[0] if len(pieces) == 1 else (b"".join([x[0] for x in pieces]), " ".join([x[1] for x in pieces]))
 
-    def _plain(self, text: str) -> list[tuple[bytes, str]]:
+    def _words(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
-        words = self.white.split(text) if self.odd.search(text) else text.split()
-        return [self.known[w] for w in words if w]
+        return [w for w in self.white.split(text) if w] if self.odd.search(text) else text.split()
+
+    def encode_all(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        """For each text, ids as little-endian unsigned 32-bit words and the
+        decoded text. New words are met in order, so that they share prefixes."""
+        cut = [self.cut.split(t or "") if self.cut else [t or ""] for t in texts]
+        words = [[self._words(p) for p in parts[::2]] for parts in cut]
+        known, rows = self.known, []
+        for word in sorted({w for parts in words for p in parts for w in p if w not in known}):
+            known[word]
+        for parts, plain in zip(cut, words):
+            out = [known[w] for w in plain[0]]
+            for special, more in zip(parts[1::2], plain[1:]):
+                out.append((struct.pack("<I", self.special[special]), special))
+                out += [known[w] for w in more]
+            rows.append((b"".join([x[0] for x in out]), " ".join([x[1] for x in out])))
+        return rows
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
-        """Ids as little-endian unsigned 32-bit words, and the decoded text."""
-        parts = self.cut.split(text or "") if self.cut else [text or ""]
-        out: list[tuple[bytes, str]] = []
-        for k, part in enumerate(parts):
-            if k % 2:
-                out.append((struct.pack("<I", self.special[part]), part))
-            elif part:
-                out += self._plain(part)
-        return b"".join([x[0] for x in out]), " ".join([x[1] for x in out])
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         names = self.names | {i: t for t, i in self.special.items()}
@@ -266,6 +289,17 @@ def _encoder(raw: str) -> PrefixEncoder:
     return _made[key]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``TOGETHER`` bytes of text, a row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + TOGETHER, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def bpe_encode(df: DataFrame, vocabulary_path: str, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """One row per row of df: the id, ids array<int>, decoded string.
 
@@ -292,9 +326,8 @@ def _run(df: DataFrame, vocabulary_path: str, text: str, id_column: str, digests
         for batch in batches:
             if not batch.num_rows:
                 continue
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = [encoder.encode(t.as_py()) for t in part.column(1)]
+            for part in _slices(batch):
+                rows = encoder.encode_all(part.column(1).to_pylist())
                 if digests:
                     columns = [
                         pa.array([len(b) // 4 for b, _ in rows], pa.int64()),
