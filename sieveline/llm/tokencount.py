@@ -9,17 +9,18 @@ together. A chunk numbers its distinct pre-tokens (the frequent ones first);
 each document of it is a sparse vector of (number, frequency), packed into
 bytes. Both are written to the shared folder. The pre-tokens of all chunks are
 dealt by their spelling and sorted, so that equal ones follow each other and
-are counted once; (chunk, number, pieces) go back to the chunk, where vectors
-meet them in a cogroup. A pre-token crosses the network once a chunk instead
-of once a document, no key has more rows than there are chunks, and a cogroup
-is bounded by the chunk.
-
-Equality with the library: the cutting of a document's words with known
-neighbours is remembered, everything else is cut by the library itself; pieces
-are counted by its model. Strings of special tokens are one token each, as the
-library's default has it. Texts of more than ``PIECE`` characters are cut
-between a word and white space, which no pre-token and no special token
-crosses, and their parts are summed.
+are counted once; numbers and pieces go back to the chunk, packed again, where
+vectors meet them in a cogroup. A pre-token crosses the network once a chunk
+instead of once a document, no key has more rows than there are chunks, and a
+cogroup is bounded by the chunk.
+
+Equality with the library: a word of Latin letters between spaces is one
+pre-token with the space before it, and the marks after it are another; all
+else is cut by the library itself, and pieces are counted by its model.
+Strings of special tokens are one token each, as the library's default has it.
+Texts of more than ``PIECE`` characters are cut between a word and white
+space, which no pre-token and no special token crosses, and their parts are
+summed.
 
 Edge cases: a null or empty text has no bytes and no tokens; repeated rows give
 a row each; an empty table has no rows; only the two named columns are read,
@@ -41,11 +42,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.llm.bpe import byte_letters
 from sieveline.llm.common import cut, table
 
 #: Characters of a chunk and of a piece of a text; words whose pre-tokens a worker remembers, and the longest of them.
-CHUNK, PIECE, REMEMBERED, LONGEST = 1 << 24, 1 << 22, 200_000, 64
+CHUNK, PIECE, REMEMBERED, LONGEST = 1 << 25, 1 << 22, 100_000, 64
+#: Counted pre-tokens that a task holds before it passes them on.
+HELD = 1 << 20
 LIMIT = 1024
+#: Latin letters of any kind, then marks that are neither letters, numbers nor white space.
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
 WHITE = re.compile(r"(?<=\S)\s")
 
 _made: dict[str, "PreTokens"] = {}
@@ -62,11 +68,12 @@ class PreTokens:
         added = json.loads(raw)["added_tokens"]
         self.special = re.compile("(" + "|".join(re.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"]))) + ")") if added else None
         self.known: dict[str, list[str]] = {}
+        self.letters = byte_letters()
 
     def _word(self, word: str) -> list[str]:
         found = self.known.get(word)
         if found is None:
-            found = [x for x, _ in self.cut(word)]
+            found = [word[a:b] for _, (a, b) in self.cut(word)]
             if len(word) <= LONGEST:
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
@@ -79,19 +86,26 @@ class PreTokens:
         parts = self.special.split(text) if self.special else [text]
         for part in parts[::2]:
             first, *words = part.split(" ")
-            times = Counter(words)
+            known = [(SIMPLE.fullmatch(w), w, n) for w, n in Counter(words).items()]
+            odd = [(w, n) for m, w, n in known if not m]
             # a word between spaces is cut by itself, unless white space touches the spaces
-            if first[-1:].isspace() or not all(w and not w[0].isspace() and not w[-1].isspace() for w in times):
-                out.update(x for x, _ in self.cut(part))
+            if first[-1:].isspace() or not all(w and not w[0].isspace() and not w[-1].isspace() for w, _ in odd):
+                out.update(part[a:b] for _, (a, b) in self.cut(part))
                 continue
             out.update(self._word(first) if first else ())
-            for word, n in times.items():
+            for m, _, n in known:
+                if m:
+                    word, marks = m.groups()
+                    out[" " + word] += n
+                    if marks:
+                        out[marks] += n
+            for word, n in odd:
                 for x in self._word(" " + word):
                     out[x] += n
         return out, len(parts) // 2
 
     def pieces(self, pre_token: str) -> int:
-        return len(self.model.tokenize(pre_token))
+        return len(self.model.tokenize("".join(map(self.letters.__getitem__, pre_token.encode()))))
 
 
 def _tokens(raw: str) -> PreTokens:
@@ -131,13 +145,13 @@ class _Chunk:
 
     def add(self, row: int, ident: object, n_bytes: int, special: int, times: Counter[str], size: int) -> None:
         names = self.names
-        own = np.fromiter((names.setdefault(x, len(names)) for x in times), np.int64, len(times))
-        self.rows.append((row, ident, n_bytes, special, own, np.fromiter(times.values(), np.int64, len(times))))
+        own = np.fromiter((names.setdefault(x, len(names)) for x in times), np.int32, len(times))
+        self.rows.append((row, ident, n_bytes, special, own, np.fromiter(times.values(), np.int32, len(times))))
         self.size += size
 
     def batches(self, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         """A row for each document, then one with all pre-tokens."""
-        held = np.bincount(np.concatenate([np.zeros(0, np.int64), *(r[4] for r in self.rows)]), minlength=len(self.names))
+        held = np.bincount(np.concatenate([np.zeros(0, np.int32), *(r[4] for r in self.rows)]), minlength=len(self.names))
         order = np.argsort(-held, kind="stable")
         number = np.empty_like(order)
         number[order] = np.arange(len(order))
@@ -149,6 +163,14 @@ class _Chunk:
         yield pa.RecordBatch.from_arrays([pa.array([self.number], pa.int64()), *nothing, pa.array([[spelt[k] for k in order]], pa.list_(pa.string()))], names)
 
 
+def _by_chunk(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    chunk, number, pieces = map(np.concatenate, zip(*held))
+    order = np.argsort(chunk, kind="stable")
+    own, starts = np.unique(chunk[order], return_index=True)
+    rows = [packed(number[k], pieces[k]) for k in np.split(order, starts[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(rows, pa.binary())], ["chunk", "counted"])
+
+
 def token_counts(df: DataFrame, vocabulary_path: str, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """(id, n_bytes, n_tokens) of each row of df."""
     with open(vocabulary_path, encoding="utf-8") as file:
@@ -173,26 +195,32 @@ def token_counts(df: DataFrame, vocabulary_path: str, text: str = "text", id_col
             yield from chunk.batches(id_type)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, last, n = _tokens(shared.value), None, 0
+        tokens, last, n, held, size = _tokens(shared.value), None, 0, [], 0
         for batch in batches:
             out = []
             for x in batch.column(2).to_pylist():
                 if x != last:
                     last, n = x, tokens.pieces(x)
                 out.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], ["chunk", "number", "pieces"])
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.array(out, np.int64)))
+            size += len(out)
+            if size >= HELD:
+                yield _by_chunk(held)
+                held, size = [], 0
+        if held:
+            yield _by_chunk(held)
 
     def summed(docs: pa.Table, pieces: pa.Table) -> pa.Table:
-        by = np.zeros(pieces.num_rows, np.int64)
-        by[pieces.column("number").to_numpy()] = pieces.column("pieces").to_numpy()
-        totals = [int(by[at] @ times) for at, times in map(unpacked, docs.column("vector").to_pylist())]
-        totals = pa.array(totals, pa.int64())
-        special = pa.array([a + b for a, b in zip(totals.to_pylist(), docs.column("special").to_pylist())], pa.int64())
-        return pa.table({"row": docs.column("row"), "id": docs.column("id"), "n_bytes": docs.column("n_bytes"), "n_tokens": special})
+        back = [unpacked(raw) for raw in pieces.column("counted").to_pylist()]
+        by = np.zeros(sum(len(a) for a, _ in back), np.int64)
+        for numbers, n in back:
+            by[numbers] = n
+        totals = [special + int(by[at] @ times) for special, (at, times) in zip(docs.column("special").to_pylist(), map(unpacked, docs.column("vector").to_pylist()))]
+        return pa.table({"row": docs.column("row"), "id": docs.column("id"), "n_bytes": docs.column("n_bytes"), "n_tokens": pa.array(totals, pa.int64())})
 
     written = cut(df.select(F.col(id_column), F.col(text).cast("string")).mapInArrow(chunks, f"chunk long, row long, id {kind}, n_bytes long, special long, vector binary, pre_tokens array<string>"))
     spelt = written.filter("pre_tokens is not null").select("chunk", F.posexplode("pre_tokens").alias("number", "pre_token"))
-    pieces = spelt.repartition("pre_token").sortWithinPartitions("pre_token").mapInArrow(counted, "chunk long, number int, pieces int")
+    pieces = spelt.repartition("pre_token").sortWithinPartitions("pre_token").mapInArrow(counted, "chunk long, counted binary")
     docs = written.filter("vector is not null").drop("pre_tokens")
     sums = docs.groupBy("chunk").cogroup(pieces.groupBy("chunk")).applyInArrow(summed, f"row long, id {kind}, n_bytes long, n_tokens long")
     return sums.groupBy("row").agg(F.first("id").alias(id_column), F.sum("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens")).drop("row")
