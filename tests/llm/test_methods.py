@@ -181,18 +181,59 @@ def test_battery_equals_brute_force(spark):
     assert [r["p"] for r in got] == pytest.approx([battery(s) for s in found], rel=1e-6, abs=1e-12)
 
 
-def test_false_discoveries_by_length(spark):
-    """Beyond the level at which decoys are too many, nothing is reported; a
-    class of lengths does not disturb another."""
+def key_verdict(s):
+    """Whether the class of a string reports its score."""
+    import re
+
+    plain = "".join(c for c in s if c not in "=_-")
+    e = next(k for k, (rule, _) in enumerate(secrets.ENCODINGS) if re.search(rule, plain))
+    d = min(len(re.findall("[0-9]+", plain)), secrets.RUNS - 1)
+    return battery(s) >= secrets.LIMITS[e][sum(len(s) >= n for n in secrets.LENGTHS)][d]
+
+
+def some_keys(rng, n):
+    return ["".join(rng.choice(list(a), size)) for _, a in secrets.ENCODINGS for size in (20, 25, 33, 50, 90) for _ in range(n)]
+
+
+def test_verdicts_equal_brute_force(spark):
     rng = np.random.default_rng(7)
-    keys = ["".join(rng.choice(list(secrets.ENCODINGS[-1][1][:62]), 40)) for _ in range(60)]
-    decoys = ["".join(rng.choice(list(secrets.LOWER + secrets.UPPER), 22)) for _ in range(60)]
-    short = ["".join(rng.choice(list(secrets.ENCODINGS[-1][1][:62]), 21)) for _ in range(10)]
-    mixed = [s for s in keys + short if sum(c.isdigit() for c in s) >= 2]
-    df = spark.createDataFrame([(k, f"see {s} there") for k, s in enumerate(mixed + decoys)], "doc_id long, text string")
-    out = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(df).collect()}
-    assert sum(bool(out[k]) for k, s in enumerate(mixed) if len(s) == 40) > 0.9 * sum(len(s) == 40 for s in mixed)
-    assert not any(out[k] for k, s in enumerate(mixed) if len(s) < 24) and not any(out[len(mixed) + k] for k in range(60))
+    found = [s for s in some_keys(rng, 12) + [t for n in (20, 40, 80) for t in secrets.text_strings(n, 60, 1)] if any(c.isalpha() for c in s)]
+    df = spark.createDataFrame([(k, f"see {s} there") for k, s in enumerate(found)], "doc_id long, text string")
+    out = {r["doc_id"]: {x["kind"] for x in r["spans"]} for r in secrets.scan_secrets(df).collect()}
+    for k, s in enumerate(found):
+        if not out[k] - {"random"}:  # else a plain rule has it
+            assert bool(out[k]) == key_verdict(s), s
+    assert 0.4 * len(found) < sum(map(bool, out.values())) < 0.9 * len(found)
+
+
+def test_added_keys_never_remove_a_span(spark):
+    rng = np.random.default_rng(8)
+    keys = some_keys(rng, 3) + ["".join(rng.choice(list(secrets.LOWER + secrets.UPPER), 40)) for _ in range(20)]
+    rows = [(k, f"a {s} b") for k, s in enumerate(keys)]
+    spans = lambda part: {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(spark.createDataFrame(part, "doc_id long, text string")).collect()}
+    whole = spans(rows)
+    for at in (0, 40, 100):
+        assert spans(rows[at : at + 20]) == {k: whole[k] for k, _ in rows[at : at + 20]}
+    # within a text, too
+    both = spans([(0, " and ".join(s for _, s in rows))])[0]
+    assert len(both) == sum(map(len, whole.values()))
+
+
+def test_text_is_seldom_reported_and_keys_are_found(spark):
+    rng = np.random.default_rng(9)
+    text = [(k, t) for k, t in enumerate(t for n in (20, 30, 40, 64) for t in secrets.text_strings(n, 500, 2))]
+    keys = [(5000 + k, "".join(rng.choice(list(secrets.ENCODINGS[-2][1]), 40))) for k in range(200)]
+    out = {r["doc_id"]: bool(r["spans"]) for r in secrets.scan_secrets(spark.createDataFrame(text + keys, "doc_id long, text string")).collect()}
+    assert sum(out[k] for k, _ in text) <= 6 and sum(out[k] for k, _ in keys) > 180
+
+
+def test_limits_follow_from_the_models(spark):
+    got = secrets.limits(spark, 3000)
+    assert [[len(x) for x in y] for y in got] == [[secrets.RUNS] * 5] * len(secrets.ENCODINGS) == [[len(x) for x in y] for y in secrets.LIMITS]
+    for e, by_length in enumerate(secrets.LIMITS):  # many runs of digits are certain at any number of strings; short words never
+        if by_length[1][3] == secrets.SCORES[0]:
+            assert got[e][1][3] <= 0.01
+    assert got[3][0][0] == secrets.LIMITS[3][0][0] == secrets.NEVER
 
 
 # --- benchmark ---------------------------------------------------------------
