@@ -27,7 +27,7 @@ Edge cases: a null text stays null; blank lines belong to no run and go only
 between two deleted lines; a document may lose all its lines (clean_text is
 then empty). Rows that repeat with the same id and text count as one document
 and share its fate; of equal runs the one in the document with the smallest id
-stays, ties going to the least hash of the text; a null id sorts first. A long
+stays, ties going to the least hash of the text; ids are numbers (others count as null), a null id sorts first. A long
 text is a row for each of its lines. Columns of the input pass through, but
 for those named like a result column, which are replaced.
 """
@@ -62,9 +62,10 @@ def repeated_runs(df: DataFrame, text: str = "text", id_column: str = "doc_id",
     rows = cut(rows)
     # counts are written before they are joined: a join of two exchanges can have its hot keys split, one below or above an aggregate cannot
     twice = cut(rows.groupBy("a", "b").count().filter("count > 1").select("a", "b"))
-    # dealt by document before rows that repeat whole become one, so that no task has to hold all places of a line
-    shared = rows.join(twice, ["a", "b"], "left_semi").repartitionByRange(F.col("__o"), F.col("__h"))
-    shared = cut(shared.distinct().sortWithinPartitions("__o", "__h", "q").withColumn("p", F.monotonically_increasing_id()))
+    # dealt by place before rows that repeat whole become one, so that no task has to hold all places of a line;
+    # numbered after a range shuffle of its own, as distinct() need not keep another's order
+    shared = rows.join(twice, ["a", "b"], "left_semi").repartition("__o", "__h", "q").distinct()
+    shared = cut(shared.repartitionByRange(F.col("__o"), F.col("__h")).sortWithinPartitions("__o", "__h", "q").withColumn("p", F.monotonically_increasing_id()))
     first = cut(shared.groupBy("a", "b").agg(F.min("p").alias("c")))
     level = shared.join(first, ["a", "b"]).select("p", "__o", "__h", "q", "c")
     names = level.select(F.lit(0).alias("k"), "p", "c")

@@ -308,6 +308,23 @@ def test_line_dedup_equals_brute_force(spark):
             assert got - blank == gone[k], (trial, k)
 
 
+def test_line_dedup_does_not_rest_on_the_planner(spark):
+    """Numbers follow the order of documents under any distribution that the
+    planner may choose."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    want = sorted(map(tuple, linededup.drop_repeated_lines(docs).select("doc_id", "clean_text").collect()))
+    changed = {"spark.sql.requireAllClusterKeysForDistribution": "true", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        got = sorted(map(tuple, linededup.drop_repeated_lines(docs).select("doc_id", "clean_text").collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want and want != sorted((r["doc_id"], r["text"]) for r in docs.collect())
+
+
 def test_line_dedup_oddities(spark):
     long = "\n".join(f"sentence number {k} of a passage that is long" for k in range(8))
     df = with_oddities(spark, [long, "intro\n" + long + "\nend", long])
