@@ -38,10 +38,10 @@ WHITE = r"\t-\r\x20\x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B),
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+"
 END = "</w>"
 #: Words in one of the two generations that a worker remembers, and bytes of the longest one; pairs of tokens whose compatibility is remembered.
-REMEMBERED, LONGEST, PAIRS = 200_000, 64, 2_000_000
+REMEMBERED, LONGEST, PAIRS = 400_000, 64, 2_000_000
 FAR = 1 << 60
 #: Bytes of text whose words are met together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 22
 
 
 def byte_letters() -> list[str]:
