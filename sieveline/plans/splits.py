@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.operators import sample, split
+from sieveline.operators import balance, sample, split
 from sieveline.plans.catalog import query
-from sieveline.storage import table
+from sieveline.storage import cut, table
 
 SEED = 42
 RATIOS = ["0.7", "0.2", "0.1"]
@@ -79,11 +79,49 @@ def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_counts(_assigned(spark, sf_dir)).select("split", "images", "groups", "boxes")
 
 
-@query("SELECT 0::BIGINT AS crossing")
+@query(f"WITH {ASSIGN_SQL} SELECT count(*) AS crossing FROM (SELECT leakage_group FROM z GROUP BY leakage_group HAVING count(DISTINCT split) > 1)")
 def split_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.crossing_groups(_assigned(spark, sf_dir)).agg(F.count(F.lit(1)).alias("crossing"))
 
 
+#: Weighted squared relative errors of each split against its share of the totals.
+_ERROR = "{0} * pow(({1} - {2}) / greatest({2}, 1.0), 2)"
+OBJECTIVE_SQL = f"""WITH {ASSIGN_SQL}, m AS (SELECT leakage_group, min(split) AS split FROM z GROUP BY leakage_group),
+w AS (SELECT sum(images) AS images, sum(boxes) AS boxes, {", ".join(f"sum(p{k}) AS p{k}, sum(o{k}) AS o{k}" for k in range(5))} FROM v),
+s AS (SELECT m.split, sum(images)::DOUBLE AS images, sum(boxes)::DOUBLE AS boxes, {", ".join(f"sum(p{k})::DOUBLE AS p{k}, sum(o{k})::DOUBLE AS o{k}" for k in range(5))} FROM v JOIN m USING (leakage_group) GROUP BY m.split),
+g(split, r, k) AS (VALUES ('train', 0.7::DOUBLE, 0), ('val', 0.2::DOUBLE, 1), ('test', 0.1::DOUBLE, 2))
+SELECT s.split, s.images::BIGINT AS images, s.boxes::BIGINT AS boxes, round({_ERROR.format(8, "s.images", "t.t")}, 6) AS image_error, round({_ERROR.format(0.5, "s.boxes", "(w.boxes * g.r)")}, 6) AS box_error,
+    round({" + ".join(_ERROR.format(2, f"s.p{k}", f"(w.p{k} * g.r)") for k in range(5))}, 6) AS primary_error, round({" + ".join(_ERROR.format(3, f"s.o{k}", f"(w.o{k} * g.r)") for k in range(5))}, 6) AS object_error
+FROM s JOIN g USING (split) JOIN t USING (k), w"""
+
+
+@query(OBJECTIVE_SQL)
+def split_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records(spark, sf_dir)
+    groups, targets = split.group_vectors(rows, 5), split.integer_targets(rows.count(), RATIOS)
+    out = balance.objective(groups, split.assign(groups, targets, SEED), [float(r) for r in RATIOS], targets)
+    return out.select("split", "images", "boxes", *[F.round(c, 6).alias(c) for c in ("image_error", "box_error", "primary_error", "object_error")])
+
+
+def order_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as groups of an image: the priority is the class, lines are
+    objects of the class of their supplier."""
+    kind = (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("c")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(*[F.count_if(F.col("l_suppkey") % 5 == k).alias(f"n{k}") for k in range(5)])
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", kind).join(lines, "o_orderkey", "left")
+    held = F.array(*[F.coalesce(f"n{k}", F.lit(0)) for k in range(5)])
+    rows = rows.select(F.concat(F.lit("o"), "o_orderkey").alias("leakage_group"), F.lit(1).cast("long").alias("images"), F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: (k == F.col("c")).cast("long")).alias("primary"), held.alias("objects"))
+    return rows.withColumn("boxes", F.aggregate("objects", F.lit(0).cast("long"), lambda a, x: a + x))
+
+
+@query()
+def balanced_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups dealt by class, size and objects, then exchanged until no exchange improves."""
+    groups = cut(order_groups(spark, sf_dir))
+    dealt = cut(balance.deal(groups, split.integer_targets(groups.count(), RATIOS), SEED))
+    return balance.refine(groups, dealt, [float(r) for r in RATIOS])
+
+
 CLASSES = ["STANDARD", "ECONOMY", "MEDIUM", "PROMO", "LARGE", "SMALL"]
 
 
