@@ -7,6 +7,7 @@ rows come back by an equi-join, so that many copies cost no pairs.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -24,17 +25,48 @@ def bands(n: int, bits: int = 64) -> list[tuple[int, int]]:
     return [(a, (1 << (b - a)) - 1) for a, b in zip(edges, edges[1:])]
 
 
-#: The largest distance that bands prune; hashes of a block that are compared at once.
-BANDED, BLOCK = 8, 4096
+#: The largest distance for which bands have to agree; keys a hash at most; hashes of a block that are compared at once.
+BANDED, KEYS, BLOCK = 8, 1000, 4096
+#: Nanoseconds, as measured, of a comparison in a block, of a row that is tried, of a candidate that the join returns; rows a hash tries at most.
+COMPARE, PROBE, CANDIDATE, PROBES = 2, 200, 30, 100_000
 
 
 def _agree(n: int, distance: int, bits: int) -> int:
     """Bands that have to agree so that a hash meets fewer candidates under
     its keys than it has keys."""
-    for agree in (1, 2, 3):
-        if n < 2 ** (bits * agree // (distance + agree)):
-            return agree
-    return 3
+    agree = 1
+    while n >= 2 ** (bits * agree // (distance + agree)) and comb(distance + agree + 1, agree + 1) <= KEYS:
+        agree += 1
+    return agree
+
+
+def _choices(width: int, most: int) -> int:
+    """Ways to change up to ``most`` of so many bits."""
+    return sum(comb(width, k) for k in range(most + 1))
+
+
+def probe_plan(n: int, m: int, distance: int, bits: int = 64) -> list[tuple[int, int, int]] | None:
+    """(shift, mask, changes) of the bands of a multi-index search of n hashes
+    for m, or None where comparing all of them in blocks costs less.
+
+    If bands allow r1, r2, ... changes with (r1 + 1) + (r2 + 1) + ... beyond
+    the distance, hashes within it are within r of each other in some band.
+    Fewer bands make longer keys, hence fewer candidates, and more changes
+    that a hash has to try."""
+    best, found = n * m * COMPARE, None
+    for k in range(2, distance + 1):
+        cuts, left = bands(k, bits), distance + 1
+        radii = [left // k + (x < left % k) - 1 for x in range(k)]
+        # the longest bands take the most changes
+        order = sorted(range(k), key=lambda x: -cuts[x][1].bit_length())
+        plan = [(*cuts[x], r) for x, r in zip(order, radii)]
+        tries = [_choices(mask.bit_length(), r) for _, mask, r in plan]
+        if sum(tries) > PROBES:
+            continue
+        cost = min(n, m) * sum(tries) * PROBE + n * m * sum(t / (mask + 1) for t, (_, mask, _) in zip(tries, plan)) * CANDIDATE
+        if cost < best:
+            best, found = cost, plan
+    return found
 
 
 def _near(distance: int):
@@ -60,6 +92,35 @@ def _by_blocks(left: DataFrame, right: DataFrame, distance: int, hash_column: st
     return dealt.groupBy("i", "j").applyInPandas(_near(distance), "a long, b long, distance int")
 
 
+def _whole(shift: int, mask: int) -> int:
+    """The mask at its place, as a signed 64-bit number."""
+    value = (mask << shift) & ((1 << 64) - 1)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _by_probes(left: DataFrame, right: DataFrame, distance: int, hash_column: str, plan: list[tuple[int, int, int]], swapped: bool) -> DataFrame:
+    """Multi-index search: each hash of one side stands under its value of
+    every band, each hash of the other tries all changes that the band
+    allows. A pair is taken in the first band that is near enough."""
+    spark = left.sparkSession
+    flips = [(k, _whole(shift, sum(1 << x for x in way))) for k, (shift, mask, r) in enumerate(plan) for n in range(r + 1) for way in combinations(range(mask.bit_length()), n)]
+    changes = F.broadcast(spark.createDataFrame(pd.DataFrame(flips, columns=["band", "flip"]), "band int, flip long"))  # a fixed number
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        values = F.array(*[F.struct(F.lit(k).alias("band"), F.col(name).bitwiseAND(F.lit(_whole(shift, mask))).alias("value")) for k, (shift, mask, _) in enumerate(plan)])
+        distinct = df.filter(F.col(hash_column).isNotNull()).select(F.col(hash_column).alias(name)).distinct()
+        return distinct.select(name, F.explode(values).alias("x")).select(name, "x.band", "x.value")
+
+    tried = lambda rows, name: rows.join(changes, "band").select(name, "band", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+    a, b = keyed(left, "a"), keyed(right, "b")
+    met = (tried(a, "a") if swapped else a).join(b if swapped else tried(b, "b"), ["band", "value"])
+    met = met.withColumn("distance", hamming(F.col("a"), F.col("b"))).filter(F.col("distance") <= distance)
+    differ, first = F.col("a").bitwiseXOR(F.col("b")), F.lit(True)
+    for k, (shift, mask, r) in enumerate(plan):
+        first = first & ((F.col("band") <= k) | (F.bit_count(differ.bitwiseAND(F.lit(_whole(shift, mask)))) > r))
+    return met.filter(first).select("a", "b", F.col("distance").cast("int").alias("distance"))
+
+
 def hamming_pairs(left: DataFrame, right: DataFrame, distance: int, hash_column: str = "hash", bits: int = 64, agree: int | None = None) -> DataFrame:
     """(a, b, distance) of distinct hashes of both sides within ``distance``,
     equal ones included; the theta form would compare all pairs.
@@ -70,18 +131,22 @@ def hamming_pairs(left: DataFrame, right: DataFrame, distance: int, hash_column:
     hash: as many are taken as the number of hashes asks for. A pair is taken
     in the choice of its first bands that agree, so no distinct is needed.
 
-    Beyond a distance of ``BANDED``, bands are so short that nearly all pairs
-    meet in one, often in several: hashes are then compared block by block,
-    and a pair of blocks is a task that returns what is near."""
-    if distance > BANDED and agree is None:
-        return _by_blocks(left, right, distance, hash_column)
-    agree = agree or _agree(max(df.select(F.approx_count_distinct(hash_column)).first()[0] for df in (left, right)), distance, bits)
+    Beyond a distance of ``BANDED``, bands that have to agree are so short that
+    nearly all pairs meet in one, often in several. Longer bands are then
+    tried with changed bits (``probe_plan``). Where that costs more, as with
+    few hashes or at large distances, hashes are compared block by block, and a
+    pair of blocks is a task that returns what is near."""
+    if agree is None:
+        n, m = (df.select(F.approx_count_distinct(hash_column)).first()[0] for df in (left, right))
+        if distance > BANDED:
+            plan = probe_plan(n, m, distance, bits)
+            return _by_probes(left, right, distance, hash_column, plan, n < m) if plan else _by_blocks(left, right, distance, hash_column)
+        agree = _agree(max(n, m), distance, bits)
     cuts = bands(distance + agree, bits)
     ways = [*combinations(range(len(cuts)), agree)]
-    whole = lambda s, m: ((m << s) & ((1 << 64) - 1)) - ((1 << 64) if (m << s) >> 63 & 1 else 0)
 
     def keyed(df: DataFrame, name: str) -> DataFrame:
-        values = F.array(*[F.struct(F.lit(k).alias("way"), F.col(name).bitwiseAND(F.lit(sum(whole(*cuts[x]) for x in way))).alias("value")) for k, way in enumerate(ways)])
+        values = F.array(*[F.struct(F.lit(k).alias("way"), F.col(name).bitwiseAND(F.lit(sum(_whole(*cuts[x]) for x in way))).alias("value")) for k, way in enumerate(ways)])
         distinct = df.filter(F.col(hash_column).isNotNull()).select(F.col(hash_column).alias(name)).distinct()
         return distinct.select(name, F.explode(values).alias("x")).select(name, "x.way", "x.value")
 
@@ -92,7 +157,7 @@ def hamming_pairs(left: DataFrame, right: DataFrame, distance: int, hash_column:
         skipped = [x for x in range(way[-1]) if x not in way]
         own = F.col("way") == k
         for x in skipped:
-            own = own & (differ.bitwiseAND(F.lit(whole(*cuts[x]))) != 0)
+            own = own & (differ.bitwiseAND(F.lit(_whole(*cuts[x]))) != 0)
         first = first | own
     return met.filter(first).select("a", "b", F.col("distance").cast("int").alias("distance"))
 

@@ -167,23 +167,34 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.status_counts(table(spark, sf_dir, "events").select(F.col("event_type").alias("status"), (F.col("user_id") % 3).cast("string").alias("candidate_class")))
 
 
+COPIES_SQL = "d AS (SELECT doc_id, sha256(text) AS sha, CASE WHEN quality IS NULL THEN [] ELSE ['q' || quality, 't' || toxic] END AS l FROM documents LEFT JOIN labels USING (doc_id))"
+
+
+def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the digest of their text, with label lines; null texts are a class."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.array(F.concat(F.lit("q"), "quality"), F.concat(F.lit("t"), "toxic")).alias("labels"))
+    return docs.join(labels, "doc_id", "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>"))).withColumn("source", F.col("doc_id").cast("string"))
+
+
 @query(
-    """WITH d AS (SELECT doc_id, sha256(text) AS sha, CASE WHEN quality IS NULL THEN [] ELSE ['q' || quality, 't' || toxic] END AS l FROM documents LEFT JOIN labels USING (doc_id) WHERE text IS NOT NULL),
-e AS (SELECT *, max({'n': len(l), 'at': -doc_id, 'own': list_sort(l)}) OVER (PARTITION BY sha ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM d),
+    f"""WITH {COPIES_SQL},
+e AS (SELECT *, max({{'n': len(l), 'at': -doc_id, 'own': list_sort(l)}}) OVER (PARTITION BY sha ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM d),
 f AS (SELECT *, len(l) > 0 AND b.n > 0 AND list_sort(l) <> b.own AS clash FROM e)
-SELECT sha AS sha256, arg_max(doc_id, {'n': len(l), 'at': -doc_id}) AS doc_id, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS sources, count(*) AS copies, coalesce(bool_or(clash), false) AS annotation_conflict FROM f GROUP BY sha"""
+SELECT sha AS sha256, arg_max(doc_id, {{'n': len(l), 'at': -doc_id}}) AS doc_id, count(*) AS copies, coalesce(bool_or(clash), false) AS annotation_conflict FROM f GROUP BY sha"""
 )
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.sha2("text", 256).alias("sha256"))
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.array(F.concat(F.lit("q"), "quality"), F.concat(F.lit("t"), "toxic")).alias("labels"))
-    rows = docs.join(labels, "doc_id", "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>"))).withColumn("source", F.col("doc_id").cast("string"))
-    out = dedup.exact_dedup(rows, order="doc_id")
-    return out.select("sha256", "doc_id", F.array_join("sources", ",").alias("sources"), "copies", "annotation_conflict")
+    return dedup.exact_dedup(copies(spark, sf_dir), order="doc_id").select("sha256", "doc_id", "copies", "annotation_conflict")
+
+
+@query(f"WITH {COPIES_SQL} SELECT sha AS sha256, row_number() OVER (PARTITION BY sha ORDER BY doc_id) AS nth, doc_id::VARCHAR AS source FROM d")
+def exact_dedup_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.class_sources(copies(spark, sf_dir), order="doc_id")
 
 
-@query("""SELECT sha256(text) AS sha256, count(DISTINCT lang) AS classes FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT lang) > 1""")
+@query("""SELECT sha256(text) AS sha256, count(DISTINCT lang) AS classes FROM documents GROUP BY 1 HAVING count(DISTINCT lang) > 1""")
 def class_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("text is not null").select(F.sha2("text", 256).alias("sha256"), F.col("lang").alias("class_name"))
+    docs = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("sha256"), F.col("lang").alias("class_name"))
     return dedup.class_conflicts(docs)
 
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,8 +79,41 @@ def test_exact_dedup(spark):
     rows = [("s", 1, ["x"], "A"), ("s", 2, ["x", "y"], "B"), ("s", 3, ["p", "q"], "C"), ("t", 4, [], "A")]
     df = spark.createDataFrame(rows, "sha256 string, ord long, labels array<string>, source string")
     got = {r["sha256"]: r for r in dedup.exact_dedup(df).collect()}
-    assert (got["s"]["source"], got["s"]["sources"], got["s"]["annotation_conflict"]) == ("B", ["A", "B", "C"], True)
+    assert (got["s"]["source"], got["s"]["copies"], got["s"]["annotation_conflict"]) == ("B", 3, True)
     assert not got["t"]["annotation_conflict"]
+    assert sorted(map(tuple, dedup.class_sources(df).collect())) == [("s", 1, "A"), ("s", 2, "B"), ("s", 3, "C"), ("t", 1, "A")]
+
+
+def test_a_digest_with_half_of_all_rows_is_scanned_in_parts(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(800):
+        sha = rng.choice(["hot", "hot", f"s{k % 40}", f"u{k}", None] if k % 7 else ["hot"])
+        rows.append((sha, k * 3 % 2401, rng.sample(["x", "y", "z"], rng.choice([0, 0, 0, 1, 1, 2])) if k > 40 else [], f"f{k}", "clash"))
+    df = spark.createDataFrame(rows, "sha256 string, ord long, labels array<string>, source string, nth string")
+    best, count, flag, places = {}, {}, {}, []
+    for sha, order, labels, source, _ in sorted(rows, key=lambda r: r[1]):
+        held = best.get(sha)
+        if labels and held and held[0] and set(labels) != set(held[1]):
+            flag[sha] = True
+        count[sha] = count.get(sha, 0) + 1
+        places.append((str(sha), count[sha], source))
+        if not held or len(labels) > held[0]:
+            best[sha] = (len(labels), labels, source)
+    frame = df.drop("nth")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "12")
+        got = {r["sha256"]: (r["source"], r["copies"], r["annotation_conflict"]) for r in dedup.exact_dedup(frame).collect()}
+        scanned = dedup.prefix_scan(frame)
+        spread = frame.withColumn("k", F.coalesce("sha256", F.lit(""))).repartitionByRange(F.col("k"), F.col("ord")).filter("k = 'hot'").select(F.spark_partition_id()).distinct().count()
+        nths = sorted((str(r["sha256"]), r["nth"], r["source"]) for r in scanned.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {sha: (best[sha][2], n, flag.get(sha, False)) for sha, n in count.items()}
+    assert nths == sorted(places) and spread >= 4
 
 
 def test_threshold(spark):
@@ -147,3 +181,35 @@ def test_incremental_split(spark):
     assert {r["split"]: r["images"] for r in split.split_counts(out).collect()} == {"train": 53, "val": 13, "test": 6}
     kept = out.join(locked.withColumnRenamed("split", "was"), "leakage_group").filter("split <> was").count()
     assert kept == 0
+
+
+@pytest.mark.parametrize("distance", [9, 10, 14, 18])
+def test_probes_equal_brute_force(spark, monkeypatch, distance):
+    """Changed bits of a band find all pairs, each of them once."""
+    monkeypatch.setattr(similarity, "COMPARE", 1e9)
+    monkeypatch.setattr(similarity, "PROBES", 3000)
+    rng = np.random.default_rng(distance)
+    a = rng.integers(-(1 << 63), 1 << 63, 60, dtype=np.int64)
+    near = a.copy()
+    for k in range(len(near)):
+        for bit in rng.choice(64, rng.integers(0, distance + 3), replace=False):
+            near[k] ^= np.int64(np.uint64(1 << int(bit)).view(np.int64))
+    left = spark.createDataFrame([(int(x),) for x in a] + [(None,), (int(a[0]),)], "hash long")
+    right = spark.createDataFrame([(int(x),) for x in [*near, *a[:7]]], "hash long")
+    for x, y in ((left, right), (right, left)):
+        plan = similarity.probe_plan(60, 67, distance)
+        assert plan and sum(r + 1 for _, _, r in plan) == distance + 1
+        want = sorted({(i, j, bin((i ^ j) & ((1 << 64) - 1)).count("1")) for i in {r[0] for r in x.collect() if r[0] is not None} for j in {r[0] for r in y.collect() if r[0] is not None}})
+        got = sorted(map(tuple, similarity.hamming_pairs(x, y, distance).collect()))
+        assert got == [w for w in want if w[2] <= distance] and len(got) > 30
+
+
+def test_probes_are_taken_where_they_cost_less():
+    assert similarity.probe_plan(5000, 5000, 14) is None and similarity.probe_plan(10**6, 10**6, 18) is None
+    for distance in (10, 14):
+        plan = similarity.probe_plan(10**7, 10**7, distance)
+        share = sum(similarity._choices(mask.bit_length(), r) / (mask + 1) for _, mask, r in plan)
+        assert share < 1 / 20
+    assert sum(similarity._choices(m.bit_length(), r) / (m + 1) for _, m, r in similarity.probe_plan(10**8, 10**8, 14)) < 1 / 50
+    # distances that bands prune take more bands to agree as hashes become more
+    assert [similarity._agree(10**k, 6, 64) for k in (3, 5, 7, 8)] == sorted(similarity._agree(10**k, 6, 64) for k in (3, 5, 7, 8)) and similarity._agree(10**8, 6, 64) > 3
