@@ -1,24 +1,34 @@
 """Main text of web pages, with nearest-URL page differencing.
 
 A page is read into blocks of text. Menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments go by their
-elements, roles and class names. If the page marks its article (article, main
-or role main), the blocks inside are the text.
-
-Where a page marks none, its remaining blocks are compared with the nearest
-pages of its host in the order of URL paths: the blocks of both are aligned by
-their longest common subsequence, and shared ones are deleted as page
-furniture. A neighbour that holds the very same blocks is a copy of the page
-and tells nothing; the next one that differs is taken instead, however many
-copies lie between. Inside a marked article shared blocks stay: copies of an
-article, and passages that articles quote, are text.
+notices, adverts, forms, scripts, styles and reader comments are furniture by
+their elements, roles and class names. If the page marks its article (article,
+main or role main), the blocks inside are the text, else all but furniture.
+
+Every page is compared with the nearest pages of its host in the order of URL
+paths, furniture included: the blocks of both are aligned by their longest
+common subsequence. What is shared tells furniture that no element names, and
+is deleted:
+
+* link lists (most of the characters in links), anywhere;
+* where no article is marked, other shared blocks that stand before the first
+  or after the last block that is the page's own, if they are short and no
+  headings, or if all neighbours share them;
+* between those, short blocks that two neighbours share.
+
+Shared paragraphs amid a page's own stay: copies of an article, and passages
+that articles quote, are text. A neighbour that holds the very same blocks is
+a copy of the page and tells nothing; the next one that differs is taken
+instead, however many copies lie between. Nor does one that shares most of the
+page's long paragraphs tell anything, being another state of the same article.
 
 How it runs: one map reads the pages into blocks, which are written to the
 shared folder. Line hashes are sorted by (host, path) with a range shuffle,
 consecutive pages of a host with equal lines become one run, and runs are
 ranked. Neighbours meet in buckets of ``BUCKET`` consecutive ranks with one
 run of overlap at both ends, and what is deleted from a run is deleted from
-all its pages: no host is gathered in one task.
+all its pages: no host is gathered in one task. Only pages from which
+something is deleted are joined with what goes.
 
 Edge cases: null html or an empty page gives an empty text; a null url is a
 host of its own; rows that repeat give a row each; pages with equal URLs are
@@ -45,6 +55,10 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import cut, table
 
 BUCKET = 64
+#: What is known of a block; words of a short one.
+MAIN, FURNITURE, HEADING, LINKS = 1, 2, 4, 8
+SHORT = 12
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Bits of a table of an alignment that are held at once.
 TABLE = 1 << 26
 #: Fixed values of HTML: elements without an end tag, with raw text, that start a block.
@@ -65,7 +79,7 @@ ENDS_P = BLOCK - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 TAG = re.compile(r"""<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*?)(/?)>|(/?[a-zA-Z][^>]*)(>?))""")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-SPACES = re.compile(r"[ \t\n\r\f\v\xa0]+")
+SPACES = re.compile(r"\s+")  # of Unicode
 
 
 def _furniture(name: str, attributes: str, within_article: bool) -> bool:
@@ -89,20 +103,35 @@ def _furniture(name: str, attributes: str, within_article: bool) -> bool:
 def blocks(page: str | None) -> list[tuple[str, bool]]:
     """(text, whether it stands in a marked article) of the blocks that are
     not page furniture, in page order."""
+    return [(text, bool(kind & MAIN)) for text, kind in all_blocks(page) if not kind & FURNITURE]
+
+
+def all_blocks(page: str | None) -> list[tuple[str, int]]:
+    """(text, kind) of all blocks of a page, in page order."""
     page = page or ""
-    out: list[tuple[str, bool]] = []
-    run: list[str] = []
+    out: list[tuple[str, int]] = []
+    run: list[tuple[str, bool, bool]] = []  # text, furniture, link
     stack: list[tuple[str, bool, bool]] = []  # name, furniture, article
     places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of a name
     walls: list[int] = []  # places of those that start a block
     inside = (False, False)
 
     def flush() -> None:
-        if run:
-            text = SPACES.sub(" ", html.unescape("".join(run))).strip()
-            run.clear()
+        if not run:
+            return
+        heading = HEADING if walls and stack[walls[-1]][0] in HEADINGS else 0
+        for furniture in (False, True):
+            own = [(t, link) for t, dull, link in run if dull is furniture]
+            text = SPACES.sub(" ", html.unescape("".join([t for t, _ in own]))).strip() if own else ""
             if text:
-                out.append((text, inside[1]))
+                links = sum(len(t) for t, link in own if link)
+                kind = heading | (FURNITURE if furniture else 0) | (MAIN if inside[1] and not furniture else 0) | (LINKS if 2 * links > sum(len(t) for t, _ in own) else 0)
+                out.append((text, kind))
+        run.clear()
+
+    def add(text: str) -> None:
+        if text:
+            run.append((text, inside[0], bool(places["a"])))
 
     def pop(to: int) -> None:
         nonlocal inside
@@ -121,11 +150,9 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
     while at < n:
         m = TAG.search(page, at)
         if not m:
-            if not inside[0]:
-                run.append(page[at:])
+            add(page[at:])
             break
-        if not inside[0]:
-            run.append(page[at : m.start()])
+        add(page[at : m.start()])
         at = m.end()
         if m[1]:  # comment
             end = page.find("-->", m.end() - 2)
@@ -144,15 +171,15 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
             closing, name, attributes = m[3], m[4].lower(), m[5]
         if closing:
             if name == "br":
-                run.append(" ")
+                add(" ")
             if places[name]:
                 pop(places[name][-1])
             continue
         if name in VOID:
             if name in BLOCK:
                 flush()
-            elif not inside[0]:
-                run.append(" " if name in ("br", "wbr") and name != "wbr" else "")
+            elif name == "br":
+                add(" ")
             continue
         if name in ENDS_P and (k := deepest({"p"})) >= 0 and k == walls[-1]:
             pop(k)
@@ -236,22 +263,45 @@ def _aligned(x: list[int], y: list[int]) -> list[int]:
     return out[::-1]
 
 
+def shared_furniture(lines: list[int], kinds: list[int], words: list[int], neighbours: list[list[int]]) -> list[int]:
+    """Places of the blocks of a page that go, by what neighbours share."""
+    long = [k for k, n in enumerate(words) if n > SHORT and not kinds[k] & (FURNITURE | LINKS)]
+    found = []
+    for other in neighbours:
+        both = common(lines, other)
+        if 2 * sum(words[k] for k in long if k in both) <= sum(words[k] for k in long):
+            found.append(both)
+    if not found:
+        return []
+    some, every = set().union(*found), set.intersection(*found)
+    own = [k for k in range(len(lines)) if k not in some and not kinds[k] & (FURNITURE | LINKS)]
+    marked = any(k & MAIN for k in kinds)
+    gone = []
+    for k in sorted(some):
+        kind, short = kinds[k], words[k] <= SHORT and not kinds[k] & HEADING
+        if kind & FURNITURE or marked and not kind & MAIN:
+            continue  # that is no text anyway
+        if kind & LINKS:
+            gone.append(k)
+        elif not marked and (not own or not own[0] < k < own[-1]):
+            if short or k in every:
+                gone.append(k)
+        elif not marked and short and k in every and len(found) > 1:
+            gone.append(k)
+    return gone
+
+
 def _differ(frame: pd.DataFrame) -> pd.DataFrame:
-    """Shared lines of the bucket's runs with their neighbours, which differ."""
+    """What goes from the bucket's runs by their neighbours, which differ."""
     frame = frame.sort_values("rank")
-    hosts, lines = frame["host"].tolist(), [list(v) for v in frame["lines"]]
-    ranks, own, wanted = frame["rank"].tolist(), frame["own"].tolist(), frame["open"].tolist()
+    hosts, lines, kinds, words = frame["host"].tolist(), *([list(v) for v in frame[c]] for c in ("lines", "kinds", "words"))
+    ranks, own = frame["rank"].tolist(), frame["own"].tolist()
     out = []
     for k in range(len(ranks)):
-        if not own[k] or not wanted[k]:
-            continue
-        gone: set[int] = set()
-        for step in (-1, 1):
-            j = k + step
-            if 0 <= j < len(ranks) and hosts[j] == hosts[k]:
-                gone |= common(lines[k], lines[j])
-        if gone:
-            out.append((ranks[k], sorted(gone)))
+        if own[k] and lines[k]:
+            gone = shared_furniture(lines[k], kinds[k], words[k], [lines[j] for j in (k - 1, k + 1) if 0 <= j < len(ranks) and hosts[j] == hosts[k]])
+            if gone:
+                out.append((ranks[k], gone))
     return pd.DataFrame(out, columns=["rank", "gone"])
 
 
@@ -274,56 +324,56 @@ def _runs(sorted_lines: DataFrame) -> DataFrame:
 
 
 def _read(pages: DataFrame, column: str) -> DataFrame:
-    """pages with blocks array<(text, main)>; the html column goes."""
+    """pages with blocks array<(text, kind)>; the html column goes."""
     others = [c for c in pages.columns if c != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("text", pa.string()), ("main", pa.bool_())]))
+        kind = pa.list_(pa.struct([("text", pa.string()), ("kind", pa.int32())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                read = [[{"text": t, "main": m} for t, m in blocks(v.as_py())] for v in part.column(len(others))]
+                read = [[{"text": t, "kind": k} for t, k in all_blocks(v.as_py())] for v in part.column(len(others))]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(others))), pa.array(read, kind)], [*others, "blocks"])
 
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in others)
-    return pages.select(*others, F.col(column).cast("string").alias("__html")).mapInArrow(run, f"{schema}, blocks array<struct<text:string,main:boolean>>")
+    return pages.select(*others, F.col(column).cast("string").alias("__html")).mapInArrow(run, f"{schema}, blocks array<struct<text:string,kind:int>>")
 
 
 def extract(pages: DataFrame, url: str = "url", content: str = "html", id_column: str = "page_id") -> DataFrame:
-    """(id, url, text) of each page."""
+    """(id, url, text, n_deleted) of each page; n_deleted: blocks that went
+    because neighbours share them."""
     slim = pages.select(F.col(id_column).alias("id"), F.col(url).cast("string").alias("url"), F.col(content).alias("html"))
     read = cut(_read(slim, "html").withColumn("rid", F.monotonically_increasing_id()))
-    marked = F.exists("blocks", lambda b: b["main"])
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    # an unmarked page is a page of its host; marked ones serve as its neighbours
-    lines = read.select("rid", F.coalesce(host, F.concat(F.lit("?"), F.col("rid").cast("string"))).alias("host"), F.coalesce(path, F.lit("")).alias("path"), F.transform("blocks", lambda b: F.xxhash64(b["text"])).alias("lines"), (~marked & (F.size("blocks") > 0)).alias("open"))
-    seen = lines.filter("open").select("host").distinct()
-    lines = lines.join(seen, "host", "left_semi")
+    told = {"lines": F.transform("blocks", lambda b: F.xxhash64(b["text"])), "kinds": F.transform("blocks", lambda b: b["kind"]), "words": F.transform("blocks", lambda b: F.size(F.split(b["text"], " ")))}
+    lines = read.select("rid", F.coalesce(host, F.concat(F.lit("?"), F.col("rid").cast("string"))).alias("host"), F.coalesce(path, F.lit("")).alias("path"), *[c.alias(a) for a, c in told.items()])
     dealt = lines.repartitionByRange(F.col("host"), F.col("path"), F.col("rid")).sortWithinPartitions("host", "path", "rid")
-    dealt = cut(_runs(dealt.withColumn("same", F.xxhash64("lines"))))
+    dealt = cut(_runs(dealt.withColumn("same", F.xxhash64("lines", "kinds"))))
     total, starts, last = 0, {}, None
     key = F.struct("host", "same")
     for r in dealt.groupBy("part").agg(F.max("place").alias("most"), F.min_by(key, "place").alias("first"), F.max_by(key, "place").alias("last")).orderBy("part").collect():  # a row per partition
         starts[r["part"]] = total - (r["first"] == last)  # a run goes on over the border
         total, last = starts[r["part"]] + r["most"] + 1, r["last"]
-    final = read.select("rid", "id", "url", "blocks")
-    text = lambda kept: F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    whole = final.filter(marked | (F.size("blocks") == 0)).select("id", "url", text(F.filter("blocks", lambda b: b["main"])).alias("text"))
-    if not total:
-        return whole
-    offsets = F.broadcast(read.sparkSession.createDataFrame([*starts.items()], "part int, start long"))
-    ranked = dealt.join(offsets, "part").withColumn("rank", F.col("start") + F.col("place"))
-    runs = ranked.groupBy("rank").agg(F.first("host").alias("host"), F.first("lines").alias("lines"), F.max("open").alias("open")).withColumn("bucket", F.floor(F.col("rank") / BUCKET))
-    edge = F.when(F.col("rank") % BUCKET == 0, F.array(F.lit(0), F.lit(-1))).when(F.col("rank") % BUCKET == BUCKET - 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    buckets = runs.withColumn("step", F.explode(edge)).select((F.col("bucket") + F.col("step")).alias("bucket"), (F.col("step") == 0).alias("own"), "rank", "host", "lines", "open")
-    gone = buckets.groupBy("bucket").applyInPandas(lambda frame: _differ(frame), "rank long, gone array<int>")
-    gone = ranked.filter("open").select("rank", "rid").join(gone, "rank").select("rid", "gone")
-    apart = final.filter(~marked & (F.size("blocks") > 0)).join(gone, "rid", "left")
-    kept = F.filter("blocks", lambda b, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
-    return whole.unionByName(apart.select("id", "url", text(kept).alias("text")))
+    marked = F.exists("blocks", lambda b: b["kind"].bitwiseAND(MAIN) > 0)
+    # no element of an article is furniture, so its blocks are the text
+    wanted = lambda b: F.when(F.col("__marked"), b["kind"].bitwiseAND(MAIN) > 0).otherwise(b["kind"].bitwiseAND(FURNITURE) == 0)
+    final = read.withColumn("__marked", marked)
+    if total:
+        offsets = F.broadcast(read.sparkSession.createDataFrame([*starts.items()], "part int, start long"))
+        ranked = dealt.join(offsets, "part").withColumn("rank", F.col("start") + F.col("place"))
+        runs = ranked.groupBy("rank").agg(*[F.first(c).alias(c) for c in ("host", *told)]).withColumn("bucket", F.floor(F.col("rank") / BUCKET))
+        edge = F.when(F.col("rank") % BUCKET == 0, F.array(F.lit(0), F.lit(-1))).when(F.col("rank") % BUCKET == BUCKET - 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        buckets = runs.withColumn("step", F.explode(edge)).select((F.col("bucket") + F.col("step")).alias("bucket"), (F.col("step") == 0).alias("own"), "rank", "host", *told)
+        gone = cut(buckets.groupBy("bucket").applyInPandas(lambda frame: _differ(frame), "rank long, gone array<int>"))
+        gone = cut(ranked.select("rank", "rid").join(gone, "rank").select("rid", "gone"))  # few rows as a rule, which the planner sees
+        final = final.join(gone, "rid", "left")
+    else:
+        final = final.withColumn("gone", F.lit(None).cast("array<int>"))
+    kept = F.filter("blocks", lambda b, i: wanted(b) & ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
+    return final.select("id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"), F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_deleted"))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = extract(table(spark, sf_dir, "pages"))
-    return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"), "n_deleted")

@@ -549,3 +549,40 @@ def test_differencing_looks_past_long_runs_of_copies(spark):
     got = {r["id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert len(got) == len(rows) and got[0] == "text one" and got[900] == "text three"
     assert {got[k] for k in range(1, 301)} == {"text two"} and {got[1000 + k] for k in range(150)} == {"shared menu\nalone"}
+
+
+@pytest.mark.parametrize("space", list(" \t\n\r\f\v\xa0\x1c\x1f\x85       　") + ["&nbsp;", "&emsp;", "&#x3000;", " \n　 "])
+def test_white_space_of_any_kind_is_one_space(space):
+    assert html.blocks(f"<article><p>{space}one{space}two{space}</p>{space}</article>") == [("one two", True)]
+
+
+def test_kinds_of_blocks():
+    page = "<body><nav><a href='/'>Home</a></nav><h2>A <i>title</i></h2><p>Text with <a>one link</a> in it.</p><p><a>All</a> <a>links</a></p><article><p>In<span class='ad'> buy</span>side</p></article></body>"
+    got = html.all_blocks(page)
+    assert got == [("Home", html.FURNITURE | html.LINKS), ("A title", html.HEADING), ("Text with one link in it.", 0), ("All links", html.LINKS), ("Inside", html.MAIN), ("buy", html.FURNITURE)]
+
+
+def test_what_neighbours_tell():
+    long = 20
+    page = [(1, 0, 2), (2, html.LINKS, 5), (3, html.HEADING, 4), (4, 0, long), (5, 0, long), (6, 0, 3), (7, 0, long), (8, 0, long), (9, 0, 2)]
+    lines, kinds, words = map(list, zip(*page))
+    gone = lambda *others: html.shared_furniture(lines, kinds, words, [list(x) for x in others])
+    # before and after what is the page's own: short blocks and links, no headings and paragraphs of one neighbour
+    assert gone((1, 2, 3, 8, 9)) == [0, 1, 2, 7, 8]  # a single neighbour is all there are
+    assert gone((1, 2, 3, 8, 9), (1, 50, 60)) == [0, 1, 8]
+    assert gone((1, 3, 8), (3, 8, 9)) == [0, 2, 7, 8]
+    # amid the page's own: only links, and short blocks of both
+    assert gone((6, 5), (70,)) == [] and gone((6, 5), (6, 5)) == [5]
+    # another state of the same article tells nothing
+    assert gone((1, 4, 5, 7, 9)) == [] and gone((1, 4, 5, 7, 9), (1, 80)) == [0]
+    # in a marked article only link lists go
+    kinds = [k | html.MAIN for k in kinds]
+    assert gone((1, 2, 3, 8, 9), (1, 2, 3, 9)) == [1]
+    assert html.shared_furniture([], [], [], [[1]]) == [] == gone()
+
+
+def test_differencing_runs_on_marked_pages(spark):
+    page = lambda k: f"<body><div>Site</div><article><h1>Title {k}</h1><p>{'text ' * 20}{k}</p><p><a href='/x'>More of this</a></p><p>{'shared words ' * 20}</p><p>end {k}</p></article></body>"
+    rows = [(k, f"http://h.org/{k:03}", page(k)) for k in range(80)]
+    got = {r["id"]: (r["text"].split("\n"), r["n_deleted"]) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == ([f"Title {k}", f"{'text ' * 20}{k}", ("shared words " * 20).strip(), f"end {k}"], 1) for k in range(80))
