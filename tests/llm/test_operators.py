@@ -582,7 +582,7 @@ def test_what_neighbours_tell():
 
 
 def test_differencing_runs_on_marked_pages(spark):
-    page = lambda k: f"<body><div>Site</div><article><h1>Title {k}</h1><p>{'text ' * 20}{k}</p><p><a href='/x'>More of this</a></p><p>{'shared words ' * 20}</p><p>end {k}</p></article></body>"
+    page = lambda k: f"<body><div>Site</div><article><h1>Title {k}</h1><p>{'text ' * 60}{k}</p><p><a href='/x'>More of this</a></p><p>{'shared words ' * 20}</p><p>end {k}</p></article></body>"
     rows = [(k, f"http://h.org/{k:03}", page(k)) for k in range(80)]
     got = {r["id"]: (r["text"].split("\n"), r["n_deleted"]) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[k] == ([f"Title {k}", f"{'text ' * 20}{k}", ("shared words " * 20).strip(), f"end {k}"], 1) for k in range(80))
+    assert all(got[k] == ([f"Title {k}", f"{'text ' * 60}{k}", ("shared words " * 20).strip(), f"end {k}"], 1) for k in range(80))
