@@ -110,10 +110,14 @@ class Remembered(dict):
     """What f gives for each key; two generations, so that memory is bounded
     and frequent keys stay."""
 
-    def __init__(self, f: Callable[[str], tuple[bytes, str]]) -> None:
+    def __init__(self, f: Callable[[str], bytes]) -> None:
         self.f, self.old = f, {}
 
-    def __missing__(self, key: str) -> tuple[bytes, str]:
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
+    def __missing__(self, key: str) -> bytes:
         if len(key) > LONGEST:
             return self.f(key)
         if len(self) >= REMEMBERED:
@@ -133,6 +137,7 @@ class PrefixEncoder:
         self.letters = byte_letters()
         self.names = {i: t for t, i in ids.items()}
         self.special = {t["content"]: t["id"] for t in vocabulary["added_tokens"]}
+        self.names |= {i: t for t, i in self.special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.piece, self.white = regex.compile(PIECE), regex.compile(f"[{WHITE}]+")
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -158,7 +163,7 @@ class PrefixEncoder:
         self.alone = [p is None or self._apart(*p, k) for k, p in enumerate(self.parts)]
         self.automaton = SuffixAutomaton([(s, k) for k, s in enumerate(self.spelt)])
         self.odd = regex.compile("[\x1c-\x1f]")  # white space to str.split() only
-        self.known = Remembered(self.spaced)
+        self.known = Remembered(self.ids)
         self.trail: tuple[list[int], list[int], list[int], list[int]] = ([], [-1], [0], [0])
 
     def _edges(self, side: int) -> list[tuple[int, ...]]:
@@ -235,18 +240,17 @@ class PrefixEncoder:
             i -= len(spelt[last[i]])
         return out[::-1]
 
-    def word(self, piece: str) -> tuple[bytes, str]:
-        """Ids of a piece as little-endian words, and its tokens spaced out."""
+    def piece_ids(self, piece: str) -> bytes:
+        """Ids of a piece as little-endian words."""
         raw = piece.encode()
         symbols = [*map(self.inner.__getitem__, raw)]
         symbols[-1] = self.final[raw[-1]]
         ids = [*map(self.ident.__getitem__, self.tokens(symbols))]
-        return struct.pack(f"<{len(ids)}I", *ids), " ".join(map(self.names.__getitem__, ids))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def spaced(self, word: str) -> tuple[bytes, str]:
+    def ids(self, word: str) -> bytes:
         """The same for a lower-case word between white space, of one piece or more."""
-        pieces = [self.word(p) for p in self.piece.findall(word)]
-        return pieces[0] if len(pieces) == 1 else (b"".join([x[0] for x in pieces]), " ".join([x[1] for x in pieces]))
+        return b"".join(map(self.piece_ids, self.piece.findall(word)))
 
     def _words(self, text: str) -> list[str]:
         if not text.isascii():
@@ -265,17 +269,17 @@ class PrefixEncoder:
         for parts, plain in zip(cut, words):
             out = [known[w] for w in plain[0]]
             for special, more in zip(parts[1::2], plain[1:]):
-                out.append((struct.pack("<I", self.special[special]), special))
+                out.append(struct.pack("<I", self.special[special]))
                 out += [known[w] for w in more]
-            rows.append((b"".join([x[0] for x in out]), " ".join([x[1] for x in out])))
+            raw = b"".join(out)
+            rows.append((raw, self.decode(np.frombuffer(raw, "<u4").tolist())))
         return rows
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
         return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
-        names = self.names | {i: t for t, i in self.special.items()}
-        return " ".join(names[i] for i in ids)
+        return " ".join(map(self.names.__getitem__, ids))
 
 
 _made: dict[str, PrefixEncoder] = {}
@@ -339,6 +343,7 @@ def _run(df: DataFrame, vocabulary_path: str, text: str, id_column: str, digests
                     columns = [pa.array([list(struct.unpack(f"<{len(b) // 4}I", b)) for b, _ in rows], pa.list_(pa.int32())), pa.array([d for _, d in rows], pa.string())]
                     names = ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], [id_column, *names])
+        encoder.known.forget()  # the worker may go on to other work
 
     return df.select(F.col(id_column), F.col(text).cast("string").alias("__text")).mapInArrow(encode, schema)
 
