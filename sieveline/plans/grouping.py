@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions.scalar import cosine, gradient_hash, long_to_hex
-from sieveline.operators import calibrate, similarity
+from sieveline.operators import calibrate, score, similarity
 from sieveline.plans.catalog import query
 from sieveline.storage import table
 
@@ -159,6 +159,18 @@ def centroid_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(means, "label").select(F.col("vec_id").alias("id"), "label", F.round(cosine(F.col("embedding"), F.col("centroid")), 4).alias("own_cosine"))
 
 
+@query(
+    f"""WITH {UNIT_SQL}, c AS (SELECT label, i, avg(x) AS x FROM x GROUP BY label, i), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM c GROUP BY label),
+s AS (SELECT x.vec_id, c.label, sum(x.x * c.x) / any_value(n.n) AS s FROM x JOIN c USING (i) JOIN n ON n.label = c.label GROUP BY x.vec_id, c.label)
+SELECT vec_id AS id, arg_max(label, s) AS best, round(max(s), 4) AS best_score FROM s GROUP BY vec_id"""
+)
+def nearest_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class whose centroid a scorer in Python finds nearest."""
+    rows = table(spark, sf_dir, "embeddings")
+    means = calibrate.centroids(rows, ["label"], "embedding").select("label", "centroid")
+    return score.nearest(rows, means, "embedding").select(F.col("vec_id").alias("id"), "best", F.round("best_score", 4).alias("best_score"))
+
+
 @query(
     """WITH s AS (SELECT event_type AS class_name, value AS s, user_id % 3 = 0 AS pos FROM events), v AS (SELECT class_name, s, count(*) AS n, count(*) FILTER (pos) AS tp FROM s GROUP BY ALL),
 w AS (SELECT class_name, s, sum(n) OVER o AS n, sum(tp) OVER o AS tp FROM v WINDOW o AS (PARTITION BY class_name ORDER BY s DESC)),

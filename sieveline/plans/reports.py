@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions import web
-from sieveline.operators import advisory, audit, merge, report, sample
+from sieveline.operators import advisory, audit, merge, package, report, sample
 from sieveline.plans.catalog import query
 from sieveline.plans.splits import records
 from sieveline.storage import table
@@ -215,3 +215,18 @@ def download_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prompt_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("request"), "event_id", F.col("event_type").alias("class_name"), (F.col("value") / 1000).alias("confidence"))
     return advisory.prompt_payload(rows, "request", "event_id")
+
+
+@query(
+    """WITH a AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders),
+b AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5003 = 7 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM a WHERE o_orderkey % 4999 <> 5
+    UNION ALL SELECT o_orderkey + 1000000000, o_custkey, o_totalprice, o_orderpriority FROM a WHERE o_orderkey % 5009 = 3)
+SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'missing' WHEN a.o_orderkey IS NULL THEN 'extra' ELSE 'changed' END AS change
+FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_totalprice <> b.o_totalprice"""
+)
+def package_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders against a changed copy, by the trees of their digests."""
+    left = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    price = F.when(F.col("o_orderkey") % 5003 == 7, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    right = left.filter("o_orderkey % 4999 <> 5").withColumn("o_totalprice", price).unionByName(left.filter("o_orderkey % 5009 = 3").withColumn("o_orderkey", F.col("o_orderkey") + 1000000000))
+    return package.drift(left, right, "o_orderkey")

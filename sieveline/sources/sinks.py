@@ -1,8 +1,12 @@
-"""Writers: manifests, label lines, tables by status, run versions."""
+"""Writers: manifests, label lines, tables by status, run versions, and outputs
+that appear whole or not at all."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions.scalar import box_text
@@ -48,3 +52,67 @@ def label_files(boxes: DataFrame, digits: int = 8) -> DataFrame:
 def summary_json(df: DataFrame, *columns: Column) -> DataFrame:
     """One row of figures as a JSON document."""
     return df.agg(*columns).select(F.to_json(F.struct("*")).alias("summary"))
+
+
+class AuditError(ValueError):
+    """An output that its audits refuse."""
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def commit(df: DataFrame, path: str, audits: Iterable[Callable[[DataFrame], DataFrame]] = (), figures: dict[str, Column] | None = None, expected: dict[str, int] | None = None, replace: bool = False, partition_by: Iterable[str] = ()) -> dict[str, object]:
+    """Write df so that path holds all of it, audited, or what it held before.
+
+    Rows go to a staging folder beside path, in one pass that also takes the
+    figures: ``rows``, and those asked for. They have to equal ``expected``
+    where that names them. Audits are given what was written and return
+    violations; the first ones are told if there are any. Then the folder takes
+    its name by a rename. An existing output stays unless ``replace``; it is
+    then set aside, and put back if the rename fails. Returns the figures.
+
+    Where renames are not atomic, as in object stores, readers may see the
+    output a moment before it is whole."""
+    spark = df.sparkSession
+    staged, aside = (f"{path.rstrip('/')}.{word}-{uuid.uuid4().hex}" for word in ("staged", "aside"))
+    files, final = _files(spark, path)
+    if files.exists(final) and not replace:
+        raise FileExistsError(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    seen = Observation()
+    try:
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in (figures or {}).items()]).write.partitionBy(*partition_by).parquet(staged)
+        told = seen.get
+        wrong = [f"{k} is {told.get(k)}, not {v}" for k, v in (expected or {}).items() if told.get(k) != v]
+        written = spark.read.schema(df.schema).parquet(staged)
+        for audit in audits:
+            wrong += [str(r.asDict()) for r in audit(written).limit(5).collect()]
+        if wrong:
+            raise AuditError("; ".join(wrong))
+        if files.exists(final):
+            if not replace:
+                raise FileExistsError(path)
+            if not files.rename(final, at(aside)):
+                raise OSError(f"{path} cannot be set aside")
+        if not files.rename(at(staged), final):
+            if files.exists(at(aside)):
+                files.rename(at(aside), final)
+            raise OSError(f"{staged} cannot be renamed")
+        files.delete(at(aside), True)
+        return told
+    finally:
+        files.delete(at(staged), True)
+
+
+def commit_run(df: DataFrame, path: str, run: str, keep: int | None = None, **checks) -> dict[str, object]:
+    """commit() of a version beside the earlier ones; with ``keep``, the oldest
+    ones beyond so many go once the new one stands."""
+    told = commit(df, f"{path}/run_id={run}", **checks)
+    files, home = _files(df.sparkSession, path)
+    names = sorted(s.getPath().getName() for s in files.listStatus(home) if s.getPath().getName().startswith("run_id=") and "." not in s.getPath().getName())
+    for name in names[: -keep] if keep else []:
+        if name != f"run_id={run}":
+            files.delete(_files(df.sparkSession, f"{path}/{name}")[1], True)
+    return told
