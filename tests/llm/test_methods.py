@@ -146,6 +146,30 @@ def test_language_model_oddities(spark):
     assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"]) for r in out) == [("1", 3, 3, 6), ("1", 3, 3, 6), ("2", 1, 1, 6), ("3", 1, 1, 6), ("None", 3, 3, 6)]
 
 
+def test_frequent_tokens_are_cut_inside_a_level(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "FREQUENT", 5)
+    counts = spark.createDataFrame([("z", 90), ("y", 40)] + [(f"t{k}", 8) for k in range(9)] + [("low", 1)], "token string, c long")
+    assert maxent._frequent(counts) == [("z", 90), ("y", 40), ("t0", 8), ("t1", 8), ("t2", 8)]
+    assert maxent._frequent(counts.filter("c = 8")) == [(f"t{k}", 8) for k in range(5)]
+    assert maxent._frequent(counts.filter("c > 8")) == [("z", 90), ("y", 40)] and maxent._frequent(counts.limit(0)) == []
+
+
+def test_tables_grow_with_the_training_tokens():
+    rows = [maxent.table_rows(n) for n in (0, 10**5, 10**6, 3 * 10**6, 10**8, 10**12)]
+    assert rows[0] == rows[1] == (maxent.ROWS1, maxent.ROWS2) and rows == sorted(rows) and rows[-1] == rows[-2] == (maxent.MOST_ROWS // 4, maxent.MOST_ROWS)
+
+
+def test_rows_are_averaged_by_use():
+    rng = np.random.default_rng(3)
+    rows, spread, used = rng.standard_normal((4, 6, maxent.SIZE)), rng.random((4, 6)), rng.integers(0, 5, (4, 6)).astype(float)
+    used[:, 2] = 0
+    out = np.frombuffer(maxent._mean(maxent._packed(*x).tobytes() for x in zip(rows, spread, used)).tobytes(), maxent.WEIGHTS)
+    n = used.sum(0)
+    assert (out["used"] == n).all() and not out["w"][2].any()
+    seen = n > 0
+    assert np.allclose(out["w"][seen], ((rows * used[..., None]).sum(0)[seen] / n[seen][:, None]), atol=2e-3) and np.allclose(out["spread"][seen], (spread * used).sum(0)[seen] / n[seen])
+
+
 # --- secrets -----------------------------------------------------------------
 
 
