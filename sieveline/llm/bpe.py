@@ -18,9 +18,11 @@ Only the two named columns are read, whatever others are called.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import struct
+import threading
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -42,6 +44,8 @@ REMEMBERED, LONGEST, PAIRS = 400_000, 64, 2_000_000
 FAR = 1 << 60
 #: Bytes of text whose words are met together.
 TOGETHER = 1 << 22
+#: Seconds after which a worker that encodes nothing gives up its encoder.
+IDLE = 3
 
 
 def byte_letters() -> list[str]:
@@ -283,9 +287,13 @@ class PrefixEncoder:
 
 
 _made: dict[str, PrefixEncoder] = {}
+_rest: list[threading.Timer] = []
 
 
 def _encoder(raw: str) -> PrefixEncoder:
+    """The encoder of a vocabulary, which tasks of a worker share."""
+    while _rest:
+        _rest.pop().cancel()
     key = hashlib.sha256(raw.encode()).hexdigest()
     if key not in _made:
         _made.clear()
@@ -293,6 +301,20 @@ def _encoder(raw: str) -> PrefixEncoder:
     return _made[key]
 
 
+def _forget() -> None:
+    _made.clear()
+    gc.collect()  # an encoder and its words refer to each other
+
+
+def _done(encoder: PrefixEncoder) -> None:
+    """After a task: words are forgotten, and the encoder too if no other task
+    follows soon, as the worker may go on to other work."""
+    encoder.known.forget()
+    _rest.append(threading.Timer(IDLE, _forget))
+    _rest[-1].daemon = True
+    _rest[-1].start()
+
+
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``TOGETHER`` bytes of text, a row at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
@@ -343,7 +365,7 @@ def _run(df: DataFrame, vocabulary_path: str, text: str, id_column: str, digests
                     columns = [pa.array([list(struct.unpack(f"<{len(b) // 4}I", b)) for b, _ in rows], pa.list_(pa.int32())), pa.array([d for _, d in rows], pa.string())]
                     names = ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], [id_column, *names])
-        encoder.known.forget()  # the worker may go on to other work
+        _done(encoder)
 
     return df.select(F.col(id_column), F.col(text).cast("string").alias("__text")).mapInArrow(encode, schema)
 

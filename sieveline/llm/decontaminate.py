@@ -46,6 +46,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Characters of a long text whose tokens are taken at once.
 LONG = 1 << 18
+#: Rows that a task works on at once.
+SLICE = 256
 
 
 def tokens_of(text: str | None) -> list[str]:
@@ -200,7 +202,7 @@ def _candidates(docs: DataFrame, bits: np.ndarray, text: str, id_column: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, one = shared.value, np.uint64(1)
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             ids, texts, hashes = [], [], []
             for key, value in zip(batch.column(0), batch.column(1)):
                 text, found, said = value.as_py(), [], []
@@ -224,7 +226,7 @@ def _tiled(pairs: DataFrame) -> DataFrame:
     """pairs: (doc, item, tokens, text) -> with the tiles' figures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             rows = []
             for a, b in zip(batch.column(2), batch.column(3)):
                 doc, item = a.as_py().split(" "), tokens_of(b.as_py())
@@ -260,10 +262,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The documents without those that cover an item. Rows are told apart by
     id and text, so that a row with a null or shared id is judged alone."""
-    key = F.struct(F.col(id_column), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    keyed = docs.select(F.xxhash64(key).alias("__key"), "text")
+    own = F.coalesce(F.col("text"), F.lit(""))
+    # 128 bits of the text beside the id: rows of one key are the same document
+    key = F.concat_ws("/", F.coalesce(F.col(id_column).cast("string"), F.lit("none")), F.xxhash64(own).cast("string"), F.xxhash64(own, F.lit(1)).cast("string"))
+    keyed = docs.select(key.alias("__key"), "text")
     bad = contamination(keyed, benchmark, id_column="__key").select(F.col("doc").alias("__key")).distinct()
-    return docs.withColumn("__key", F.xxhash64(key)).join(bad, "__key", "left_anti").drop("__key")
+    return docs.withColumn("__key", key).join(bad, "__key", "left_anti").drop("__key")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
