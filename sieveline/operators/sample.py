@@ -63,14 +63,20 @@ def shortfall(sample: DataFrame, quotas: DataFrame, class_column: str = "class_n
 def retention(df: DataFrame, now: Column, hours: float, newest: int, time: str = "mtime", name: str = "name", suffixes: tuple[str, ...] = ("jpg", "jpeg", "png", "webp")) -> DataFrame:
     """df with removed: age for images older than so many hours, count for
     all but the newest so many of the rest, null for what stays; 0 turns a
-    rule off, and other files are left alone. The newest rows are found by a
-    limit, not by ranking all rows in one task."""
+    rule off, and other files are left alone. Rows of one time and name stay
+    or go together, so that more than the newest so many stay if the last of
+    them are alike. Those that stay are found by a limit on counts, not by
+    ranking all rows in one task."""
     image = F.lower(F.col(name)).rlike(r"\.(" + "|".join(suffixes) + ")$")
     old = F.lit(False) if not hours else F.col(time) + F.make_dt_interval(hours=F.lit(int(hours)), secs=F.lit(float(hours % 1 * 3600))) < now
     df = df.withColumn("__image", image).withColumn("__old", old)
     if newest:
-        kept = df.filter("__image and not __old").orderBy(F.desc(time), name).limit(newest).select(name, F.lit(True).alias("__new"))
-        df = df.join(kept, name, "left")
+        alike = df.filter(F.col("__image") & ~F.coalesce("__old", F.lit(False))).groupBy(F.col(time).alias("__t"), F.col(name).alias("__s")).count()
+        # each has a row at least, so the first so many are enough
+        first = alike.orderBy(F.desc("__t"), "__s").limit(newest)
+        before = F.coalesce(F.sum("count").over(Window.orderBy(F.desc("__t"), "__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        kept = first.withColumn("__before", before).filter(F.col("__before") < newest).select("__t", "__s", F.lit(True).alias("__new"))
+        df = df.join(kept, df[time].eqNullSafe(kept["__t"]) & df[name].eqNullSafe(kept["__s"]), "left").drop("__t", "__s")
     else:
         df = df.withColumn("__new", F.lit(True))
     removed = F.when(~F.col("__image"), None).when(F.col("__old"), "age").when(F.col("__new").isNull(), "count")

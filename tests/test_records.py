@@ -29,6 +29,15 @@ def test_retention(spark):
     assert got == {"old.jpg": "age", "mid.jpg": "count", "new.jpg": None, "readme.txt": None}
 
 
+def test_retention_with_names_that_repeat(spark):
+    rows = [("a.jpg", 1), ("a.jpg", 1), ("a.jpg", 50), ("b.jpg", 2), ("c.jpg", 3), ("d.png", None), ("a.jpg", 900000)]
+    df = spark.createDataFrame(rows, "name string, age int").withColumn("mtime", F.expr("timestamp'2024-01-02 12:00:00' - make_dt_interval(0, 0, 0, age)"))
+    now = F.expr("timestamp'2024-01-02 12:00:00'")
+    told = lambda newest: sorted(((r["name"], r["age"] or 0, r["removed"] or "-") for r in sample.retention(df, now, 24, newest).collect()))
+    assert told(3) == [("a.jpg", 1, "-"), ("a.jpg", 1, "-"), ("a.jpg", 50, "count"), ("a.jpg", 900000, "age"), ("b.jpg", 2, "-"), ("c.jpg", 3, "count"), ("d.png", 0, "count")]
+    assert [x[2] for x in told(1)].count("-") == 2 and len(told(6)) == 7 and told(6)[2][2] == "-"
+
+
 def test_history_orders_differ(spark):
     rows = [(1, k, "system" if k in (5, 9) else "user", "x") for k in range(14)]
     df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
