@@ -125,7 +125,10 @@ OPEN, SHUT = r"[\[({<]", r"[\])}>]"
 BRACKETED = re.compile(rf"{OPEN}\s*+(?:({AT}|@)|({DOT}|\.))\s*+{SHUT}", re.I)
 #: Spaced words: a local part, at, labels joined by dot, each of at most ten parts, which bounds the search at each place.
 SPACED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:(?:\.|\s++{DOT}\s++)[A-Za-z0-9_%+-]++){{0,9}}(\s++{AT}\s++|\s*+@\s*+)[A-Za-z0-9-]++(?:(?:\.|\s++{DOT}\s++)[A-Za-z0-9-]++){{0,8}}\s++{DOT}\s++[A-Za-z]{{2,4}}(?![A-Za-z0-9-])", re.I)
+#: Four numbers joined by dot words, and no more than four.
+WORDED_IP = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:\s++{DOT}\s++[0-9]{{1,3}}){{3}}(?!\w|\.[0-9]|\s++{DOT}\s++[0-9])", re.I)
 SPACED_PART = re.compile(rf"\s+{AT}\s+|\s*@\s*|\s+{DOT}\s+", re.I)
+WORDED_DOT, FIFTH = re.compile(rf"\s+{DOT}\s+", re.I), re.compile(rf"[0-9]\s+{DOT}\s+\Z", re.I)
 DISGUISED = ("dot", "punto", "punkt", "point", "arroba")
 FOREIGN = re.compile(r"[^\x00-\xac\xae-\xff]|[\xa0\xb7]")
 
@@ -214,6 +217,11 @@ def _undisguised(text: str) -> list[tuple[int, int, str]]:
         while end < len(text) and text[end].isspace():
             end += 1
         edits.append((start, end, "@" if m[1] else "."))
+    for m in WORDED_IP.finditer(text):
+        # a number before would make it five; brackets and white space end a run
+        if all(int(x) <= 255 for x in re.findall("[0-9]+", m[0])) and not FIFTH.search(text, max(0, m.start() - 40), m.start()):
+            edits += [(d.start(), d.end(), ".") for d in WORDED_DOT.finditer(text, m.start(), m.end())]
+    edits.sort()
     taken, n = [e[0] for e in edits], len(edits)
     for m in SPACED.finditer(text):
         for part in SPACED_PART.finditer(text, m.start(), m.end()):

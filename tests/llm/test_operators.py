@@ -373,6 +373,8 @@ def test_pii_base_by_regex():
         ("jo​hn@acme.com", "jo​hn@acme.com"),
         ("host one nine two dot one six eight dot one dot seven up", "one nine two dot one six eight dot one dot seven"),
         ("phone +1 (569) 555-6633 4795326016703902 end", "+1 (569) 555-6633"),
+        ("host 192 dot 168 dot 1 dot 77 is up", "192 dot 168 dot 1 dot 77"),
+        ("serveur 10 POINT 0 point 0 point 255.", "10 POINT 0 point 0 point 255"),
     ],
 )
 def test_pii_disguises(text, found):
@@ -381,7 +383,7 @@ def test_pii_disguises(text, found):
 
 
 def test_pii_leaves_plain_text_alone():
-    for text in ["he sat at the table and made a point about dots", "un un un un un un un un un un", "one of the two or three people", "is at the dot matrix", "price (at) most"]:
+    for text in ["he sat at the table and made a point about dots", "un un un un un un un un un un", "one of the two or three people", "is at the dot matrix", "price (at) most", "1 dot 2 dot 3", "1 dot 2 dot 3 dot 256", "1 dot 2 dot 3 dot 4 dot 5", "v1 dot 2 dot 3 dot 4", "1 dot 2 dot 3 dot 4x"]:
         assert pii.added_spans(text, []) == []
 
 
