@@ -2,30 +2,57 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.storage import cut
 
+#: Hex digits by which a selection counts, and rows that are few enough to look at.
+DIGITS, FEW = 3, 4096
 
 def quota_sample(df: DataFrame, quotas: dict[str, int], seed: int, class_column: str = "class_name", group: str = "leakage_group", id_column: str = "sha256", excluded: DataFrame | None = None) -> DataFrame:
     """At most the quota of each class, at most one row a group, groups
     shared among classes in the order of ``quotas``. Rows stand in the order
-    of a seeded hash. A quota of 0 skips the class."""
+    of a seeded hash. A quota of 0 skips the class; rows without a group share
+    none with another class.
+
+    All classes propose at once: each the first groups of its line that it has
+    not proposed before, as many as it is short of. A group stays with the
+    earliest class that proposed it, and classes that lost some propose again.
+    What stands in the end is what one class after another would take; df is
+    read once, and rounds are few whatever the number of classes."""
+    names = [name for name, quota in quotas.items() if quota]
+    if not names:
+        return df.limit(0)
+    spark = df.sparkSession
     if excluded is not None:
         df = df.join(excluded.select(group).distinct(), group, "left_anti")
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_column)), 256)
-    taken = None
-    for name, quota in quotas.items():
-        if not quota:
-            continue
-        pool = df.filter(F.col(class_column) == name)
-        if taken is not None:
-            pool = pool.join(taken.select(group), group, "left_anti")
-        heads = pool.withColumn("__k", key).groupBy(group).agg(F.min_by(F.struct(*df.columns), F.struct("__k", id_column)).alias("r"), F.min("__k").alias("k")).select("r.*", "k")
-        own = cut(heads.orderBy("k", id_column).limit(quota).drop("k").select(*df.columns))
-        taken = own if taken is None else taken.unionByName(own)
-    return taken if taken is not None else df.limit(0)
+    id_type = df.schema[id_column].dataType.simpleString()
+    rows = df.filter(F.col(class_column).isin(names)).select(F.col(class_column).alias("c"), F.col(group).alias("g"), F.struct(key.alias("k"), F.col(id_column).alias("id")).alias("at"), F.struct(*df.columns).alias("r"))
+    heads = cut(rows.groupBy("c", "g").agg(F.min_by("r", "at").alias("r"), F.min("at").alias("at")))
+    held, last, taken = dict.fromkeys(names, 0), dict.fromkeys(names), None
+    open_ = set(names)
+    while open_ := {name for name in open_ if held[name] < quotas[name]}:
+        state = spark.createDataFrame([(n, names.index(n), quotas[n] - held[n], *(last[n] or (None, None))) for n in open_], f"c string, place int, short int, k string, id {id_type}")
+        ahead = F.col("k").isNull() | (F.col("at.k") > F.col("k")) | (F.col("at.k") == F.col("k")) & (F.col("at.id") > F.col("id"))
+        line = heads.join(F.broadcast(state), "c").filter(ahead).withColumn("b", F.substring("at.k", 1, 2))
+        # the first of each part of a line, then of those the first of the line
+        for parts in (["c", "b"], ["c"]):
+            line = line.withColumn("n", F.row_number().over(Window.partitionBy(*parts).orderBy("at"))).filter("n <= short")
+        proposed = cut(line.select("c", "place", "g", "at", "r"))
+        ends = {r["c"]: (r["at"]["k"], r["at"]["id"]) for r in proposed.groupBy("c").agg(F.max("at").alias("at")).collect()}  # a row a class
+        open_ = set(names) if ends else set()
+        last |= ends
+        if not ends:
+            break
+        both = proposed if taken is None else taken.unionByName(proposed)
+        first = Window.partitionBy("g", F.when(F.col("g").isNull(), F.col("c"))).orderBy("place")
+        taken = cut(both.withColumn("n", F.row_number().over(first)).filter("n = 1 or g is null").drop("n"))
+        held |= dict.fromkeys(names, 0) | {r["c"]: r["count"] for r in taken.groupBy("c").count().collect()}
+    return taken.select("r.*") if taken is not None else df.limit(0)
 
 
 def parse_quotas(values: list[str] | None, classes: list[str], default: dict[str, int]) -> dict[str, int]:
@@ -105,6 +132,49 @@ def hash_split(df: DataFrame, key: Column, ratios: dict[str, float]) -> DataFram
     return df.withColumn("split", out)
 
 
+def exact_split(df: DataFrame, key: Column, ratios: dict[str, float]) -> DataFrame:
+    """df with split: floor(n * ratio) rows for each name but the last, which
+    gets the rest, along the order of a hash of the key and then of the key.
+
+    Where a cut falls is found by selection: rows are counted by the first
+    digits of the hash, and only the part that holds the cut is counted by the
+    next digits, until so few rows are left that the cut is one of them. Rows
+    are never sorted. Keys are unique; rows of one key stay together."""
+    n = df.count()
+    rows = df.withColumn("__key", F.coalesce(key.cast("string"), F.lit(""))).withColumn("__h", F.sha2("__key", 256))
+    places, at = [], 0
+    for share in [*ratios.values()][:-1]:
+        at += int(Fraction(str(share)) * n)
+        places.append(at)
+    slim, split = cut(rows.select("__h", "__key")), F.lit([*ratios][-1])
+    for name, place in reversed([*zip(ratios, places)]):
+        least = _nth(slim, place)
+        if least:
+            before = (F.col("__h") < least[0]) | (F.col("__h") == least[0]) & (F.col("__key") < least[1])
+            split = F.when(before, name).otherwise(split)
+        elif place >= n:
+            split = F.lit(name)
+    return rows.withColumn("split", split).drop("__key", "__h")
+
+
+def _nth(rows: DataFrame, place: int) -> tuple[str, str] | None:
+    """(hash, key) of the row with so many rows before it."""
+    begin, digits = "", 0
+    while True:
+        counts = rows.filter(F.col("__h").startswith(begin)).groupBy(F.substring("__h", digits + 1, DIGITS).alias("d")).count().orderBy("d").collect()  # 16 ** DIGITS at most
+        for r in counts:
+            if place < r["count"]:
+                begin += r["d"]
+                break
+            place -= r["count"]
+        else:
+            return None
+        digits += DIGITS
+        if r["count"] <= FEW or digits >= 64:
+            got = rows.filter(F.col("__h").startswith(begin)).orderBy("__h", "__key").limit(place + 1).collect()
+            return got[place]["__h"], got[place]["__key"]
+
+
 def distinct_in_order(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("__n = 1").drop("__n")

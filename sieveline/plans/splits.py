@@ -179,3 +179,11 @@ SELECT o_orderkey, CASE WHEN x < 0.7 THEN 'train' WHEN x < 0.7 + 0.2 THEN 'val'
 def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sample.hash_split(table(spark, sf_dir, "orders"), F.col("o_orderkey"), {"train": 0.7, "val": 0.2, "test": 0.1})
     return out.select("o_orderkey", "split")
+
+
+@query(
+    """WITH h AS (SELECT o_orderkey, row_number() OVER (ORDER BY sha256(o_orderkey::VARCHAR), o_orderkey::VARCHAR) - 1 AS place, count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, CASE WHEN place < n * 7 // 10 THEN 'train' WHEN place < n * 7 // 10 + n * 2 // 10 THEN 'val' ELSE 'test' END AS split FROM h"""
+)
+def exact_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample.exact_split(table(spark, sf_dir, "orders"), F.col("o_orderkey"), {"train": 0.7, "val": 0.2, "test": 0.1}).select("o_orderkey", "split")

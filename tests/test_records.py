@@ -1,4 +1,6 @@
+import hashlib
 import json
+import random
 import zipfile
 
 import pytest
@@ -22,6 +24,47 @@ def test_quota(spark):
     assert sample.quota_sample(df, {"laksa": 0}, 1).count() == 0
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_quotas_equal_one_class_after_another(spark, seed):
+    rng = random.Random(seed)
+    names = [f"c{k:02}" for k in range(12)]
+    rows = [(rng.choice(names), rng.choice([f"g{k}" for k in range(30)] + [None] * 3), f"s{k}", k) for k in range(300)]
+    quotas = {n: rng.choice([0, 1, 2, 3, 9]) for n in rng.sample(names, 12)}
+    df = spark.createDataFrame(rows, "class_name string, leakage_group string, sha256 string, at int")
+    place = lambda r: (hashlib.sha256(f"5:{r[2]}".encode()).hexdigest(), r[2])
+    want, used = [], set()
+    for name, quota in quotas.items():
+        heads = {}
+        for r in sorted((r for r in rows if r[0] == name and r[1] not in used), key=place):
+            heads.setdefault(r[1], r)
+        own = sorted(heads.values(), key=place)[:quota]
+        want += own
+        used |= {r[1] for r in own if r[1]}
+    got = sample.quota_sample(df, quotas, 5)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and got.columns == df.columns
+
+
+def test_many_classes_take_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(sample, "cut", lambda df, old=sample.cut: written.append(1) or old(df))
+    df = spark.range(3000).selectExpr("concat('c', id % 150) as class_name", "concat('g', id % 700) as leakage_group", "cast(id as string) as sha256")
+    got = sample.quota_sample(df, {f"c{k}": 3 for k in range(150)}, 1).collect()
+    assert len({r["leakage_group"] for r in got}) == len(got) and len(got) > 400 and len(written) < 40
+
+
+@pytest.mark.parametrize("few", [1, 7, 4096])
+def test_exact_split_counts(spark, monkeypatch, few):
+    monkeypatch.setattr(sample, "FEW", few)
+    monkeypatch.setattr(sample, "DIGITS", 1)
+    for n in (0, 1, 3, 10, 501):
+        rows = [r["id"] for r in spark.range(n).collect()]
+        got = {r["id"]: r["split"] for r in sample.exact_split(spark.range(n), F.col("id"), {"a": 0.29, "b": 0.57, "c": 0.14}).collect()}
+        order = sorted(rows, key=lambda k: hashlib.sha256(str(k).encode()).hexdigest())
+        a, b = n * 29 // 100, n * 57 // 100
+        assert got == {k: "a" if j < a else "b" if j < a + b else "c" for j, k in enumerate(order)}
+    assert {r["split"] for r in sample.exact_split(spark.range(4), F.col("id"), {"a": 1.0, "b": 0.0}).collect()} == {"a"}
+
+
 def test_retention(spark):
     rows = spark.createDataFrame([("old.jpg", 100000), ("mid.jpg", 10), ("new.jpg", 1), ("readme.txt", 100000)], "name string, age int")
     rows = rows.withColumn("mtime", F.expr("timestamp'2024-01-02 12:00:00' - make_dt_interval(0, 0, 0, age)"))
