@@ -8,8 +8,10 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sieveline.functions.scalar import box_text
+from sieveline.storage import cut
 
 
 def _sorted(df: DataFrame) -> DataFrame:
@@ -116,3 +118,50 @@ def commit_run(df: DataFrame, path: str, run: str, keep: int | None = None, **ch
         if name != f"run_id={run}":
             files.delete(_files(df.sparkSession, f"{path}/{name}")[1], True)
     return told
+
+
+#: Hex digits of a digest that name its bucket.
+BUCKET_DIGITS = 2
+
+
+def _bucketed(df: DataFrame, key: str, digits: int) -> DataFrame:
+    return df.withColumn("bucket", F.lower(F.substring(F.coalesce(F.col(key).cast("string"), F.lit("")), 1, digits)))
+
+
+def write_bucketed(df: DataFrame, path: str, key: str = "sha256", digits: int = BUCKET_DIGITS) -> None:
+    """A manifest in a folder for each bucket of its digests."""
+    _bucketed(df, key, digits).repartition("bucket").write.mode("errorifexists").partitionBy("bucket").parquet(path)
+
+
+def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    return _by_folder(spark, path).drop("bucket")
+
+
+def upsert(spark: SparkSession, path: str, changes: DataFrame, merge: Callable[[DataFrame], DataFrame], key: str = "sha256", digits: int = BUCKET_DIGITS) -> list[str]:
+    """Apply a merge to a bucketed manifest, rewriting only the buckets that
+    hold keys of ``changes``; returns them. merge takes the manifest's rows of
+    those buckets and returns what they become: it must not look at others, nor
+    give rows of other buckets. What it gives is written aside before a folder
+    is replaced; a bucket that is left without rows goes."""
+    touched = sorted(r["bucket"] for r in _bucketed(changes.select(key), key, digits).select("bucket").distinct().collect())  # 16 ** digits at most
+    if not touched:
+        return []
+    known = F.col("bucket").isin(touched)
+    old = _by_folder(spark, path)
+    new = cut(_bucketed(merge(old.filter(known).drop("bucket")), key, digits))
+    if new.filter(~known).limit(1).count():
+        raise ValueError("a merge gave rows of buckets that no change touches")
+    full = {r["bucket"] for r in new.select("bucket").distinct().collect()}
+    new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for name in touched:
+        if name not in full:
+            files, at = _files(spark, f"{path}/bucket={name or '__HIVE_DEFAULT_PARTITION__'}")
+            files.delete(at, True)
+    return touched
+
+
+def _by_folder(spark: SparkSession, path: str) -> DataFrame:
+    """Bucket names are texts, though all of them may be digits."""
+    files = spark.read.parquet(path)
+    schema = StructType([f for f in files.schema.fields if f.name != "bucket"] + [StructField("bucket", StringType())])
+    return spark.read.schema(schema).parquet(path).withColumn("bucket", F.coalesce("bucket", F.lit("")))

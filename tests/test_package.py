@@ -1,12 +1,13 @@
 """Digests of tables, staged outputs, scorers."""
 
+import hashlib
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.operators import audit, package, score
+from sieveline.operators import audit, merge, package, score
 from sieveline.sources import sinks
 
 
@@ -88,6 +89,37 @@ def test_runs_are_kept(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path)).count() == 2
 
 
+def names_of(folder):
+    return {str(p.relative_to(folder)) for p in folder.rglob("*.parquet")}
+
+
+def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    digest = lambda k: hashlib.sha256(str(k).encode()).hexdigest()
+    rows = [(digest(k), "missing", k % 6, None) for k in range(300)] + [(None, "none", 1, None), ("00" + "1" * 62, "digits", 0, None)]
+    manifest = spark.createDataFrame(rows, "sha256 string, annotation_status string, class_id int, bbox_count int")
+    path = tmp_path / "manifest"
+    sinks.write_bucketed(manifest, str(path))
+    before = names_of(path)
+    labels = spark.createDataFrame([(digest(3), ["1 0 0 1 1"], [1]), (digest(200), [], [])], "sha256 string, rows array<string>, classes array<int>")
+    wishes = spark.createDataFrame([], "sha256 string, class_id int")
+    touched = sinks.upsert(spark, str(path), labels, lambda old: merge.first_merge(old, labels, wishes).select(*manifest.columns))
+    want = merge.first_merge(manifest, labels, wishes).select(*manifest.columns)
+    key = lambda df: sorted(map(str, df.select(*manifest.columns).collect()))
+    assert touched == sorted({digest(3)[:2], digest(200)[:2]}) and key(sinks.read_bucketed(spark, str(path))) == key(want)
+    kept = {n for n in before if n.split("/")[0][7:] not in touched}
+    assert kept <= names_of(path) and not (before - kept) & names_of(path)
+    # new keys, keys without a digest, and a bucket that is left empty
+    new = spark.createDataFrame([(digest(1000), "new", 2, 1), (None, "another", 1, 1)], manifest.schema)
+    sinks.upsert(spark, str(path), new, lambda old: old.unionByName(new))
+    assert key(sinks.read_bucketed(spark, str(path))) == key(want.unionByName(new))
+    gone = spark.createDataFrame([("00" + "1" * 62,), (None,)], "sha256 string")
+    sinks.upsert(spark, str(path), gone, lambda old: old.filter("not sha256 like '00%' and sha256 is not null"))
+    left = sinks.read_bucketed(spark, str(path))
+    assert key(left) == key(want.unionByName(new).filter("not coalesce(sha256, '00') like '00%'")) and sinks.upsert(spark, str(path), gone.limit(0), lambda old: old) == []
+    with pytest.raises(ValueError, match="no change touches"):
+        sinks.upsert(spark, str(path), labels, lambda old: old.withColumn("sha256", F.lit("zz")))
+
+
 def test_scorer_gets_bounded_batches(spark):
     class Lengths:
         def __init__(self, factor):
