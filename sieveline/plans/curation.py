@@ -192,9 +192,9 @@ def exact_dedup_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.class_sources(copies(spark, sf_dir), order="doc_id")
 
 
-@query("""SELECT sha256(text) AS sha256, count(DISTINCT lang) AS classes FROM documents GROUP BY 1 HAVING count(DISTINCT lang) > 1""")
+@query("""SELECT sha256(text) AS sha256, count(DISTINCT source) AS classes FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1""")
 def class_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("sha256"), F.col("lang").alias("class_name"))
+    docs = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("sha256"), F.col("source").alias("class_name"))
     return dedup.class_conflicts(docs)
 
 
