@@ -18,10 +18,12 @@ Only the two named columns are read, whatever others are called.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import json
 import struct
+import sys
 import threading
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -304,6 +306,8 @@ def _encoder(raw: str) -> PrefixEncoder:
 def _forget() -> None:
     _made.clear()
     gc.collect()  # an encoder and its words refer to each other
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)  # what is free goes back to the system
 
 
 def _done(encoder: PrefixEncoder) -> None:
