@@ -41,6 +41,8 @@ FILTERS = "ABCDE"
 MIN_WORDS, MIN_DISTINCT, MAX_CAPITALS, MARKS = 50, 65, 5, "#$%&*|"
 #: Parts that are multiplied at once.
 PARTS = 64
+#: Parts into which rows without an id are dealt.
+SALTS = 256
 OUTCOMES = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
 
 
@@ -71,11 +73,13 @@ def masks(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str
     """(part, mask, good, toxic, n): how many documents of a part fail just those filters."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     slim = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.sha2(t.cast("binary"), 256).alias("digest"), text_mask(t).alias("mask"))
-    marks = labels.groupBy(F.col("doc_id").alias("id")).agg(*(F.coalesce(F.max(F.col(c) == 1), F.lit(False)).alias(a) for c, a in (("quality", "good"), ("toxic", "toxic"))))
-    known = slim.join(marks, "id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")})
+    # rows without an id have no label; they are dealt by their digest
+    slim = slim.withColumn("salt", F.when(F.col("id").isNull(), F.pmod(F.xxhash64("digest"), F.lit(SALTS))).otherwise(0))
+    marks = labels.groupBy(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("salt")).agg(*(F.coalesce(F.max(F.col(c) == 1), F.lit(False)).alias(a) for c, a in (("quality", "good"), ("toxic", "toxic"))))
+    known = slim.join(marks, ["id", "salt"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")})
     keys = ["digest", "part", "mask", "good", "toxic"]
     # rows of an id are together already; then copies become a row for each part, mask and label
-    rows = known.groupBy("id", *keys).agg(F.count("*").alias("n"))
+    rows = known.groupBy("id", "salt", *keys).agg(F.count("*").alias("n"))
     held = cut(rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("id").alias("least"), F.min_by("n", "id").alias("n_least"), F.sum(F.when(F.col("id").isNull(), F.col("n")).otherwise(0)).alias("n_without")))
     first = held.groupBy("digest").agg(F.min("least").alias("first"))
     passing = F.coalesce(F.when(F.col("least") == F.col("first"), F.col("n_least")), F.lit(0)) + F.col("n_without")

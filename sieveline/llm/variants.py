@@ -49,6 +49,8 @@ HELD, PIECE = 400_000, 1 << 22
 BITS_PER_WORD, MIN_BITS, MAX_BITS, SEGMENT = 48, 16, 28, 16
 #: Hashes that are made at once; the multipliers of the hash and of its two bits.
 BLOCK = 1 << 20
+#: Neighbours that are spelt out before they are passed on.
+PASSED = 50_000
 BASE, MIXERS = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 ROUNDS = 6  # counts at least double from form to form, so 63 steps suffice
 
@@ -182,12 +184,20 @@ def near_words(words: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, letters = shared.value, [chr(c) for c in alphabet.tolist()]
+        own: list[str] = []
+        near: list[str] = []
+
+        def told() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(near, pa.string())], ["word", "near"])
+            own.clear()
+            near.clear()
+            return out
+
         for batch in batches:
             words = batch.column(0).to_pylist()
             for places, codes in _by_length(words):
                 most = max(1, BLOCK // (codes.shape[1] * len(letters)))
                 for first in range(0, len(places), most):
-                    own, near = [], []
                     for kind, at, hashes, counts in neighbours(codes[first : first + most], alphabet):
                         flat = np.nonzero(counts.reshape(-1))[0] if counts.shape == hashes.shape else np.arange(hashes.size)
                         found = hashes.reshape(-1)[flat]
@@ -199,7 +209,10 @@ def near_words(words: DataFrame) -> DataFrame:
                             word = words[places[first + w]]
                             own.append(word)
                             near.append(_spelt(word, kind, at + i, letters[c]))
-                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(near, pa.string())], ["word", "near"])
+                        if len(own) > PASSED:
+                            yield told()
+        if own:
+            yield told()
 
     if not len(alphabet):
         return words.select("word", F.col("word").alias("near"), F.col("n").alias("near_n")).limit(0)
