@@ -242,7 +242,15 @@ def attach(new: DataFrame, existing: DataFrame, distance: int, order: str = "ord
     right = all_.select(F.col("hash").alias("b"), F.col("sha256").alias("other"), F.col("ord").alias("other_ord"))
     left = rows.select(F.col("hash").alias("a"), "sha256", "ord")
     points = left.join(pairs, "a").join(right, "b").filter("other_ord is null or other_ord < ord").groupBy("sha256").agg(F.min("other").alias("parent"))
-    tree = cut(rows.select("sha256").join(points, "sha256", "left").withColumn("parent", F.coalesce("parent", "sha256")))
+    tree = rows.select("sha256").join(points, "sha256", "left").withColumn("parent", F.coalesce("parent", "sha256"))
+    return follow(tree, existing.select(F.col(sha).alias("parent"), F.col(group).alias("known")))
+
+
+def follow(tree: DataFrame, known: DataFrame) -> DataFrame:
+    """(sha256, leakage_group) by pointer jumping. tree: (sha256, parent), a
+    row that points at itself or at a row that is not in the tree is a root;
+    known: (parent, known) groups of roots, others found their own."""
+    tree = cut(tree)
     while True:
         step = tree.select(F.col("sha256").alias("parent"), F.col("parent").alias("grand"))
         new_tree = cut(tree.join(step, "parent", "left").select("sha256", F.coalesce("grand", "parent").alias("parent")))
@@ -250,5 +258,4 @@ def attach(new: DataFrame, existing: DataFrame, distance: int, order: str = "ord
         tree = new_tree
         if not moved:
             break
-    known = existing.select(F.col(sha).alias("parent"), F.col(group).alias("known"))
     return tree.join(known, "parent", "left").select("sha256", F.coalesce("known", F.concat(F.lit("dhash-"), F.substring("parent", 1, 16))).alias("leakage_group"))
