@@ -52,9 +52,10 @@ def hamming_pairs_6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.hamming_pairs(rows, rows, 6, bits=63).filter("a < b")
 
 
-@query(_pairs_sql(14))
+@query(_pairs_sql(14, NEAR_SQL))
 def hamming_pairs_14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir, 14)
+    rows = hashed_near(spark, sf_dir)
+    return similarity.hamming_pairs(rows, rows, 14, bits=63).filter("a < b")
 
 
 @query(_pairs_sql(18))
