@@ -218,3 +218,33 @@ def test_matrices_are_32_by_600():
     columns, by = interaction.matrices()
     assert len(columns) == 600 and all(m.shape == (32, 600) for m in by.values())
     assert (by["kept"] + by["removed"] + by["redundant"] <= 1).all() and by["shapley"].max() <= 120
+
+
+# --- long texts --------------------------------------------------------------
+
+MB = 1_000_000
+LONG = {
+    "one word": "a" * MB,
+    "words": "ab, cdefgh. " * (MB // 12),
+    "spaces": " \n" * (MB // 2),
+    "new words": " ".join(f"word{k}é" for k in range(MB // 10)),
+    "special": "<|endoftext|>x " * (MB // 15),
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_texts(spark, name):
+    path, text = public_tokenizers.path("byte_bpe_50k.json"), LONG[name]
+    frame = documents(spark, [text, "short text here"])
+    got = {r["doc_id"]: tuple(r)[1:] for r in tokencount.token_counts(frame, path).collect()}
+    assert got[0] == (len(text.encode()), len(tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)) and got[1][1] == 3
+    told = interaction.outcomes(interaction.masks(frame, spark.createDataFrame([], "doc_id long, quality int, toxic int")))
+    assert told.count() == 1200
+
+
+def test_words_of_many_letters_are_taken_in_ranges(spark):
+    """A word of 20,000 letters has two million neighbours."""
+    long = "ab" * 10_000
+    words = spark.createDataFrame([(long, 9), (long + "a", 3), (long[:-1], 4), ("other", 5)], "word string, n long")
+    got = {r["word"]: (r["form"], r["n_near"]) for r in variants.group_variants(words).collect()}
+    assert got[long] == (None, 2) and got[long + "a"] == (long, 1) and got[long[:-1]] == (long, 1) and got["other"] == (None, 0)
