@@ -45,7 +45,7 @@ END = "</w>"
 REMEMBERED, LONGEST, PAIRS = 400_000, 64, 2_000_000
 FAR = 1 << 60
 #: Bytes of text whose words are met together.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 21
 #: Seconds after which a worker that encodes nothing gives up its encoder.
 IDLE = 3
 
@@ -60,7 +60,7 @@ def byte_letters() -> list[str]:
 
 class SuffixAutomaton:
     """Of many words: a state per class of substrings with the same ends.
-    whole[state] maps a length to the id of the word of that length there."""
+    ending[state] has the words that end there, as (length, id)."""
 
     def __init__(self, words: list[tuple[tuple[int, ...], int]]) -> None:
         self.link, self.size, self.next = [-1], [0], [{}]
@@ -70,16 +70,16 @@ class SuffixAutomaton:
             for s in symbols:
                 state = self._grow(state, s)
             ends.append((state, len(symbols), ident))
-        self.whole: dict[int, dict[int, int]] = {}
+        whole: dict[int, dict[int, int]] = {}
         for _, length, ident in ends:
             state, symbols = 0, words[ident][0]
             for s in symbols:
                 state = self.next[state][s]
-            self.whole.setdefault(state, {})[length] = ident
+            whole.setdefault(state, {})[length] = ident
         # for each state, the words that end there, longest first
         self.ending: list[tuple[tuple[int, int], ...]] = [()] * len(self.link)
         for v in sorted(range(1, len(self.link)), key=self.size.__getitem__):
-            own = tuple(sorted(self.whole.get(v, {}).items(), reverse=True))
+            own = tuple(sorted(whole.get(v, {}).items(), reverse=True))
             self.ending[v] = own + self.ending[self.link[v]] if own else self.ending[self.link[v]]
 
     def _grow(self, last: int, s: int) -> int:
