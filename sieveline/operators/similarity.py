@@ -113,7 +113,7 @@ def _by_probes(left: DataFrame, right: DataFrame, distance: int, hash_column: st
 
     tried = lambda rows, name: rows.join(changes, "band").select(name, "band", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
     a, b = keyed(left, "a"), keyed(right, "b")
-    met = (tried(a, "a") if swapped else a).join(b if swapped else tried(b, "b"), ["band", "value"])
+    met = (tried(a, "a") if swapped else a).join((b if swapped else tried(b, "b")).hint("merge"), ["band", "value"])
     met = met.withColumn("distance", hamming(F.col("a"), F.col("b"))).filter(F.col("distance") <= distance)
     differ, first = F.col("a").bitwiseXOR(F.col("b")), F.lit(True)
     for k, (shift, mask, r) in enumerate(plan):
@@ -130,6 +130,8 @@ def hamming_pairs(left: DataFrame, right: DataFrame, distance: int, hash_column:
     bands to agree make longer keys, hence fewer candidates, and more keys a
     hash: as many are taken as the number of hashes asks for. A pair is taken
     in the choice of its first bands that agree, so no distinct is needed.
+    Keys are many times the distinct hashes, by whose size Spark would choose a
+    broadcast that the driver builds, so both joins ask for a sort-merge join.
 
     Beyond a distance of ``BANDED``, bands that have to agree are so short that
     nearly all pairs meet in one, often in several. Longer bands are then
@@ -145,20 +147,19 @@ def hamming_pairs(left: DataFrame, right: DataFrame, distance: int, hash_column:
     cuts = bands(distance + agree, bits)
     ways = [*combinations(range(len(cuts)), agree)]
 
+    masks = [sum(cuts[x][1] << cuts[x][0] for x in way) for way in ways]
+    # bands below a way's last one that are not in it, as bits
+    skipped = F.array(*[F.lit(sum(1 << x for x in range(way[-1]) if x not in way)) for way in ways])
+
     def keyed(df: DataFrame, name: str) -> DataFrame:
-        values = F.array(*[F.struct(F.lit(k).alias("way"), F.col(name).bitwiseAND(F.lit(sum(_whole(*cuts[x]) for x in way))).alias("value")) for k, way in enumerate(ways)])
         distinct = df.filter(F.col(hash_column).isNotNull()).select(F.col(hash_column).alias(name)).distinct()
-        return distinct.select(name, F.explode(values).alias("x")).select(name, "x.way", "x.value")
+        by_way = distinct.select(name, F.posexplode(F.array(*[F.lit(_whole(0, m)) for m in masks])).alias("way", "mask"))
+        return by_way.select(name, "way", F.col(name).bitwiseAND(F.col("mask")).alias("value"))
 
-    met = keyed(left, "a").join(keyed(right, "b"), ["way", "value"]).withColumn("distance", hamming(F.col("a"), F.col("b"))).filter(F.col("distance") <= distance)
+    met = keyed(left, "a").join(keyed(right, "b").hint("merge"), ["way", "value"]).withColumn("distance", hamming(F.col("a"), F.col("b"))).filter(F.col("distance") <= distance)
     differ = F.col("a").bitwiseXOR(F.col("b"))
-    first = F.lit(False)
-    for k, way in enumerate(ways):
-        skipped = [x for x in range(way[-1]) if x not in way]
-        own = F.col("way") == k
-        for x in skipped:
-            own = own & (differ.bitwiseAND(F.lit(_whole(*cuts[x]))) != 0)
-        first = first | own
+    agreed = sum((F.when(differ.bitwiseAND(F.lit(_whole(*cut_))) == 0, 1 << x).otherwise(0) for x, cut_ in enumerate(cuts)), F.lit(0))
+    first = agreed.bitwiseAND(F.element_at(skipped, F.col("way") + 1)) == 0
     return met.filter(first).select("a", "b", F.col("distance").cast("int").alias("distance"))
 
 
