@@ -240,7 +240,10 @@ def attach(new: DataFrame, existing: DataFrame, distance: int, order: str = "ord
     old = existing.select(F.col(sha).alias("sha256"), F.col(hash_column).alias("hash"), F.lit(None).cast(new.schema[order].dataType).alias("ord"))
     all_ = cut(rows.unionByName(old))
     pairs = hamming_pairs(rows, all_, distance)
-    right = all_.select(F.col("hash").alias("b"), F.col("sha256").alias("other"), F.col("ord").alias("other_ord"))
+    # of copies of a hash only those count whose sha is below those of all earlier ones
+    earlier = Window.partitionBy("hash").orderBy(F.col("ord").asc_nulls_first(), "sha256").rowsBetween(Window.unboundedPreceding, -1)
+    least = all_.filter("hash is not null").withColumn("__least", F.min("sha256").over(earlier)).filter("__least is null or sha256 < __least")
+    right = least.select(F.col("hash").alias("b"), F.col("sha256").alias("other"), F.col("ord").alias("other_ord"))
     left = rows.select(F.col("hash").alias("a"), "sha256", "ord")
     points = left.join(pairs, "a").join(right, "b").filter("other_ord is null or other_ord < ord").groupBy("sha256").agg(F.min("other").alias("parent"))
     tree = rows.select("sha256").join(points, "sha256", "left").withColumn("parent", F.coalesce("parent", "sha256"))
