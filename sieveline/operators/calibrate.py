@@ -14,7 +14,8 @@ from sieveline.storage import cut
 
 
 def normalised(v: Column) -> Column:
-    return F.transform(v, lambda x: x.cast("double") / vector_norm(v))
+    # an array of one element names the norm, so that it is computed once a vector
+    return F.get(F.transform(F.array(vector_norm(v)), lambda n: F.transform(v, lambda x: x.cast("double") / n)), F.lit(0))
 
 
 def vector_sums(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
@@ -97,10 +98,12 @@ def calibrate(df: DataFrame, vector: str, class_column: str, accepted: str, orde
     the total less the fold's own sum. Classes need two rows of each kind."""
     if not 0.5 <= target <= 1:
         raise ValueError("target precision lies between 0.5 and 1")
-    unit = df.select(F.col(class_column).alias("class_name"), F.col(accepted).cast("boolean").alias("pos"), normalised(F.col(vector)).alias("u"), order.alias("o"))
-    sizes = unit.groupBy("class_name").agg(F.count_if("pos").alias("np"), F.count_if(~F.col("pos")).alias("nn")).filter("np >= 2 and nn >= 2")
+    rows = df.select(F.col(class_column).alias("class_name"), F.col(accepted).cast("boolean").alias("pos"), F.col(vector).alias("v"), order.alias("o"))
+    sizes = rows.groupBy("class_name").agg(F.count_if("pos").alias("np"), F.count_if(~F.col("pos")).alias("nn")).filter("np >= 2 and nn >= 2")
     sizes = sizes.withColumn("k", F.least(F.lit(k), "np", "nn"))
-    dealt = places(unit.join(sizes, "class_name"), ["class_name", "pos"], F.col("o")).withColumn("fold", F.col("__at") % F.col("k")).drop("__at")
+    # vectors are dealt and written once, as they came; four steps read them
+    dealt = cut(places(rows.join(sizes, "class_name"), ["class_name", "pos"], F.col("o")).select("class_name", "pos", (F.col("__at") % F.col("k")).alias("fold"), "v"))
+    dealt = dealt.select("class_name", "pos", "fold", normalised(F.col("v")).alias("u"))
     per_fold = vector_sums(dealt, ["class_name", "pos", "fold"], "u")
     total = vector_sums(dealt, ["class_name", "pos"], "u")
     less = per_fold.withColumnRenamed("total", "part").withColumnRenamed("n", "part_n").join(total, ["class_name", "pos"])
