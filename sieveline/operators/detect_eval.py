@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.scalar import iou
+from sieveline.storage import cut
 
 BOX = ("x1", "y1", "x2", "y2")
 
@@ -81,10 +82,11 @@ def sweep_summary(points: DataFrame) -> DataFrame:
 
 def sweep_grid(truth: DataFrame, predictions: DataFrame, grid: list[float], overlaps_: list[float], least: float) -> DataFrame:
     """nms_iou and the summary of a sweep over predictions suppressed at it,
-    for each of a few overlaps."""
-    out = None
+    for each of a few overlaps. Boxes and what each suppression keeps are read
+    several times, so both are written once."""
+    truth, predictions, out = cut(truth), cut(predictions), None
     for overlap in overlaps_:
-        own = sweep_summary(sweep(truth, suppress(predictions, overlap), grid, least)).withColumn("nms_iou", F.lit(float(overlap)))
+        own = sweep_summary(sweep(truth, cut(suppress(predictions, overlap)), grid, least)).withColumn("nms_iou", F.lit(float(overlap)))
         out = own if out is None else out.unionByName(own)
     if out is None:
         raise ValueError("no overlap to try")
