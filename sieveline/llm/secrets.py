@@ -7,17 +7,23 @@ and three tests ask whether it could be random over that alphabet: chi-squared
 uniformity, runs above and below the middle, and serial correlation. Their
 p-values are combined (Fisher); the result is the candidate's score.
 
-False discoveries are controlled by class, which is the encoding, the length
-and the number of separate runs of digits. Two fixed models say how often a
-class is met with at least some score: keys, random over an alphabet, and
-text, which is words and now and then numbers, joined. With one key among
-``1 / PRIOR`` candidates, a class reports from the least score at which text
-is at most ``FDR`` of what is reported; ``LIMITS`` holds those scores, and
-``limits()`` derives them. So a candidate is judged by itself, whatever else
-the table holds: adding keys or texts never removes a span.
-
-All offsets count code points, ends exclusive. Each document is judged within
-its row: no shuffle, and one scan.
+False discoveries are controlled over the table, in two steps. Two fixed models
+say how often a class (encoding, length, number of separate runs of digits) is
+met with at least some score: keys, random over an alphabet, and text, which is
+words and now and then numbers, joined. A class reports at all from the least
+score at which text is at most ``FDR`` of what is reported, were one candidate
+in ``1 / PRIOR`` a key; ``LIMITS`` holds those scores, and ``limits()`` derives
+them. Then each candidate has a p-value: how often a string that is text is as
+much like a key (``AS_SURE``, by ``tails()``), and one if its class does not report its score.
+Within each class of lengths the p-values of all candidates of the table pass
+the step-up rule of Benjamini and Hochberg at ``FDR``. So the rarer keys are
+among the candidates, the surer they must be. Adding a key that is reported
+never removes a span; adding candidates that are not reported may.
+
+All offsets count code points, ends exclusive. A scan writes the spans and
+candidates of each document; how many candidates each cell (class and bin of
+scores; at most ``CELLS``) has is all that is shuffled and reaches the driver;
+a second step reads what was written.
 
 Edge cases: a null text is the empty text and has no spans; repeated rows
 give a row each; a run without letters is a number and no candidate; spans
@@ -28,13 +34,16 @@ long it is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from functools import reduce
+from operator import add
 from random import Random
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import table
+from sieveline.llm.common import cut, table
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -70,6 +79,36 @@ LIMITS: list[list[list[float]]] = [
     [[2, 2, 0.5, 0.001], [2, 2, 2, 0.001], [2, 2, 2, 0.001], [2, 2, 2, 0.001], [2, 2, 2, 0.001]],
     [[2, 0.9, 0.001, 0.001], [0.9, 0.5, 0.001, 0.001], [0.3, 0.05, 0.001, 0.001], [2, 0.001, 0.001, 0.001], [2, 2, 2, 0.001]],
 ]
+BINS = len(SCORES) + 1
+CELLS = len(ENCODINGS) * (len(LENGTHS) + 1) * RUNS * BINS
+#: Fixed values, as tails() returns them: of TEXTS strings of text of a length, how many are as much like a key, by (encoding,
+#: class of length, runs of digits) for each bin of scores from the limit on.
+TEXTS = 200_000
+AS_SURE: dict[tuple[int, int, int], list[int]] = {(e, l, 3): [0] * len(SCORES) for e in (0, 1, 2, 4, 6, 7) for l in range(len(LENGTHS) + 1)} | {
+    (0, 0, 2): [31] * 12,
+    (0, 1, 2): [101] * 12,
+    (1, 0, 2): [31, 30, 30, 27, 26, 23, 14, 12, 8, 6, 3, 3],
+    (1, 1, 2): [90, 87, 84, 80, 78, 65, 61, 42, 40, 35, 20, 16],
+    (1, 2, 2): [160, 158, 156, 154, 151, 140, 137, 30, 28, 7, 7, 7],
+    (1, 3, 2): [524, 524, 524],
+    (2, 0, 2): [329, 312],
+    (3, 3, 0): [1224, 298],
+    (3, 4, 0): [1068, 809, 589, 337, 194, 111, 78, 23, 7, 2],
+    (5, 2, 0): [507, 129],
+    (5, 3, 0): [856, 524, 195, 85, 18, 5, 2],
+    (5, 4, 0): [51, 36, 12, 4, 2, 1, 0, 0, 0, 0, 0, 0],
+    (6, 0, 2): [302, 244, 163],
+    (7, 0, 1): [92],
+    (7, 0, 2): [83, 74, 58, 52, 47, 37, 21, 1, 1, 0, 0, 0],
+    (7, 1, 0): [101],
+    (7, 1, 1): [101, 72, 48],
+    (7, 1, 2): [68, 52, 46, 27, 12, 6, 2, 1, 1, 0, 0, 0],
+    (7, 2, 0): [144, 28, 28, 28],
+    (7, 2, 1): [517, 511, 143, 31, 18, 7, 7],
+    (7, 2, 2): [17, 12, 7, 2, 1, 1, 1, 0, 0, 0, 0, 0],
+    (7, 3, 1): [195] * 12,
+    (7, 3, 2): [86, 18, 18, 18, 18, 18, 18, 18, 18, 18, 18, 18],
+}
 SPAN = "array<struct<start:int,end:int,found:string>>"
 
 
@@ -157,6 +196,43 @@ def _classes(found: Column) -> list[Column]:
     return [encoding, _class(F.length(found)), F.least(F.regexp_count(s, F.lit("[0-9]+")), F.lit(RUNS - 1))]
 
 
+def _cell(found: Column) -> Column:
+    """Encoding, class of length, runs of digits and bin of scores of a
+    candidate, as one number."""
+    e, l, d = _classes(found)
+    bin_ = F.element_at(F.transform(F.array(randomness(found)), lambda p: reduce(add, ((p >= x).cast("int") for x in SCORES))), 1)
+    return ((e * (len(LENGTHS) + 1) + l) * RUNS + d) * BINS + bin_
+
+
+def _parts(cell: int) -> tuple[int, int, int, int]:
+    rest, b = divmod(cell, BINS)
+    rest, d = divmod(rest, RUNS)
+    return *divmod(rest, len(LENGTHS) + 1), d, b
+
+
+def p_value(cell: int) -> float:
+    """How often text is as much like a key as a candidate of this cell; one if
+    its class does not report its score."""
+    *class_, b = _parts(cell)
+    sure = AS_SURE.get(tuple(class_), [])
+    return (sure[b - BINS] + 1) / (TEXTS + 1) if BINS - b <= len(sure) else 1.0
+
+
+def reported(counts: Mapping[int, int]) -> list[int]:
+    """The cells that are reported where these have so many candidates: the
+    step-up rule within each class of lengths. Candidates of a cell are ties."""
+    out = []
+    for l in range(len(LENGTHS) + 1):
+        own = sorted((p_value(cell), n, cell) for cell, n in counts.items() if _parts(cell)[1] == l)
+        total, met, limit = sum(n for _, n, _ in own), 0, 0.0
+        for p, n, _ in own:
+            met += n
+            if p * total <= FDR * met:
+                limit = p
+        out += [cell for p, _, cell in own if p <= limit]
+    return sorted(out)
+
+
 def text_strings(length: int, n: int, seed: int) -> Iterator[str]:
     """Strings that text may give: words in one of four ways of writing, joined
     by one mark or none, and in one of four a number or two between them."""
@@ -197,22 +273,51 @@ def limits(spark: SparkSession, n: int = 100_000, seed: int = 0) -> list[list[li
     return [[[least(e, l, d) for d in range(RUNS)] for l in range(len(LENGTHS) + 1)] for e in range(len(ENCODINGS))]
 
 
+def tails(spark: SparkSession, n: int = TEXTS, seed: int = 1) -> dict[tuple[int, int, int], list[int]]:
+    """AS_SURE, from n strings of text at the shortest length of each class and
+    n / 100 keys of each encoding. What is more like a key has more keys to its
+    text; a higher score in a class never has fewer."""
+    lots, lengths = 100, (SHORTEST, *LENGTHS)
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for lot in (k for batch in batches for k in batch["id"]):
+            for length in lengths:
+                rng = Random(f"{seed} keys {length} {lot}")
+                rows = [(x, False) for x in text_strings(length, n // lots, (seed << 32) + lot)]
+                yield pd.DataFrame(rows + [("".join(rng.choices(alphabet, k=length)), True) for _, alphabet in ENCODINGS for _ in range(n // lots // 100)], columns=["s", "key"])
+
+    strings = spark.range(lots, numPartitions=lots).mapInPandas(made, "s string, key boolean").filter(F.col("s").rlike("[A-Za-z]"))
+    counts = {(r["key"], r["cell"]): r["count"] for r in strings.groupBy("key", _cell(F.col("s")).alias("cell")).count().collect()}
+    out: dict[tuple[int, int, int], list[int]] = {}
+    for l in range(len(lengths)):
+        ranked = []
+        for e, d in ((e, d) for e in range(len(ENCODINGS)) for d in range(RUNS) if LIMITS[e][l][d] != NEVER):
+            least, first = float("inf"), SCORES.index(LIMITS[e][l][d]) + 1
+            cells = [((e * len(lengths) + l) * RUNS + d) * BINS + b for b in range(BINS)]
+            for b in range(first, BINS):
+                text, keys = (sum(counts.get((key, c), 0) for c in cells[b:]) for key in (False, True))
+                least = min(least, (text + 1) / keys if keys else least)
+                ranked.append((least, e, d, b, counts.get((False, cells[b]), 0)))
+        for least, e, d, _, _ in sorted(ranked, key=lambda x: x[1:4]):
+            out.setdefault((e, l, d), []).append(sum(x[4] for x in ranked if x[0] <= least))
+    return out
+
+
 def scan_secrets(df: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """(id, base, spans): base array<(start, end, kind)> by the plain rules,
-    spans with those that the battery adds, both by start, then kind."""
+    spans with those that the battery adds under control of false discoveries
+    over df, both by start, then kind."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     named = lambda a, k: F.transform(a, lambda x: F.struct(x["start"], F.lit(k).alias("rank"), x["end"]))
     assigned = F.filter(located(F.col("__t"), ASSIGN), lambda x: F.length(F.regexp_extract(x["found"], ASSIGN, 1)) >= 6)
     base = F.array_sort(F.concat(named(assigned, 0), named(located(F.col("__t"), ACCESS), 1), named(located(F.col("__t"), HEX), 2)))
-    table_ = F.array(*[F.lit(x) for by_length in LIMITS for by_digits in by_length for x in by_digits])
-
-    def random(x: Column) -> Column:
-        e, l, d = _classes(x["found"])
-        return randomness(x["found"]) >= F.element_at(table_, (e * (len(LENGTHS) + 1) + l) * RUNS + d + 1)
-
     apart = F.filter(located(F.col("__t"), CANDIDATE), lambda c: c["found"].rlike("[A-Za-z]") & ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    found = df.select(F.col(id_column), t.alias("__t")).withColumn("__base", base).withColumn("__new", F.filter(apart, random))
-    spans = F.array_sort(F.concat("__base", F.transform("__new", lambda c: F.struct(c["start"], F.lit(3).alias("rank"), c["end"]))))
+    scored = F.transform(apart, lambda c: F.struct(c["start"], c["end"], _cell(c["found"]).alias("cell")))
+    found = cut(df.select(F.col(id_column), t.alias("__t")).withColumn("__base", base).select(id_column, "__base", scored.alias("__tested")))
+    counts = found.select(F.explode("__tested.cell").alias("cell")).groupBy("cell").count().collect()  # CELLS at most
+    sure = F.array(*map(F.lit, reported({r["cell"]: r["count"] for r in counts}))).cast("array<int>")
+    new = F.filter("__tested", lambda c: F.array_contains(sure, c["cell"]))
+    spans = F.array_sort(F.concat("__base", F.transform(new, lambda c: F.struct(c["start"], F.lit(3).alias("rank"), c["end"]))))
     told = lambda a: F.transform(a, lambda x: F.struct(x["start"], x["end"], F.element_at(F.array(*map(F.lit, KINDS)), x["rank"] + 1).alias("kind")))
     return found.select(id_column, told(F.col("__base")).alias("base"), told(spans).alias("spans"))
 

@@ -251,6 +251,56 @@ def test_text_is_seldom_reported_and_keys_are_found(spark):
     assert sum(out[k] for k, _ in text) <= 6 and sum(out[k] for k, _ in keys) > 180
 
 
+def step_up(p_values, rate):
+    """Which of these the rule of Benjamini and Hochberg rejects."""
+    order = sorted(p_values)
+    least = max([p for k, p in enumerate(order, 1) if p <= rate * k / len(order)], default=-1)
+    return [p <= least for p in p_values]
+
+
+def test_cells_follow_the_step_up_rule():
+    rng = np.random.default_rng(10)
+    verdicts = set()
+    for _ in range(20):
+        cells = sorted(rng.choice(secrets.CELLS, 40, replace=False).tolist())
+        text = int(rng.choice([2, 20_000]))  # of a cell that reports nothing
+        counts = {c: int(n) if secrets.p_value(c) < 1 else text for c, n in zip(cells, rng.integers(1, 5, 40))}
+        want = []
+        for length in range(5):
+            own = [c for c in cells if secrets._parts(c)[1] == length]
+            kept = step_up([secrets.p_value(c) for c in own for _ in range(counts[c])], secrets.FDR)
+            each = dict(zip([c for c in own for _ in range(counts[c])], kept))
+            want += [c for c in own if each[c]]
+        assert secrets.reported(counts) == sorted(want)
+        verdicts |= {c in want for c in cells if secrets.p_value(c) < 1}
+    assert verdicts == {True, False} and secrets.reported({}) == []
+
+
+def test_rare_keys_must_be_surer(spark):
+    """Of what is reported at most about FDR is text, however rare keys are."""
+    rng = np.random.default_rng(11)
+    keys = [(k, "".join(rng.choice(list(secrets.ENCODINGS[-2][1]), 48))) for k in range(12)]
+    text = [(1000 + k, t) for k, t in enumerate(secrets.text_strings(48, 3000, 3))]
+    found = lambda rows: {r["doc_id"] for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).filter("size(spans) > 0").collect()}
+    likely = [t for t in text if key_verdict(t[1])]
+    assert len(likely) > 1 and found(keys + likely) >= {k for k, _ in likely}  # its class reports each of these
+    out = found(keys + text)
+    assert len([k for k in out if k >= 1000]) <= 1 and len(out) >= 9
+    assert not found(text)
+    # keys that are reported remove none
+    more = [(100 + k, "".join(rng.choice(list(secrets.ENCODINGS[-2][1]), 48))) for k in range(50)]
+    kept = found(more + text)
+    assert found(keys + text + [x for x in more if x[0] in kept]) >= out
+
+
+def test_tails_follow_from_the_models(spark):
+    got = secrets.tails(spark, 2000)
+    assert got.keys() == secrets.AS_SURE.keys() == {(e, l, d) for e, x in enumerate(secrets.LIMITS) for l, y in enumerate(x) for d, z in enumerate(y) if z != secrets.NEVER}
+    for k, sure in secrets.AS_SURE.items():
+        assert len(sure) == len(got[k]) == len(secrets.SCORES) - secrets.SCORES.index(secrets.LIMITS[k[0]][k[1]][k[2]])
+        assert sure == sorted(sure, reverse=True) and got[k][0] <= 0.02 * 2000
+
+
 def test_limits_follow_from_the_models(spark):
     got = secrets.limits(spark, 3000)
     assert [[len(x) for x in y] for y in got] == [[secrets.RUNS] * 5] * len(secrets.ENCODINGS) == [[len(x) for x in y] for y in secrets.LIMITS]
