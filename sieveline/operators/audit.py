@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: About as many rows of a table go to a task where tables are dealt by key.
+PART = 1 << 18
+
+
 def violations(check: str, df: DataFrame, key: Column | str, detail: Column | None = None) -> DataFrame:
     key = F.col(key) if isinstance(key, str) else key
     return df.select(F.lit(check).alias("check"), key.cast("string").alias("key"), (detail if detail is not None else F.lit(None)).cast("string").alias("detail"))
@@ -17,6 +21,12 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def parts_of(tables: list[DataFrame]) -> int:
+    """Into how many parts to deal these tables, by the largest of them."""
+    rows = union([df.select(F.lit(k).alias("k")) for k, df in enumerate(tables)]).groupBy("k").count()
+    return max(1, -(-(rows.agg(F.max("count")).first()[0] or 0) // PART))
+
+
 def repeated(df: DataFrame, key: str) -> DataFrame:
     found = df.groupBy(key).count().filter("count > 1")
     return violations(f"repeated_{key}", found, key, F.col("count"))
@@ -85,10 +95,17 @@ def holdout_audit(test: DataFrame, queue: DataFrame, manifest: DataFrame, key: s
     bbox_count; queue: review_status and the first, third and fourth of these;
     manifest: all of them as they are now, annotation_status, destination_label
     and the digest of the image file as image_sha256. With ``splits``
-    (leakage_group, split) the test's groups must not be in another split."""
+    (leakage_group, split) the test's groups must not be in another split.
+
+    Rows are counted first and dealt by key into parts of about PART of them,
+    so that no task sorts or counts more as the tables grow. Which keys are on
+    one side only, or repeated, follows from one count of the keys."""
+    tables = {"test": test, "queue": queue, "manifest": manifest}
+    parts_ = parts_of([*tables.values()] + ([splits] if splits is not None else []))
+    dealt = lambda df, by=key: df.repartition(parts_, by) if parts_ > 1 else df
     now = manifest.select(key, F.lit(True).alias("__known"), *[F.col(c).alias(f"m_{c}") for c in ("annotation_status", "leakage_group", "label_sha256", "bbox_count", "destination_label", "image_sha256")])
     asked = queue.select(key, F.lit(True).alias("__queued"), *[F.col(c).alias(f"q_{c}") for c in ("leakage_group", "class_name", "destination_image")])
-    rows = test.join(now, key, "left").join(asked, key, "left")
+    rows = dealt(test).join(dealt(now), key, "left").join(dealt(asked), key, "left")
     known, queued = F.col("__known").isNotNull(), F.col("__queued").isNotNull()
     differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
     rules = [
@@ -103,11 +120,15 @@ def holdout_audit(test: DataFrame, queue: DataFrame, manifest: DataFrame, key: s
         ("label_drifted", known & differs("label_sha256", "m_label_sha256")),
         ("box_count_drifted", known & differs("bbox_count", "m_bbox_count")),
     ]
-    parts = [complaints("holdout", rows, key, rules), set_difference("queue", test, queue, key), violations("queue_not_pending", queue.filter(~F.col("review_status").eqNullSafe("pending")), key, F.col("review_status"))]
-    for name, df in (("test", test), ("queue", queue), ("manifest", manifest)):
-        parts.append(repeated(df, key).withColumn("check", F.concat_ws("_", "check", F.lit(name))))
+    met = dealt(union([df.select(key, F.lit(name).alias("__in")) for name, df in tables.items()])).groupBy(key).agg(*[F.count_if(F.col("__in") == name).alias(f"__{name}") for name in tables])
+    only = lambda a, b: (F.col(f"__{a}") > 0) & ((F.col(f"__{b}") == 0) | F.col(key).isNull())  # noqa: E731  a null equals none
+    found = [("queue_missing", only("test", "queue"), F.lit(None)), ("queue_extra", only("queue", "test"), F.lit(None)), *[(f"repeated_{key}_{name}", F.col(f"__{name}") > 1, F.col(f"__{name}")) for name in tables]]
+    told = F.array_compact(F.array(*[F.when(rule, F.struct(F.lit(name).alias("check"), detail.cast("string").alias("detail"))) for name, rule, detail in found]))
+    counted = met.select(F.col(key).cast("string").alias("key"), F.explode(told).alias("x")).select("x.check", "key", "x.detail")
+    parts = [complaints("holdout", rows, key, rules), counted, violations("queue_not_pending", queue.filter(~F.col("review_status").eqNullSafe("pending")), key, F.col("review_status"))]
     if splits is not None:
-        beyond = splits.filter("split <> 'test'").join(test.select("leakage_group"), "leakage_group", "left_semi")
+        own = dealt(test.select("leakage_group"), "leakage_group").distinct()
+        beyond = dealt(splits.filter("split <> 'test'"), "leakage_group").join(own, "leakage_group", "left_semi")
         parts.append(violations("test_group_elsewhere", beyond.groupBy("leakage_group").agg(F.array_join(F.array_sort(F.collect_set("split")), ",").alias("d")), "leakage_group", F.col("d")))
     return union(parts)
 

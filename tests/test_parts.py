@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 import struct
 import zipfile
 
@@ -143,6 +144,33 @@ def test_locked_and_incremental_splits(spark):
     assert ("locked_groups_drifted", "val") in rows_of(counted, "check", "key")
 
 
+def test_holdout_audit_in_parts_equals_brute_force(spark, monkeypatch):
+    """Keys on one side, repeated and null keys; parts follow from the rows, not from the session."""
+    rng = np.random.default_rng(14)
+    some = lambda n: [None if k == 0 else f"k{k}" for k in rng.integers(0, 120, n).tolist()]
+    keys = {"test": some(200), "queue": some(150), "manifest": some(170)}
+    test = spark.createDataFrame([(k, f"g{n % 9}", "l", "c", "d", 1) for n, k in enumerate(keys["test"])], "sha256 string, leakage_group string, label_sha256 string, class_name string, destination_image string, bbox_count int")
+    queue = spark.createDataFrame([(k, "pending", "g", "c", "d") for k in keys["queue"]], "sha256 string, review_status string, leakage_group string, class_name string, destination_image string")
+    manifest = spark.createDataFrame([(k, "g", "l", 1, "annotated", "p", k) for k in keys["manifest"]], "sha256 string, leakage_group string, label_sha256 string, bbox_count int, annotation_status string, destination_label string, image_sha256 string")
+    splits = spark.createDataFrame([("g1", "val"), ("g1", "train"), ("g2", "test"), ("h", "val")], "leakage_group string, split string")
+    want = {("test_group_elsewhere", "g1", "train,val")}
+    for a, b, check in (("test", "queue", "queue_missing"), ("queue", "test", "queue_extra")):
+        want |= {(check, k, None) for k in keys[a] if k is None or k not in keys[b]}
+    want |= {(f"repeated_sha256_{name}", k, str(ks.count(k))) for name, ks in keys.items() for k in ks if ks.count(k) > 1}
+    joined = [(k, d) for k, d in ((k, "missing_from_manifest") for k in keys["test"] if k is None or k not in keys["manifest"])]
+    for part in (1 << 18, 20):
+        monkeypatch.setattr(audit, "PART", part)
+        out = audit.holdout_audit(test, queue, manifest, splits=splits)
+        got = [tuple(r) for r in out.collect()]
+        assert {x for x in got if x[0] != "holdout"} == want and len([x for x in got if x[0] != "holdout"]) == len(want)
+        missing = [x[1:] for x in got if x[2] == "missing_from_manifest"]
+        times = {k: max(1, keys["queue"].count(k)) if k else 1 for k, _ in joined}
+        assert sorted(map(str, missing)) == sorted(str(x) for x in joined for _ in range(times[x[0]]))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    parts = set(re.findall(r"hashpartitioning\((?:sha256|leakage_group)#\d+, (\d+)\)", plan))
+    assert parts == {"10"}  # 200 rows in parts of 20; the session's own number is 4
+
+
 def test_pilot_and_summary(spark):
     selection = spark.createDataFrame([("a", "i/a"), ("b", "i/b"), ("c", "i/c"), ("d", "i/d")], "sha256 string, destination_image string")
     manifest = spark.createDataFrame([("a", "i/a", "missing"), ("b", "i/b", "annotated"), ("c", "j/c", "missing")], "sha256 string, destination_image string, annotation_status string")
